@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.functions.globs import any_glob_regex, whole
+from sheaf.sources.tables import read_table
 from sheaf.sources.default_globs import ALWAYS, default_globs
 
 DIRS = ("src", "src/pkg", "docs", "tests", "tests/unit", "node_modules/lib", "build", ".git", "vendor/a/b", "examples")
@@ -21,7 +22,7 @@ TREE_GLOBS = ["**/node_modules/**", "**/*.log", "tests/*", "build/**"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def pick(values, n):
@@ -69,7 +70,7 @@ PARENT = "CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '')
 
 # Hand-written glob translation in SQL, independent of the library's own.
 GLOB_SQL = (
-    "regexp_replace(replace(replace(replace(replace(replace(glob, '.', '\\.'), '**/', '<D>'), '/**', '<T>'), "
+    "regexp_replace(replace(replace(replace(replace(replace(pattern, '.', '\\.'), '**/', '<D>'), '/**', '<T>'), "
     "'*', '[^/]*'), '<D>', '(?:[^/]+/)*'), '<T>', '(?:/.*)?')"
 )
 
@@ -77,7 +78,7 @@ GLOB_SQL = (
 def patterns_sql(globs: list[str]) -> str:
     values = ", ".join(f"({q(g)})" for g in globs)
     return (
-        f"globs(glob) AS (VALUES {values}), "
+        f"globs(pattern) AS (VALUES {values}), "
         f"one AS (SELECT '^(?:' || string_agg({GLOB_SQL}, '|') || ')' AS body FROM globs)"
     )
 

@@ -173,7 +173,7 @@ def _with_start(spark, sf):
 
 
 @check(
-    f"SELECT doc_id, regexp_matches(h, '^(3C68746D6C3E|255044462D)') OR NOT (regexp_matches(h, '^(424D|474946383961|252150532D41646F62652D|774F4646|52494646.{{8}}57415645)') "
+    f"SELECT doc_id, regexp_matches(h, '^(3C68746D6C3E|255044462D)') OR NOT (regexp_matches(h, '^(424D|474946383961|494433|4F54544F|252150532D41646F62652D|774F4646|52494646.{{8}}57415645)') "
     f"OR regexp_matches(h, '^(?:..)*(?:0[0-8BEF]|1[0-9AC-F])')) AS is_text FROM (SELECT doc_id, {_HEAD_SQL} AS h FROM documents)"
 )
 def text_sniff(spark, sf):

@@ -113,8 +113,8 @@ for _char, _code in [("/", "%2F"), (",", "%2C"), (":", "%3A"), (";", "%3B"), ("=
 
 
 @check(
-    rf"WITH found AS (SELECT url, regexp_extract_all({_CLEAN}, '(?is)<a\s[^>]*href=""([^""]*)""', 1) AS h FROM pages), ".replace('""', '"')
-    + "each AS (SELECT url, unnest(h) AS href, unnest(range(len(h))) AS pos FROM found) "
+    rf"""WITH found AS (SELECT url, regexp_extract_all({_CLEAN}, '(?is)<a\s[^>]*href="([^"]*)"', 1) AS h FROM pages), """
+    "each AS (SELECT url, unnest(h) AS href, unnest(range(len(h))) AS pos FROM found) "
     f"SELECT url AS src, CAST(pos AS INT) AS pos, {BASE} || {_ENCODED} AS dst FROM each"
 )
 def page_links(spark, sf):

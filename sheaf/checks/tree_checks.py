@@ -93,7 +93,7 @@ def assemble_prompt(spark, sf):
     return assemble.assemble_prompt(fc.labelled(spark, sf), GLOBS, fc._shown())
 
 
-@check(f"WITH {_PROMPT} SELECT trees.root, CAST(strlen(tree) + strlen(section) + strlen(coalesce(blocks, '')) + 2 * strlen(trees.root) + 26 - strlen(trees.root) AS BIGINT) AS bytes FROM trees JOIN section ON section.root = trees.root LEFT JOIN blocks ON blocks.root = trees.root")
+@check(f"WITH {_PROMPT} SELECT trees.root, CAST(strlen(tree) + strlen(section) + strlen(coalesce(blocks, '')) + strlen(trees.root) + 27 AS BIGINT) AS bytes FROM trees JOIN section ON section.root = trees.root LEFT JOIN blocks ON blocks.root = trees.root")
 def assemble_prompt_parts(spark, sf):
     """The same in parts of 100,000 bytes; together they are as long as the whole."""
     parts = assemble.assemble_prompt(fc.labelled(spark, sf), GLOBS, fc._shown(), part_bytes=100_000)
@@ -120,7 +120,7 @@ _LINES = "CASE WHEN content = '' THEN [] ELSE string_split(regexp_replace(conten
 
 @check(
     f"WITH {FILES}, l AS (SELECT root, path, content FROM files), "
-    "r AS (SELECT root, CASE WHEN source = 'src3' THEN 'moved/' || path ELSE path END AS path, CASE WHEN source = 'src5' THEN array_to_string(list_slice(string_split(content, chr(10)), 2, NULL), chr(10)) || chr(10) || 'x' "
+    "r AS (SELECT root, CASE WHEN source = 'src3' THEN 'moved/' || path ELSE path END AS path, CASE WHEN source = 'src5' THEN array_to_string(list_slice(string_split(content, chr(10)), 2, len(string_split(content, chr(10)))), chr(10)) || chr(10) || 'x' "
     "WHEN source = 'src7' THEN array_to_string(list_reverse(string_split(content, chr(10))), chr(10)) ELSE content END AS content FROM files), "
     "b AS (SELECT root, path, CASE WHEN l.content IS NULL THEN 'added' WHEN r.content IS NULL THEN 'removed' WHEN l.content <> r.content THEN 'modified' END AS status FROM l FULL JOIN r USING (root, path)), "
     f"ll AS (SELECT root, path, unnest({_LINES}) AS line, -1 AS n FROM l), rl AS (SELECT root, path, unnest({_LINES}) AS line, 1 AS n FROM r), "

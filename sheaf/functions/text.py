@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SPACE = r"[\s\x0B\x85\p{Z}]"
+# All Unicode white space.
+SPACE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def trim_space(text: Column) -> Column:
-    """Trim all Unicode white space; ``trim`` takes blanks only."""
-    return F.regexp_replace(text, rf"\A{_SPACE}+|{_SPACE}+\z", "")
+    """Trim all Unicode white space; ``trim`` alone takes blanks only."""
+    return F.btrim(text, F.lit(SPACE))
 
 
 def line_numbers(text: Column) -> Column:

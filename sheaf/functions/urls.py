@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,6 +27,11 @@ _PLAIN_IN_PATH = "/$&+,:;=@~"
 _PLAIN_IN_FRAGMENT = "/$&+,:;=@~?!()*"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def scheme(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, _SCHEME, 1))
 
@@ -87,14 +92,21 @@ def single_page(url: Column, seed: str | Column) -> Column:
 
 def url_label(url: Column) -> Column:
     """Host alone, or host and cleaned path."""
-    path = url_path(url)
-    clean = F.concat(host(url), F.regexp_replace(remove_dots(path), r"(?<=.)/\z", ""))
-    label = F.when(path.isin("", "/"), host(url)).otherwise(F.regexp_replace(clean, "/{2,}", "/"))
-    return F.when(parses(url), label).otherwise(url)
+
+    def label(p: Column) -> Column:
+        clean = F.concat(p["host"], F.regexp_replace(remove_dots(p["path"]), r"(?<=.)/\z", ""))
+        return F.when(p["path"].isin("", "/"), p["host"]).otherwise(F.regexp_replace(clean, "/{2,}", "/"))
+
+    parts = F.struct(host(url).alias("host"), url_path(url).alias("path"))
+    return F.when(parses(url), let(parts, label)).otherwise(url)
 
 
 def remove_dots(path: Column) -> Column:
     """Take out ``.`` and ``..`` segments; the result starts with a slash."""
+    return let(path, _remove_dots)
+
+
+def _remove_dots(path: Column) -> Column:
     parts = F.split(path, "/")
     empty = F.array().cast("array<string>")
 
@@ -103,13 +115,14 @@ def remove_dots(path: Column) -> Column:
         return F.when(part == ".", done).when(part == "..", shorter).otherwise(F.concat(done, F.array(part)))
 
     # The empty part before the first slash must not count as a segment to go up from.
-    bare = F.when(F.element_at(parts, 1) == "", F.slice(parts, 2, F.size(parts))).otherwise(parts)
+    bare = F.when(path.startswith("/"), F.slice(parts, 2, F.size(parts))).otherwise(parts)
     kept = F.array_join(F.aggregate(bare, empty, step), "/")
-    last = F.element_at(parts, -1)
-    slash = F.when(last.isin(".", "..") & (kept != ""), "/").otherwise("")
-    out = F.concat(F.lit("/"), kept, slash)
-    return F.when(path.rlike(r"(?:\A|/)\.\.?(?:/|\z)"), out).when(path.startswith("/"), path).otherwise(
-        F.concat(F.lit("/"), path)
+    slash = F.when(path.rlike(r"(?:\A|/)\.\.?\z"), "/").otherwise("")
+    out = let(kept, lambda k: F.concat(F.lit("/"), k, F.when(k == "", "").otherwise(slash)))
+    return (
+        F.when(path.rlike(r"(?:\A|/)\.\.?(?:/|\z)"), out)
+        .when(path.startswith("/"), path)
+        .otherwise(F.concat(F.lit("/"), path))
     )
 
 
@@ -121,39 +134,53 @@ def _unescape(text: Column) -> Column:
 
 def _escape(text: Column, valid: str, plain: str) -> Column:
     """Escape once more only what is not already a valid encoding."""
-    out = F.url_encode(_unescape(text))
-    out = F.replace(F.replace(out, F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A"))
-    for char in plain:
-        out = F.replace(out, F.lit(f"%{ord(char):02X}"), F.lit(char))
-    return F.when(text.rlike(valid), text).otherwise(out)
+
+    def again(raw: Column) -> Column:
+        out = F.url_encode(_unescape(raw))
+        out = F.replace(F.replace(out, F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A"))
+        for char in plain:
+            out = F.replace(out, F.lit(f"%{ord(char):02X}"), F.lit(char))
+        return F.when(raw.rlike(valid), raw).otherwise(out)
+
+    return let(text, again)
 
 
 def resolve_url(base: Column, href: Column) -> Column:
     """An href against its page's URL; null unless the result is http or https."""
-    own_scheme, own_host = scheme(href), F.regexp_extract(href, _AUTHORITY, 1)
-    path, base_path = raw_path(href), raw_path(base)
-    query, fragment = F.regexp_extract(href, _QUERY, 1), F.regexp_extract(href, _FRAGMENT, 1)
-    absolute = (own_scheme != "") | (own_host != "")
-    empty = ~absolute & (path == "")
-    same_page = empty & (query == "")
-
-    to_scheme = F.when(own_scheme != "", own_scheme).otherwise(scheme(base))
-    authority = F.when(absolute, own_host).otherwise(F.regexp_extract(base, _AUTHORITY, 1))
-    merged = (
-        F.when(absolute | path.startswith("/"), path)
-        .when(empty, base_path)
-        .otherwise(F.concat(F.regexp_replace(base_path, r"[^/]*\z", ""), path))
+    parts = F.struct(
+        *[
+            part.alias(f"{whose}_{what}")
+            for whose, url in (("own", href), ("base", base))
+            for what, part in (
+                ("scheme", scheme(url)),
+                ("authority", F.regexp_extract(url, _AUTHORITY, 1)),
+                ("path", raw_path(url)),
+                ("query", F.regexp_extract(url, _QUERY, 1)),
+                ("fragment", F.regexp_extract(url, _FRAGMENT, 1)),
+            )
+        ]
     )
-    merged = F.when(merged == "", F.lit("")).otherwise(remove_dots(merged))
-    to_query = F.when(same_page, F.regexp_extract(base, _QUERY, 1)).otherwise(query)
-    to_query = F.when(to_query == "?", F.when(href.contains("?"), "?").otherwise("")).otherwise(to_query)
-    to_fragment = F.when(same_page & (fragment == ""), F.regexp_extract(base, _FRAGMENT, 1)).otherwise(fragment)
-    hash_part = F.when(to_fragment == "", F.lit("")).otherwise(
-        F.concat(F.lit("#"), _escape(to_fragment, _VALID_FRAGMENT, _PLAIN_IN_FRAGMENT))
+    opaque = href.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:(?!/)")
+    return F.when(parses(href) & parses(base) & ~opaque, let(parts, _combine))
+
+
+def _combine(p: Column) -> Column:
+    absolute = (p["own_scheme"] != "") | (p["own_authority"] != "")
+    empty = ~absolute & (p["own_path"] == "")
+    same_page = empty & (p["own_query"] == "")
+
+    to_scheme = F.when(p["own_scheme"] != "", p["own_scheme"]).otherwise(p["base_scheme"])
+    authority = F.when(absolute, p["own_authority"]).otherwise(p["base_authority"])
+    merged = (
+        F.when(absolute | p["own_path"].startswith("/"), p["own_path"])
+        .when(empty, p["base_path"])
+        .otherwise(F.concat(F.regexp_replace(p["base_path"], r"[^/]*\z", ""), p["own_path"]))
     )
-    out = F.concat(
-        to_scheme, F.lit("://"), authority, _escape(merged, _VALID_PATH, _PLAIN_IN_PATH), to_query, hash_part
+    merged = let(merged, lambda m: F.when(m == "", m).otherwise(remove_dots(m)))
+    query = F.when(same_page, p["base_query"]).otherwise(p["own_query"])
+    fragment = F.when(same_page & (p["own_fragment"] == ""), p["base_fragment"]).otherwise(p["own_fragment"])
+    after = let(
+        _escape(fragment, _VALID_FRAGMENT, _PLAIN_IN_FRAGMENT), lambda f: F.when(f == "", "").otherwise(F.concat(F.lit("#"), f))
     )
-    opaque = (own_scheme != "") & ~href.rlike(r"\A[^:]*:/")
-    good = parses(href) & parses(base) & ~opaque & to_scheme.startswith("http")
-    return F.when(good, out)
+    out = F.concat(to_scheme, F.lit("://"), authority, _escape(merged, _VALID_PATH, _PLAIN_IN_PATH), query, after)
+    return F.when(to_scheme.startswith("http"), out)

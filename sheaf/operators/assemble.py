@@ -12,6 +12,7 @@ from sheaf.functions.text import pdf_clean_text
 from sheaf.operators.stats import excluded_pieces
 from sheaf.operators.tree import source_pieces
 from sheaf.plans.ordered import PART_BYTES, stitch
+from sheaf.session import cut
 
 
 def file_block(shown_path: Column, text: Column) -> Column:
@@ -41,10 +42,12 @@ def prompt_pieces(
 ) -> DataFrame:
     """A prompt per root as ordered pieces ``(root, section, key, text)``."""
     globs = list(globs)
+    # Paths without texts: every part of a prompt but its files is made from these.
+    slim = cut(labelled.select("root", "path", "state"))
     text = F.col("content") if shown is None else shown
     path = display_path(F.col("root"), F.col("path")) if relative else F.concat_ws("/", "root", "path")
     kept = labelled.where(F.col("state") == "kept")
-    roots = labelled.select("root").distinct()
+    roots = slim.select("root").distinct()
 
     def fixed(section: int, words: str, rows: DataFrame = roots) -> DataFrame:
         return rows.select("root", F.lit(section).alias("section"), F.lit("").alias("key"), F.lit(words).alias("text"))
@@ -58,18 +61,18 @@ def prompt_pieces(
     else:
         changed = change_pieces(changes)
         unchanged = roots.join(changes.select("root"), "root", "left_anti")
-    out = (
+    around = (
         fixed(0, "\nSource Trees:\n\n")
-        .unionByName(placed(1, source_pieces(labelled, globs)))
+        .unionByName(placed(1, source_pieces(slim, globs)))
         .unionByName(fixed(2, "\n\n"))
-        .unionByName(placed(3, excluded_pieces(labelled, globs)))
+        .unionByName(placed(3, excluded_pieces(slim, globs)))
         .unionByName(fixed(4, "\n\n"))
-        .unionByName(placed(5, blocks))
         .unionByName(fixed(6, "\n\n"))
         .unionByName(fixed(7, "\n\n", unchanged))
         .unionByName(fixed(8, "\n"))
     )
-    return out if changed is None else out.unionByName(placed(7, changed))
+    around = around if changed is None else around.unionByName(placed(7, changed))
+    return cut(around).unionByName(placed(5, blocks))
 
 
 def assemble_prompt(
@@ -96,7 +99,7 @@ def pdf_assemble(pages: DataFrame, strict: bool = True, part_bytes: int = PART_B
     clean = pages.select("path", F.col("page_no").cast("bigint").alias("page_no"), pdf_clean_text(F.col("text"), strict).alias("clean"))
     clean = clean.where(F.col("clean") != "")
     body = F.concat(F.lit("## Page "), F.col("page_no").cast("string"), F.lit("\n\n"), F.col("clean"), F.lit("\n\n"))
+    parts = stitch(clean.select("path", "page_no", body.alias("text")), ["path"], ["page_no"], "text", "content", part_bytes)
     head = F.concat(F.lit("# PDF Content: "), base_name(F.col("path")), F.lit("\n\n"))
-    heads = clean.select("path").distinct().select("path", F.lit(-1).cast("bigint").alias("page_no"), head.alias("text"))
-    pieces = heads.unionByName(clean.select("path", "page_no", body.alias("text")))
-    return stitch(pieces, ["path"], ["page_no"], "text", "content", part_bytes)
+    first = F.when(F.col("part") == 0, head).otherwise("")
+    return parts.withColumn("content", F.concat(first, "content"))

@@ -29,6 +29,9 @@ def _by_kind(text: Column, lang: str) -> Column:
         if kind == "method":
             # A name starts a word: the same matches, without a try at every letter.
             pattern = r"(?:(?<!\w)|(?=<))" + pattern
+        # What follows a word in these patterns is never part of one, so the words need
+        # not give anything back.
+        pattern = pattern.replace(r"\w+", r"\w++")
         parts.append(_all_of(text, pattern, kind))
     return F.concat(*parts)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sheaf.functions.globs import any_glob_regex, matches_dot, whole
 from sheaf.functions.paths import ancestors, file_ext, language_id, parent_dir, walk_key
 from sheaf.plans.ordered import PART_BYTES, stitch
+from sheaf.session import cut
 
 SAMPLE = 20
 
@@ -62,6 +63,7 @@ def excluded_pieces(labelled: DataFrame, globs: Iterable[str]) -> DataFrame:
 
     Up to SAMPLE files are listed one by one; beyond that, counts by directory and by
     extension stand for them, with an empty entry for each directory skipped whole.
+    ``labelled`` is read many times over and should be slim and kept.
     """
     total = excluded_total(labelled)
     few = total.where(F.col("n") <= SAMPLE)
@@ -103,7 +105,8 @@ def excluded_pieces(labelled: DataFrame, globs: Iterable[str]) -> DataFrame:
 
 def excluded_section(labelled: DataFrame, globs: Iterable[str], part_bytes: int = PART_BYTES) -> DataFrame:
     """``(root, part, section)``: the pieces put together, in parts if large."""
-    return stitch(excluded_pieces(labelled, globs), ["root"], ["key"], "text", "section", part_bytes)
+    slim = cut(labelled.select("root", "path", "state"))
+    return stitch(excluded_pieces(slim, globs), ["root"], ["key"], "text", "section", part_bytes)
 
 
 def root_summary(labelled: DataFrame, tokens: Column | None = None) -> DataFrame:

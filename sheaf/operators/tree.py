@@ -15,6 +15,7 @@ from sheaf.functions.globs import any_glob_regex, whole
 from sheaf.functions.paths import base_name
 from sheaf.plans.ordered import PART_BYTES, stitch
 from sheaf.plans.skew import lookup_join
+from sheaf.session import cut
 
 # The marks of the drawing.
 TEE, ELBOW, BAR, GAP = "├── ", "└── ", "│   ", "    "
@@ -108,7 +109,11 @@ def tree_lines(nodes: DataFrame) -> DataFrame:
 
 
 def tree_pieces(nodes: DataFrame) -> DataFrame:
-    """The drawing with its head as ordered pieces ``(root, key, text)``."""
+    """The drawing with its head as ordered pieces ``(root, key, text)``.
+
+    The nodes are used several times, and so kept.
+    """
+    nodes = cut(nodes)
     heads = nodes.groupBy("root").agg(F.max("excluded").alias("any"))
     name = base_name(F.regexp_replace("root", "/+$", ""))
     head = F.concat(F.when(F.col("any"), LEGEND).otherwise(""), name, F.lit("/"))
