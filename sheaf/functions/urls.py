@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sheaf.functions.columns import let
 from sheaf.functions.globs import any_glob_regex, whole
 
 _SCHEME = r"\A([A-Za-z][A-Za-z0-9+.-]*):"
@@ -27,11 +28,6 @@ _PLAIN_IN_PATH = "/$&+,:;=@~"
 _PLAIN_IN_FRAGMENT = "/$&+,:;=@~?!()*"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once, however often it is used."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def scheme(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, _SCHEME, 1))
 

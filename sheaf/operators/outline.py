@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.functions import outlines as o
 from sheaf.functions.paths import language_id
+from sheaf.functions.columns import let
 from sheaf.functions.text import trim_space
 
 _CHUNKS = "array<struct<kind:string,content:string>>"
@@ -23,6 +26,18 @@ def _all_of(text: Column, pattern: str, kind: str) -> Column:
     return F.transform(found, lambda c: F.struct(F.lit(kind).alias("kind"), trim_space(c).alias("content")))
 
 
+def _first_letter(pattern: str) -> str:
+    """A pattern of optional words and a keyword, tried only at letters it can begin
+    with. The matches stay the same."""
+    letters, rest = set(), pattern
+    while group := re.match(r"\(\?:((?:[a-z]+\\s\+\|?)+)\)[?*]", rest):
+        letters |= {word[0] for word in group[1].split("|")}
+        rest = rest[group.end() :]
+    if letters and rest[0].islower():
+        return f"(?=[{''.join(sorted(letters | {rest[0]}))}])" + pattern
+    return pattern
+
+
 def _by_kind(text: Column, lang: str) -> Column:
     parts = []
     for kind, pattern in o.BY_KIND[lang]:
@@ -31,7 +46,7 @@ def _by_kind(text: Column, lang: str) -> Column:
             pattern = r"(?:(?<!\w)|(?=<))" + pattern
         # What follows a word in these patterns is never part of one, so the words need
         # not give anything back.
-        pattern = pattern.replace(r"\w+", r"\w++")
+        pattern = _first_letter(pattern.replace(r"\w+", r"\w++"))
         parts.append(_all_of(text, pattern, kind))
     return F.concat(*parts)
 
@@ -124,8 +139,12 @@ def outline_join(chunk_array: Column, lang: Column) -> Column:
     for name, text in o.NONE_FOUND.items():
         notice = F.when(lang == name, text) if notice is None else notice.when(lang == name, text)
     notice = notice.otherwise(F.lit(o.NONE_FOUND_ELSE))
-    body = F.array_join(F.transform(chunk_array, lambda c: F.concat(c["content"], F.lit(o.SEPARATOR))), "")
-    return F.when(F.size(chunk_array) == 0, notice).otherwise(body)
+
+    def text_of(found: Column) -> Column:
+        body = F.array_join(F.transform(found, lambda c: F.concat(c["content"], F.lit(o.SEPARATOR))), "")
+        return F.when(F.size(found) == 0, notice).otherwise(body)
+
+    return let(chunk_array, text_of)
 
 
 def outline(files: DataFrame, css_declarations: bool = False, emit_names: bool = False) -> DataFrame:

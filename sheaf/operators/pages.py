@@ -16,8 +16,12 @@ from sheaf.plans.ordered import PART_BYTES, stitch
 
 def page_links(pages: DataFrame) -> DataFrame:
     """``(src, pos, dst)``: every anchor of every page, resolved, web schemes only."""
-    found = pages.select(F.col("url").alias("src"), F.posexplode(html.hrefs(F.col("html"))).alias("pos", "href"))
-    return found.select("src", "pos", urls.resolve_url(F.col("src"), F.col("href")).alias("dst")).where("dst is not null")
+    url = F.col("url")
+    # Resolved inside the array, since a filter on the result would do it twice over.
+    found = F.transform(
+        html.hrefs(F.col("html")), lambda h, i: F.struct(i.alias("pos"), urls.resolve_url(url, h).alias("dst"))
+    )
+    return pages.select(url.alias("src"), F.inline(F.filter(found, lambda link: link["dst"].isNotNull())))
 
 
 _MARKDOWN = "url string, title string, markdown string, status int"
@@ -68,6 +72,6 @@ def web_tree(pages: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     line = F.concat(F.repeat(F.lit("  "), F.col("depth")), F.lit("├── "), urls.url_label(F.col("url")), F.lit("\n"))
     lines = pages.select(F.col("depth").cast("int").alias("depth"), F.col("url").alias("key"), line.alias("text"))
     title = spark.createDataFrame([(-1, "", "Web Crawl Structure:\n")], "depth int, key string, text string")
-    return stitch(title.unionByName(lines), [], ["depth", "key"], "text", "tree", part_bytes)
+    return stitch(title.unionByName(lines), [], ["depth", "key"], "text", "tree", part_bytes, keep=True)
 
 

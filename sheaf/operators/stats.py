@@ -106,7 +106,7 @@ def excluded_pieces(labelled: DataFrame, globs: Iterable[str]) -> DataFrame:
 def excluded_section(labelled: DataFrame, globs: Iterable[str], part_bytes: int = PART_BYTES) -> DataFrame:
     """``(root, part, section)``: the pieces put together, in parts if large."""
     slim = cut(labelled.select("root", "path", "state"))
-    return stitch(excluded_pieces(slim, globs), ["root"], ["key"], "text", "section", part_bytes)
+    return stitch(excluded_pieces(slim, globs), ["root"], ["key"], "text", "section", part_bytes, keep=True)
 
 
 def root_summary(labelled: DataFrame, tokens: Column | None = None) -> DataFrame:

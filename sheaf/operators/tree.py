@@ -125,7 +125,7 @@ def tree_render(
     files: DataFrame, globs: Iterable[str] = (), show_excluded: bool = True, part_bytes: int = PART_BYTES
 ) -> DataFrame:
     """``(root, part, tree)``: the drawn tree of each root, in parts if large."""
-    return stitch(tree_pieces(tree_nodes(files, globs, show_excluded)), ["root"], ["key"], "text", "tree", part_bytes)
+    return stitch(tree_pieces(tree_nodes(files, globs, show_excluded)), ["root"], ["key"], "text", "tree", part_bytes, keep=True)
 
 
 def source_pieces(files: DataFrame, globs: Iterable[str] = (), show_excluded: bool = True) -> DataFrame:
@@ -141,4 +141,4 @@ def source_trees(files: DataFrame, globs: Iterable[str] = (), part_bytes: int =
     first = files.agg(F.min("root")).first()[0]
     gap = F.when((F.col("key") == "") & (F.col("root") != F.lit(first)), F.concat(F.lit("\n\n"), "text"))
     pieces = pieces.select("root", "key", F.coalesce(gap, F.col("text")).alias("text"))
-    return stitch(pieces, [], ["root", "key"], "text", "source_trees", part_bytes)
+    return stitch(pieces, [], ["root", "key"], "text", "source_trees", part_bytes, keep=True)

@@ -39,14 +39,22 @@ def running_totals(df: DataFrame, group: list[str], order: list[str], totals: di
 
 
 def stitch(
-    pieces: DataFrame, group: list[str], order: list[str], text: str, name: str, part_bytes: int = PART_BYTES
+    pieces: DataFrame,
+    group: list[str],
+    order: list[str],
+    text: str,
+    name: str,
+    part_bytes: int = PART_BYTES,
+    keep: bool = False,
 ) -> DataFrame:
     """Concatenate the pieces of each group in order: ``(*group, part, name)``.
 
     A part ends once it holds ``part_bytes``; the parts of a group, put together in
     order, are the whole text. Groups below the limit have the one part 0, and if all
-    are, the parts need not be worked out.
+    are, the parts need not be worked out. Pieces are read twice; ``keep`` has them
+    written to the shared folder, for short ones that are costly to make.
     """
+    pieces = cut(pieces) if keep else pieces
     size = F.octet_length(text).cast("bigint")
     totals = pieces.groupBy(*group).agg(F.sum(size).alias("_bytes"))
     if totals.where(F.col("_bytes") > part_bytes).isEmpty():
