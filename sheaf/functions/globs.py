@@ -35,7 +35,9 @@ def _sequence(glob: str, at: int, nested: bool) -> tuple[str, int]:
         if glob.startswith("**", at) and (at == start or glob[at - 1] == "/"):
             after = at + 2
             if glob.startswith("/", after):
-                out.append(_ANY_DIRS)
+                # Two in a row are one.
+                if not re.match(r"/\*\*(?:/|\Z)", glob[after:]):
+                    out.append(_ANY_DIRS)
                 at = after + 1
                 continue
             if after == len(glob) or (nested and glob[after] in ",}"):

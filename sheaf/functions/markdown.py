@@ -12,6 +12,7 @@ BLOCKS = {
     "address", "article", "aside", "body", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset",
     "figcaption", "figure", "footer", "form", "header", "html", "main", "nav", "p", "section", "summary",
 }
+OTHER_BLOCKS = {"ul", "ol", "pre", "table", "hr", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6"}
 MARKS = {"b": "**", "strong": "**", "i": "*", "em": "*", "del": "~~", "s": "~~", "strike": "~~"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 MAX_NESTING = 200
@@ -26,40 +27,62 @@ def _escape(text: str) -> str:
 
 
 class _Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "plain")
 
     def __init__(self, tag: str, attrs: dict[str, str | None]) -> None:
-        self.tag, self.attrs, self.children = tag, attrs, []
+        self.tag, self.attrs, self.children, self.plain = tag, attrs, [], False
 
 
 class _Tree(HTMLParser):
-    """A forgiving tree: an end tag closes the nearest open element of its name."""
+    """A forgiving tree: an end tag closes the nearest open element of its name, and
+    marks left open go on in the next text."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = _Node("", {})
         self.open = [self.root]
+        self.unclosed: dict[str, None] = {}
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        closes = {"li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-        if tag in BLOCKS or tag in ("ul", "ol", "pre", "table", "hr", "blockquote") or re.fullmatch("h[1-6]", tag):
+        if tag in BLOCKS or tag in OTHER_BLOCKS:
             self._close({"p"}, {"li", "td", "th", "blockquote", "div", "article", "section"})
-        elif tag in closes:
-            self._close(closes[tag], {"ul", "ol", "table"})
-        node = _Node(tag, dict(attrs))
+        elif tag == "li":
+            self._close({"li"}, {"ul", "ol"})
+        elif tag == "tr":
+            self._close({"tr"}, {"table"})
+        elif tag in ("td", "th"):
+            self._close({"td", "th"}, {"tr", "table"})
+        elif tag not in DROPPED:
+            self._resume()
+        self._push(tag, dict(attrs))
+
+    def _push(self, tag: str, attrs: dict[str, str | None]) -> None:
+        node = _Node(tag, attrs)
+        # A mark inside its own kind adds nothing.
+        node.plain = tag in MARKS and any(MARKS.get(n.tag) == MARKS[tag] for n in self.open)
         self.open[-1].children.append(node)
         # Beyond this depth elements no longer nest, which keeps recursion bounded.
         if tag not in VOID and len(self.open) < MAX_NESTING:
             self.open.append(node)
 
+    def _cut(self, at: int) -> None:
+        """Close the element at a place and all inside it."""
+        self.unclosed.update((n.tag, None) for n in self.open[at + 1 :] if n.tag in MARKS)
+        del self.open[at:]
+
     def _close(self, tags: set[str], limits: set[str]) -> None:
         for at in range(len(self.open) - 1, 0, -1):
             if self.open[at].tag in tags:
-                del self.open[at:]
+                self._cut(at)
                 return
             if self.open[at].tag in limits:
                 return
 
+    def _resume(self) -> None:
+        marks, self.unclosed = self.unclosed, {}
+        for tag in marks:
+            self._push(tag, {})
+
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
         node = self.open[-1]
@@ -67,12 +90,15 @@ class _Tree(HTMLParser):
             self.open.pop()
 
     def handle_endtag(self, tag: str) -> None:
+        self.unclosed.pop(tag, None)
         for at in range(len(self.open) - 1, 0, -1):
             if self.open[at].tag == tag:
-                del self.open[at:]
+                self._cut(at)
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.unclosed and data.strip() and not any(n.tag in DROPPED for n in self.open):
+            self._resume()
         self.open[-1].children.append(data)
 
 
@@ -115,7 +141,7 @@ def _element(node: _Node) -> str:
     if re.fullmatch("h[1-6]", tag):
         text = " ".join(_inline(node).split())
         return _block(f"{'#' * int(tag[1])} {text}") if text else ""
-    if tag in MARKS:
+    if tag in MARKS and not node.plain:
         return _marked(node, MARKS[tag])
     if tag == "br":
         return "  \n"
