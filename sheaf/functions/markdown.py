@@ -6,7 +6,7 @@ import re
 from html.parser import HTMLParser
 
 # What is dropped, what stays HTML, what starts a paragraph of its own.
-DROPPED = {"script", "style", "iframe", "noscript", "head", "template"}
+DROPPED = {"script", "style", "iframe", "noscript", "head", "template", "title"}
 KEPT = {"math"}
 BLOCKS = {
     "address", "article", "aside", "body", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset",

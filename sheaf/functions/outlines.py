@@ -148,7 +148,7 @@ LEXERS = {
         r"(?:^|[ \t])#[^\n]*",
         rf"^{B}*function{B}+[\w:.-]+{B}*(?:\({B}*\))?{W}*\{{",
         rf"^{B}*[\w:.-]+{B}*\({B}*\){W}*\{{",
-        rf"{_BASH_WORD}(?:{B}+{_BASH_WORD})*+{B}*\)?",
+        rf"{_BASH_WORD}(?:{B}+{_BASH_WORD})*+(?:{B}*\))?",
     ),
     "c": _any(
         LINE_COMMENT,
