@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sheaf.session import cut
+
 _RULE = T.StructType().add("regex", T.StringType()).add("negated", T.BooleanType())
 
 
@@ -97,7 +99,8 @@ def ignore_rules(files: DataFrame) -> DataFrame:
     lines = files.where(F.col("path") == ".gitignore").select("root", F.posexplode(F.split("content", "\n")))
     rules = lines.select("root", F.col("pos").alias("ord"), _rule_of("col").alias("rule")).where("rule.regex is not null")
     ordered = F.array_sort(F.collect_list(F.struct("ord", "rule.regex", "rule.negated")))
-    return rules.groupBy("root").agg(ordered.alias("rules"))
+    # Small, but found by a scan of all paths, and used more than once.
+    return cut(rules.groupBy("root").agg(ordered.alias("rules")))
 
 
 def ignored_by_rules(path: Column, rules: Column) -> Column:

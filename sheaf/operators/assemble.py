@@ -60,7 +60,7 @@ def prompt_pieces(
         changed, unchanged = None, roots
     else:
         changed = change_pieces(changes)
-        unchanged = roots.join(changes.select("root"), "root", "left_anti")
+        unchanged = roots.join(changes.select("root").distinct(), "root", "left_anti")
     around = (
         fixed(0, "\nSource Trees:\n\n")
         .unionByName(placed(1, source_pieces(slim, globs)))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.functions import urls
+from sheaf.plans.skew import lookup_join
 from sheaf.session import cut
 
 
@@ -41,7 +42,8 @@ def crawl(
     may = allowed(F.col("url"), domains, exclude, page)
     stored = cut(pages.select("url").where(may).distinct())
     edges = links.where("src <> dst").select("src", F.col("dst").alias("url")).distinct()
-    edges = cut(edges.join(stored, "url", "left_semi"))
+    # Pages that everyone links to are salted here.
+    edges = cut(lookup_join(edges, stored, ["url"], ["src"], "left_semi"))
     frontier = cut(seeds.select("url").distinct().join(stored, "url", "left_semi").select("url", F.lit(0).alias("depth")))
     visited = frontier
     for depth in range(1, max_depth + 1):

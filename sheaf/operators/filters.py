@@ -12,6 +12,7 @@ from sheaf.functions.globs import any_glob_regex, glob_match, glob_match_above,
 from sheaf.functions.paths import ancestors
 from sheaf.functions.sniff import text_sniff
 from sheaf.functions.text import pdf_detect
+from sheaf.plans.skew import MAX_BROADCAST, lookup_join
 
 
 def prune_excluded(files: DataFrame, globs: Iterable[str]) -> DataFrame:
@@ -43,7 +44,7 @@ def _ignored(files: DataFrame, rules: DataFrame | Iterable[str]) -> tuple[DataFr
     """Files with rules at hand, and whether each itself, or one above, is ignored."""
     path = F.col("path")
     if isinstance(rules, DataFrame):
-        files = files.join(rules.select("root", F.col("rules").alias("_rules")), "root", "left")
+        files = _with_rules(files, rules)
         own = ignore.ignored_by_rules(path, F.col("_rules"))
         above = F.exists(ancestors(path), lambda a: ignore.ignored_by_rules(a, F.col("_rules")))
         return files, own, above
@@ -51,12 +52,22 @@ def _ignored(files: DataFrame, rules: DataFrame | Iterable[str]) -> tuple[DataFr
     return files, ignore.ignored_by(path, lines), F.exists(ancestors(path), lambda a: ignore.ignored_by(a, lines))
 
 
+def _with_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """Files with their root's rules. The rules go to every task if they are small, so
+    that files need not move; otherwise roots with very many files are salted."""
+    rules = rules.select("root", F.col("rules").alias("_rules"))
+    length = F.aggregate("_rules", F.lit(64), lambda n, r: n + F.octet_length(r["regex"]) + 64)
+    size = rules.agg(F.sum(length)).first()[0] or 0
+    if size <= MAX_BROADCAST:
+        return files.join(F.broadcast(rules), "root", "left")
+    return lookup_join(files, rules, ["root"], ["path"])
+
+
 def gitignore_filter(files: DataFrame, rules: DataFrame | Iterable[str]) -> DataFrame:
     """Drop files that the rules ignore, themselves or by a directory above.
 
     ``rules`` is a list of lines for all roots, or the ``(root, rules)`` table of
-    ``ignore_rules``; the latter has one row per root, so a root with most of the files
-    is split by the adaptive skew join.
+    ``ignore_rules``.
     """
     labelled, own, above = _ignored(files, rules)
     return labelled.where(~own & ~above).select(*files.columns)

@@ -13,6 +13,7 @@ from sheaf.functions import models
 from sheaf.functions.bpe import count_tokens
 from sheaf.functions.paths import walk_key
 from sheaf.plans.ordered import running_totals
+from sheaf.plans.skew import MAX_BROADCAST, lookup_join
 from sheaf.session import cut
 
 # A vocabulary of ranks is a fixed table of this order (200,000 for the largest
@@ -20,8 +21,6 @@ from sheaf.session import cut
 MAX_RANKS = 2_000_000
 # Distinct pre-tokens sent to every task. The rest, each of them rare, goes by shuffle.
 HEAD = 500_000
-# Bytes of pre-token text sent to every task.
-HEAD_BYTES = 64 << 20
 
 
 def pretokens(df: DataFrame, text: str, encoding: str) -> DataFrame:
@@ -74,18 +73,19 @@ def token_count(
     """``(*id_cols, name)``: tokens of each text, counted for the whole table at once.
 
     Texts are joined to the vocabulary without moving: its most used pre-tokens, at most
-    ``head`` of them and HEAD_BYTES long, go to every task. If there are more, the texts'
-    remaining pre-tokens, none of which is frequent, join the rest by shuffle. ``id_cols``
+    ``head`` of them and MAX_BROADCAST long, go to every task. If there are more, the texts'
+    remaining pre-tokens join the rest by shuffle. ``id_cols``
     must tell the texts apart.
     """
     words = vocabulary(df, text, encoding, ranks)
     n, size = words.agg(F.count("*"), F.sum(F.octet_length("pretoken"))).first()
-    exploded = df.select(*id_cols, F.explode(models.pretokens(F.col(text), encoding)).alias("pretoken"))
+    # A text without pre-tokens stays as one row with none.
+    exploded = df.select(*id_cols, F.explode_outer(models.pretokens(F.col(text), encoding)).alias("pretoken"))
     known = words.select("pretoken", "tokens")
-    if n <= head and (size or 0) <= HEAD_BYTES:
-        counted = exploded.join(F.broadcast(known), "pretoken").groupBy(*id_cols).agg(F.sum("tokens").alias(name))
+    if n <= head and (size or 0) <= MAX_BROADCAST:
+        counted = exploded.join(F.broadcast(known), "pretoken", "left").groupBy(*id_cols).agg(F.sum("tokens").alias("_t"))
     else:
-        short = max(1, min(head, HEAD_BYTES // 128))
+        short = max(1, min(head, MAX_BROADCAST // 128))
         common = words.where(F.octet_length("pretoken") <= 128).orderBy(F.desc("uses"), "pretoken").limit(short)
         common = cut(common.select("pretoken", "tokens"))
         rest = known.join(F.broadcast(common.select("pretoken")), "pretoken", "left_anti")
@@ -98,12 +98,11 @@ def token_count(
         )
         partial = cut(partial)
         done = partial.where("pretoken is null").select(*id_cols, F.col("_sum").alias("_t"))
-        late = partial.where("pretoken is not null").join(rest, "pretoken")
+        # A long pre-token may be frequent all the same; such a one is salted.
+        late = lookup_join(partial.where("pretoken is not null"), rest, ["pretoken"], id_cols, "inner")
         late = late.select(*id_cols, (F.col("tokens") * F.col("_n")).alias("_t"))
-        counted = done.unionByName(late).groupBy(*id_cols).agg(F.sum("_t").alias(name))
-    # A text without pre-tokens is the empty one.
-    empty = df.where(F.col(text) == "").select(*id_cols, F.lit(0).cast("bigint").alias(name))
-    return counted.unionByName(empty)
+        counted = done.unionByName(late).groupBy(*id_cols).agg(F.sum("_t").alias("_t"))
+    return counted.select(*id_cols, F.coalesce("_t", F.lit(0)).alias(name))
 
 
 def token_count_corrected(df: DataFrame, raw: str = "tokens", name: str = "corrected") -> DataFrame:
@@ -140,8 +139,8 @@ def budget_pack(df: DataFrame, budget: int, tokens: str = "tokens") -> DataFrame
         "root", "path", walk_key(F.col("path")).alias("_key"), F.col(tokens).cast("bigint").alias("tokens")
     ).withColumns({"_small": F.when(big, 0).otherwise(F.col("tokens")), "_big": big.cast("bigint")})
     placed = running_totals(rows, ["root"], ["_key"], {"_small": "_before", "_big": "_bigs"})
-    roots = rows.groupBy("root").agg((F.lit(budget) - F.max("_small")).alias("_width"), F.sum("_small").alias("_all"))
+    roots = placed.groupBy("root").agg((F.lit(budget) - F.max("_small")).alias("_width"), F.sum("_small").alias("_all"))
     shard = F.floor(F.col("_before") / F.col("_width"))
     late = F.floor(F.col("_all") / F.col("_width")) + 1 + F.col("_bigs")
-    out = placed.join(roots, "root").withColumn("shard", F.when(big, late).otherwise(shard).cast("bigint"))
+    out = lookup_join(placed, roots, ["root"], ["path"], "inner").withColumn("shard", F.when(big, late).otherwise(shard).cast("bigint"))
     return out.select("root", "path", "tokens", "shard")

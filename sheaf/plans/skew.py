@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 HOT_ROWS = 1_000_000
 SALTS = 64
 MAX_HOT_KEYS = 100_000
+# Bytes of a table that may go to every task.
+MAX_BROADCAST = 64 << 20
 
 
 def lookup_join(

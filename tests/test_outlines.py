@@ -9,7 +9,7 @@ from sheaf.operators import outline as outlining
 HOLDS = {
     ".go": (
         ["package p7", 'import "fmt"', 'import (\n\t"os"\n\t"strings"\n)', "/* block\n   comment */", "type S7 struct {", "type 7s = []string",
-         "func (s *S7) Get(v int, f func(int) int) (string, error) { ... }\n", "func main7() interface{} { ... }\n", "// inside", "// note"],
+         "func (s *S7) Get(v int, f func(int) int) (string, error) { ... }\n", "func main7() interface{} { ... }\n", "// inside", "//note"],
         ["return", "Println", "func no", "type no"],
     ),
     ".py": (
