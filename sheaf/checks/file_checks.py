@@ -318,7 +318,7 @@ def _first_pruned(globs):
 
 @check(f"WITH {LABELLED} SELECT DISTINCT root, {_first_pruned(GLOBS)} AS dir FROM labelled WHERE state = 'pruned'")
 def pruned_dirs(spark, sf):
-    return stats.pruned_dirs(labelled(spark, sf), GLOBS)
+    return stats.pruned_dirs(labelled(spark, sf))
 
 
 # Roots are split by source here, so that some have few exclusions and others many.
@@ -348,7 +348,7 @@ def mixed(spark, sf):
 
 @check(f"WITH {_MIXED}, {labelled_sql(GLOBS)}, {SECTION} SELECT root, CAST(0 AS BIGINT) AS part, section FROM section")
 def excluded_section(spark, sf):
-    return stats.excluded_section(mixed(spark, sf), GLOBS)
+    return stats.excluded_section(mixed(spark, sf))
 
 
 @check(

@@ -40,12 +40,20 @@ def prompt_pieces(
     relative: bool = True,
     changes: DataFrame | None = None,
 ) -> DataFrame:
-    """A prompt per root as ordered pieces ``(root, section, key, text)``."""
+    """A prompt per root as ordered pieces ``(root, section, key, text)``.
+
+    A root that is a single file, marked ``explicit``, has no exclusions.
+    """
     globs = list(globs)
     # Paths without texts: every part of a prompt but its files is made from these.
-    slim = cut(labelled.select("root", "path", "state"))
+    explicit = F.col("explicit") if "explicit" in labelled.columns else F.lit(False)
+    slim = cut(labelled.select("root", "path", "state", "pruned_at", explicit.alias("explicit")))
+    walked = slim.where(~F.col("explicit"))
     text = F.col("content") if shown is None else shown
-    path = display_path(F.col("root"), F.col("path")) if relative else F.concat_ws("/", "root", "path")
+    if relative:
+        path = F.when(explicit, F.col("path")).otherwise(display_path(F.col("root"), F.col("path")))
+    else:
+        path = F.when(explicit, F.col("root")).otherwise(F.concat_ws("/", "root", "path"))
     kept = labelled.where(F.col("state") == "kept")
     roots = slim.select("root").distinct()
 
@@ -65,7 +73,7 @@ def prompt_pieces(
         fixed(0, "\nSource Trees:\n\n")
         .unionByName(placed(1, source_pieces(slim, globs)))
         .unionByName(fixed(2, "\n\n"))
-        .unionByName(placed(3, excluded_pieces(slim, globs)))
+        .unionByName(placed(3, excluded_pieces(walked)))
         .unionByName(fixed(4, "\n\n"))
         .unionByName(fixed(6, "\n\n"))
         .unionByName(fixed(7, "\n\n", unchanged))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,16 +40,12 @@ def _passes(path: Column, include: Iterable[str], excluded: Column, include_prio
     return included if include_priority else included & ~excluded
 
 
-def _ignored(files: DataFrame, rules: DataFrame | Iterable[str]) -> tuple[DataFrame, Column, Column]:
-    """Files with rules at hand, and whether each itself, or one above, is ignored."""
-    path = F.col("path")
+def _ignored(files: DataFrame, rules: DataFrame | Iterable[str]) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """Files with rules at hand, and the test whether a path is ignored."""
     if isinstance(rules, DataFrame):
-        files = _with_rules(files, rules)
-        own = ignore.ignored_by_rules(path, F.col("_rules"))
-        above = F.exists(ancestors(path), lambda a: ignore.ignored_by_rules(a, F.col("_rules")))
-        return files, own, above
+        return _with_rules(files, rules), lambda path: ignore.ignored_by_rules(path, F.col("_rules"))
     lines = list(rules)
-    return files, ignore.ignored_by(path, lines), F.exists(ancestors(path), lambda a: ignore.ignored_by(a, lines))
+    return files, lambda path: ignore.ignored_by(path, lines)
 
 
 def _with_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
@@ -69,8 +65,9 @@ def gitignore_filter(files: DataFrame, rules: DataFrame | Iterable[str]) -> Data
     ``rules`` is a list of lines for all roots, or the ``(root, rules)`` table of
     ``ignore_rules``.
     """
-    labelled, own, above = _ignored(files, rules)
-    return labelled.where(~own & ~above).select(*files.columns)
+    labelled, ignored = _ignored(files, rules)
+    path = F.col("path")
+    return labelled.where(~ignored(path) & ~F.exists(ancestors(path), ignored)).select(*files.columns)
 
 
 def symlink_filter(files: DataFrame, follow: bool = False) -> DataFrame:
@@ -103,21 +100,24 @@ def label_files(
     include_priority: bool = False,
     rules: DataFrame | Iterable[str] | None = None,
 ) -> DataFrame:
-    """Add ``state``: ``kept``, ``excluded`` or ``pruned``.
+    """Add ``state``: ``kept``, ``excluded`` or ``pruned``, and ``pruned_at``.
 
-    Pruned files lie below an excluded directory and are not counted as excluded. Only
-    the path is looked at, so content is not read where nobody asks for it.
+    Pruned files lie below an excluded directory, the topmost of which is ``pruned_at``,
+    and are not counted as excluded. Only the path is looked at, so content is not read
+    where nobody asks for it.
     """
     globs = list(globs)
     path = F.col("path")
     own, above = glob_match(path, globs), glob_match_above(path, globs)
-    out = files
+    out, hit = files, lambda p: glob_match(p, globs)
     if rules is not None:
-        out, ignored, ignored_above = _ignored(files, rules)
-        own, above = own | ignored, above | ignored_above
+        out, ignored = _ignored(files, rules)
+        own, above = own | ignored(path), above | F.exists(ancestors(path), ignored)
+        hit = lambda p: glob_match(p, globs) | ignored(p)
+    top = F.lit(".") if matches_dot(globs) else F.try_element_at(F.filter(ancestors(path), hit), F.lit(1))
     state = (
         F.when(above, "pruned")
         .when(~_passes(path, include, own, include_priority), "excluded")
         .otherwise("kept")
     )
-    return out.select(*files.columns, state.alias("state"))
+    return out.select(*files.columns, state.alias("state"), F.when(above, top).alias("pruned_at"))

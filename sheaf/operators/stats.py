@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheaf.functions.globs import any_glob_regex, matches_dot, whole
-from sheaf.functions.paths import ancestors, file_ext, language_id, parent_dir, walk_key
+from sheaf.functions.paths import file_ext, language_id, parent_dir, walk_key
 from sheaf.plans.ordered import PART_BYTES, stitch
 from sheaf.session import cut
 
@@ -45,20 +42,12 @@ def excluded_sample(labelled: DataFrame, k: int = SAMPLE) -> DataFrame:
     return ranked.where(F.col("rank") <= k)
 
 
-def pruned_dirs(labelled: DataFrame, globs: Iterable[str]) -> DataFrame:
-    """Directories skipped whole: the topmost that matches above each pruned file."""
-    globs = list(globs)
-    rows = labelled.where(F.col("state") == "pruned").select("root", "path")
-    body = any_glob_regex(globs)
-    if body is None:
-        return rows.limit(0).select("root", F.col("path").alias("dir"))
-    if matches_dot(globs):
-        return rows.select("root", F.lit(".").alias("dir")).distinct()
-    top = F.try_element_at(F.filter(ancestors(F.col("path")), lambda a: a.rlike(whole(body))), F.lit(1))
-    return rows.select("root", top.alias("dir")).where("dir is not null").distinct()
+def pruned_dirs(labelled: DataFrame) -> DataFrame:
+    """Directories skipped whole: the topmost excluded one above each pruned file."""
+    return labelled.where(F.col("state") == "pruned").select("root", F.col("pruned_at").alias("dir")).distinct()
 
 
-def excluded_pieces(labelled: DataFrame, globs: Iterable[str]) -> DataFrame:
+def excluded_pieces(labelled: DataFrame) -> DataFrame:
     """The excluded section as ordered pieces ``(root, key, text)``.
 
     Up to SAMPLE files are listed one by one; beyond that, counts by directory and by
@@ -73,7 +62,7 @@ def excluded_pieces(labelled: DataFrame, globs: Iterable[str]) -> DataFrame:
     key = lambda block, column: F.concat(F.lit(block), column)
 
     files = excluded_sample(labelled).join(few.select("root"), "root", "left_semi")
-    dirs = excluded_by_dir(labelled).unionByName(pruned_dirs(labelled, globs).withColumn("n", F.lit(0).cast("bigint")))
+    dirs = excluded_by_dir(labelled).unionByName(pruned_dirs(labelled).withColumn("n", F.lit(0).cast("bigint")))
     dirs = dirs.groupBy("root", "dir").agg(F.sum("n").alias("n")).join(many, "root", "left_semi")
     exts = excluded_by_ext(labelled).join(many, "root", "left_semi")
     count = F.concat(F.lit(": "), F.col("n").cast("string"), F.lit(" files"))
@@ -103,10 +92,10 @@ def excluded_pieces(labelled: DataFrame, globs: Iterable[str]) -> DataFrame:
     )
 
 
-def excluded_section(labelled: DataFrame, globs: Iterable[str], part_bytes: int = PART_BYTES) -> DataFrame:
+def excluded_section(labelled: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """``(root, part, section)``: the pieces put together, in parts if large."""
-    slim = cut(labelled.select("root", "path", "state"))
-    return stitch(excluded_pieces(slim, globs), ["root"], ["key"], "text", "section", part_bytes, keep=True)
+    slim = cut(labelled.select("root", "path", "state", "pruned_at"))
+    return stitch(excluded_pieces(slim), ["root"], ["key"], "text", "section", part_bytes, keep=True)
 
 
 def root_summary(labelled: DataFrame, tokens: Column | None = None) -> DataFrame:

@@ -129,10 +129,16 @@ def tree_render(
 
 
 def source_pieces(files: DataFrame, globs: Iterable[str] = (), show_excluded: bool = True) -> DataFrame:
-    """Tree pieces with the line ``root:`` before each tree."""
+    """Tree pieces with the line ``root:`` before each tree; a root that is a single
+    file, marked ``explicit``, has a line of its own form and no tree."""
+    alone = None
+    if "explicit" in files.columns:
+        alone = files.where("explicit").select("root", F.lit("").alias("key"), F.concat(F.lit("File: "), "root").alias("text"))
+        files = files.where("not explicit")
     pieces = tree_pieces(tree_nodes(files, globs, show_excluded))
     head = F.when(F.col("key") == "", F.concat("root", F.lit(":\n"), "text")).otherwise(F.col("text"))
-    return pieces.select("root", "key", head.alias("text"))
+    pieces = pieces.select("root", "key", head.alias("text"))
+    return pieces if alone is None else pieces.unionByName(alone)
 
 
 def source_trees(files: DataFrame, globs: Iterable[str] = (), part_bytes: int = PART_BYTES) -> DataFrame:

@@ -36,10 +36,11 @@ def directory_files(
     include_priority: bool = False,
     follow_symlinks: bool = False,
 ) -> DataFrame:
-    """``(root, path, state, content)`` of all files below the roots.
+    """``(root, path, state, pruned_at, explicit, content)`` of all files below the roots.
 
     Decided by path first: only what is kept is read. Of that, binary files and PDFs
-    become ``skipped``: shown in trees, but neither kept nor counted as excluded.
+    become ``skipped``: shown in trees, but neither kept nor counted as excluded. Roots
+    that are files are kept whatever they are called or hold.
     """
     globs = list(globs)
     listed = list_tree(spark, roots, globs, follow_symlinks)
@@ -48,22 +49,34 @@ def directory_files(
     # A directory that was not entered stands for what lies below it.
     closed = listed.where("is_dir")
     files = listed.where(~F.col("is_dir"))
-    ignore_files = read_files(files.where(F.col("path") == ".gitignore"))
+    ignore_files = read_files(files.where((F.col("path") == ".gitignore") & ~F.col("explicit")))
     rules = ignore_rules(ignore_files.withColumn("content", F.decode("bytes", "UTF-8")))
-    labelled = label_files(files, globs, include, include_priority, rules)
+    labelled = label_files(files.where("not explicit"), globs, include, include_priority, rules)
+    chosen = files.where("explicit").withColumns({"state": F.lit("kept"), "pruned_at": F.lit(None).cast("string")})
+    labelled = labelled.unionByName(chosen)
     kept = read_files(labelled.where(F.col("state") == "kept"))
-    text = text_sniff(F.col("bytes")) & ~pdf_detect(F.col("bytes"), F.col("path"))
+    text = F.col("explicit") | (text_sniff(F.col("bytes")) & ~pdf_detect(F.col("bytes"), F.col("path")))
+    nothing = F.lit(None).cast("string")
     read = kept.select(
         "root",
         "path",
         F.when(text, "kept").otherwise("skipped").alias("state"),
+        nothing.alias("pruned_at"),
+        "explicit",
         F.when(text, F.decode("bytes", "UTF-8")).alias("content"),
     )
-    nothing = F.lit(None).cast("string").alias("content")
-    left = labelled.where(F.col("state") != "kept").select("root", "path", "state", nothing)
+    left = labelled.where(F.col("state") != "kept")
+    left = left.select("root", "path", "state", "pruned_at", "explicit", nothing.alias("content"))
     shut = label_files(closed, globs).where(F.col("state") == "excluded")
     # One name below it makes the directory known to the tree and the counts.
-    shut = shut.select("root", F.concat("path", F.lit("/*")).alias("path"), F.lit("pruned").alias("state"), nothing)
+    shut = shut.select(
+        "root",
+        F.concat("path", F.lit("/*")).alias("path"),
+        F.lit("pruned").alias("state"),
+        F.col("path").alias("pruned_at"),
+        "explicit",
+        nothing.alias("content"),
+    )
     return read.unionByName(left).unionByName(shut)
 
 

@@ -19,7 +19,7 @@ from sheaf.functions.globs import glob_match
 from sheaf.functions.paths import file_ext
 from sheaf.session import cut
 
-_ENTRY = "root string, path string, is_dir boolean, is_symlink boolean, size bigint"
+_ENTRY = "root string, path string, is_dir boolean, is_symlink boolean, size bigint, explicit boolean"
 _ENTRY_ARROW = pa.schema(
     [
         ("root", pa.string()),
@@ -27,6 +27,7 @@ _ENTRY_ARROW = pa.schema(
         ("is_dir", pa.bool_()),
         ("is_symlink", pa.bool_()),
         ("size", pa.int64()),
+        ("explicit", pa.bool_()),
     ]
 )
 _ROWS_PER_BATCH = 4096
@@ -34,6 +35,17 @@ _BYTES_PER_BATCH = 64 << 20
 _BYTES_PER_TASK = 256 << 20
 
 
+def _single(root: str) -> tuple[str, bool, int] | None:
+    """Name, whether a link, and size of a root that is a file."""
+    if "://" not in root:
+        return (os.path.basename(root), os.path.islink(root), os.stat(root).st_size) if os.path.isfile(root) else None
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(root)
+    info = store.get_file_info(path)
+    return (info.base_name, False, info.size) if info.type == fs.FileType.File else None
+
+
 def _entries(root: str, folder: str) -> Iterator[tuple[str, bool, bool, int]]:
     where = f"{root}/{folder}" if folder else root
     if "://" not in where:
@@ -55,8 +67,12 @@ def _list_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     rows: list[tuple] = []
     for batch in batches:
         for root, folder in zip(batch["root"].to_pylist(), batch["path"].to_pylist()):
+            single = _single(root) if not folder else None
+            if single:
+                rows.append((root, single[0], False, single[1], single[2], True))
+                continue
             for name, is_dir, is_link, size in _entries(root, folder):
-                rows.append((root, f"{folder}/{name}" if folder else name, is_dir, is_link, size))
+                rows.append((root, f"{folder}/{name}" if folder else name, is_dir, is_link, size, False))
                 if len(rows) == _ROWS_PER_BATCH:
                     yield _batch(rows, _ENTRY_ARROW)
                     rows = []
@@ -71,9 +87,10 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 def list_tree(
     spark: SparkSession, roots: Iterable[str], prune: Iterable[str] = (), follow_symlinks: bool = False
 ) -> DataFrame:
-    """Entries ``(root, path, is_dir, is_symlink, size)`` below the roots.
+    """Entries ``(root, path, is_dir, is_symlink, size, explicit)`` below the roots.
 
-    Directories that match ``prune`` are listed but not entered.
+    Directories that match ``prune`` are listed but not entered. A root that is a file
+    is listed by its name and marked ``explicit``.
     """
     prune = list(prune)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -93,8 +110,9 @@ def list_tree(
 def _read_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         pending, held = [], 0
-        for at, (root, path) in enumerate(zip(batch["root"].to_pylist(), batch["path"].to_pylist())):
-            data = _read(f"{root}/{path}" if path else root)
+        rows = zip(batch["root"].to_pylist(), batch["path"].to_pylist(), batch["explicit"].to_pylist())
+        for at, (root, path, explicit) in enumerate(rows):
+            data = _read(root if explicit else f"{root}/{path}")
             pending.append((at, data))
             held += len(data)
             if held >= _BYTES_PER_BATCH:
@@ -128,7 +146,7 @@ def read_tree(
     follow_symlinks: bool = False,
     keep: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Files below the roots: ``(root, path, ext, is_symlink, size, bytes)``.
+    """Files below the roots: ``(root, path, ext, is_symlink, size, explicit, bytes)``.
 
     ``keep`` filters the listing, so that only what it lets through is read.
     """
@@ -139,7 +157,7 @@ def read_tree(
 
 
 def read_files(listed: DataFrame) -> DataFrame:
-    """Add ``bytes`` to a table ``(root, path, is_symlink, size)``.
+    """Add ``bytes`` to a table ``(root, path, is_symlink, size, explicit)``.
 
     A folder's files are listed by one task; the repartitioning spreads their reading,
     over as many tasks as the files' total size asks for.
@@ -147,8 +165,9 @@ def read_files(listed: DataFrame) -> DataFrame:
     total = listed.agg(F.sum("size").alias("n")).first().n or 0
     tasks = int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tasks = max(tasks, -(-total // _BYTES_PER_TASK))
-    schema = "root string, path string, is_symlink boolean, size bigint, bytes binary"
-    spread = listed.select("root", "path", "is_symlink", "size").repartition(tasks, "root", "path")
+    columns = ["root", "path", "is_symlink", "size", "explicit"]
+    schema = "root string, path string, is_symlink boolean, size bigint, explicit boolean, bytes binary"
+    spread = listed.select(*columns).repartition(tasks, "root", "path")
     return spread.mapInArrow(_read_batches, schema).withColumn("ext", file_ext(F.col("path")))
 
 

@@ -59,6 +59,9 @@ def test_directory_to_prompt(spark, folder):
     prompt = directory_prompt(files, globs, number=True).first().prompt
     assert "├── node_modules/ ❌\n" in prompt and "`proj/pkg/m.py`:\n\n```py\n   1 | import os\n   2 | \n```" in prompt
     assert "- .tmpl" not in prompt and "x.tmpl\n" in prompt and "secret" not in prompt
+    single = f"{root}/pkg/gen/g.py"
+    alone = directory_prompt(directory_files(spark, [single], ["**/*.py"]), ["**/*.py"]).first().prompt
+    assert alone == f"\nSource Trees:\n\nFile: {single}\n\n\n\n\n\n`g.py`:\n\n```py\ng\n```\n\n\n\n\n\n\n\n"
     outlined = directory_prompt(files, globs, outline=True).first().prompt
     assert "`proj/pkg/m.py`:\n\nimport os\n// -----\n" in outlined
 

@@ -63,9 +63,11 @@ def test_labels(spark):
         "b.txt": "kept", "a/z.txt": "kept", "a/sub/x.py": "kept", "a/b.log": "excluded", "a.b": "excluded",
         "node/deep/q.js": "pruned", "node/w": "pruned", "z": "excluded",
     }
-    assert [r.dir for r in stats.pruned_dirs(rows, GLOBS).collect()] == ["node"]
+    assert [r.dir for r in stats.pruned_dirs(rows).collect()] == ["node"]
     assert {r.state for r in filters.label_files(manifest(spark, PATHS), ["*"]).collect()} == {"pruned"}
     assert filters.prune_excluded(manifest(spark, PATHS), ["**"]).count() == 0
+    ruled = filters.label_files(manifest(spark, PATHS), ["**/*.log"], rules=["a/sub", "node"])
+    assert {r.dir for r in stats.pruned_dirs(ruled).collect()} == {"a/sub", "node"}
 
 
 def test_priority(spark):
@@ -97,7 +99,7 @@ def test_prompt_layout(spark):
 def test_excluded_section_by_counts(spark):
     paths = [f"d/f{i}.log" for i in range(21)] + ["x.log", "node/a", "k.py", "Makelog"]
     rows = filters.label_files(manifest(spark, paths, "r"), ["**/*.log", "node/**", "Makelog"])
-    section = stats.excluded_section(rows, ["**/*.log", "node/**", "Makelog"]).first().section
+    section = stats.excluded_section(rows).first().section
     assert section == (
         "\nExcluded Content:\n\nDirectories with excluded files:\n\n- r: 2 files\n\n- r/d: 21 files\n\n\n"
         "\n\nFile extensions excluded:\n\n- .log: 22 files\n\n\n\n"
