@@ -95,12 +95,23 @@ def ignore_rules(files: DataFrame) -> DataFrame:
     """Rules of each root's own ``.gitignore``: ``(root, rules)``, one row per root.
 
     The rules of a root are the lines of one file, so the array is no larger than it.
+    Neighbours of one kind share an alternation, which mostly leaves one expression.
     """
     lines = files.where(F.col("path") == ".gitignore").select("root", F.posexplode(F.split("content", "\n")))
     rules = lines.select("root", F.col("pos").alias("ord"), _rule_of("col").alias("rule")).where("rule.regex is not null")
     ordered = F.array_sort(F.collect_list(F.struct("ord", "rule.regex", "rule.negated")))
+    none = F.array().cast("array<struct<regex:string,negated:boolean>>")
+
+    def fold(runs: Column, rule: Column) -> Column:
+        last = F.try_element_at(runs, F.lit(-1))
+        both = F.struct(F.concat(last["regex"], F.lit("|"), rule["regex"]).alias("regex"), rule["negated"].alias("negated"))
+        alone = F.struct(rule["regex"].alias("regex"), rule["negated"].alias("negated"))
+        same = F.coalesce(last["negated"] == rule["negated"], F.lit(False))
+        kept = F.when(same, F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0)))).otherwise(runs)
+        return F.concat(kept, F.array(F.when(same, both).otherwise(alone)))
+
     # Small, but found by a scan of all paths, and used more than once.
-    return cut(rules.groupBy("root").agg(ordered.alias("rules")))
+    return cut(rules.groupBy("root").agg(F.aggregate(ordered, none, fold).alias("rules")))
 
 
 def ignored_by_rules(path: Column, rules: Column) -> Column:

@@ -51,16 +51,17 @@ def stitch(
 
     A part ends once it holds ``part_bytes``; the parts of a group, put together in
     order, are the whole text. Groups below the limit have the one part 0, and if all
-    are, the parts need not be worked out. Pieces are read twice; ``keep`` has them
-    written to the shared folder, for short ones that are costly to make.
+    are, the parts need not be worked out. Pieces are made twice, for their sizes and
+    for their text; ``keep`` has them written to the shared folder, for short ones that
+    are costly to make.
     """
     pieces = cut(pieces) if keep else pieces
-    size = F.octet_length(text).cast("bigint")
-    totals = pieces.groupBy(*group).agg(F.sum(size).alias("_bytes"))
+    sizes = pieces.select(*group, *order, F.octet_length(text).cast("bigint").alias("_bytes"))
+    sizes = sizes if keep else cut(sizes)
+    totals = sizes.groupBy(*group).agg(F.sum("_bytes").alias("_bytes"))
     if totals.where(F.col("_bytes") > part_bytes).isEmpty():
         parted = pieces.withColumn("part", F.lit(0).cast("bigint"))
     else:
-        sizes = pieces.select(*group, *order, size.alias("_bytes"))
         placed = running_totals(sizes, group, order, {"_bytes": "_before"})
         part = F.floor(F.col("_before") / part_bytes).cast("bigint")
         placed = placed.select(*group, *order, part.alias("part"))

@@ -17,6 +17,7 @@ from sheaf.operators.filters import label_files, page_ok
 from sheaf.operators.outline import chunks, outline_join
 from sheaf.operators.pages import crawl_select, page_links, pages_to_markdown, web_tree
 from sheaf.plans.ordered import PART_BYTES, stitch
+from sheaf.session import cut
 from sheaf.sources.tree import list_tree, read_files
 
 
@@ -121,7 +122,8 @@ def web_prompt(
     # A seed with a path stands for its own page only.
     reached = crawl(pages, page_links(pages), seeds, max_depth, domains, exclude, page=seed)
     found = pages_to_markdown(pages.join(reached, "url", "left_semi"))
-    good = page_ok(found, "markdown")
+    # Converted once; what follows looks at it several times.
+    good = cut(page_ok(found, "markdown"))
     good = crawl_select(good, seed)
     tree = web_tree(good.select("url").join(reached, "url"), part_bytes)
     block = file_block(F.col("url"), F.col("markdown"))
