@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
-ROWS_ONLY = {"read_tree", "pages_to_markdown", "pretokens_o200k"}
+ROWS_ONLY = {"read_tree", "pages_to_markdown"}
 
 
 @pytest.fixture(scope="module")
