@@ -140,7 +140,7 @@ def budget_pack(df: DataFrame, budget: int, tokens: str = "tokens") -> DataFrame
     ).withColumns({"_small": F.when(big, 0).otherwise(F.col("tokens")), "_big": big.cast("bigint")})
     placed = running_totals(rows, ["root"], ["_key"], {"_small": "_before", "_big": "_bigs"})
     roots = placed.groupBy("root").agg((F.lit(budget) - F.max("_small")).alias("_width"), F.sum("_small").alias("_all"))
-    shard = F.floor(F.col("_before") / F.col("_width"))
-    late = F.floor(F.col("_all") / F.col("_width")) + 1 + F.col("_bigs")
-    out = lookup_join(placed, roots, ["root"], ["path"], "inner").withColumn("shard", F.when(big, late).otherwise(shard).cast("bigint"))
+    shard = F.expr("_before div _width")
+    late = F.expr("_all div _width + 1 + _bigs")
+    out = lookup_join(placed, roots, ["root"], ["path"], "inner").withColumn("shard", F.when(big, late).otherwise(shard))
     return out.select("root", "path", "tokens", "shard")

@@ -63,7 +63,7 @@ def stitch(
         parted = pieces.withColumn("part", F.lit(0).cast("bigint"))
     else:
         placed = running_totals(sizes, group, order, {"_bytes": "_before"})
-        part = F.floor(F.col("_before") / part_bytes).cast("bigint")
+        part = F.expr(f"_before div {int(part_bytes)}")
         placed = placed.select(*group, *order, part.alias("part"))
         parted = pieces.join(placed, [*group, *order])
     return parted.groupBy(*group, "part").agg(joined(text, order).alias(name))

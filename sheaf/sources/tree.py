@@ -93,17 +93,19 @@ def list_tree(
     is listed by its name and marked ``explicit``.
     """
     prune = list(prune)
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    frontier = spark.createDataFrame([(r.rstrip("/") or "/", "") for r in roots], "root string, path string")
-    levels = []
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    start = [(r.rstrip("/") or "/", "") for r in roots]
+    frontier = spark.createDataFrame(start, "root string, path string")
+    levels, n = [], len(start)
     while True:
-        level = cut(frontier.repartition(tasks, "root", "path").mapInArrow(_list_batches, _ENTRY))
+        level = cut(frontier.repartition(max(1, min(n, most)), "root", "path").mapInArrow(_list_batches, _ENTRY))
         levels.append(level)
         enter = F.col("is_dir") & ~glob_match("path", prune)
         if not follow_symlinks:
             enter = enter & ~F.col("is_symlink")
         frontier = level.where(enter).select("root", "path")
-        if frontier.isEmpty():
+        n = frontier.count()
+        if n == 0:
             return reduce(DataFrame.unionByName, levels)
 
 
@@ -162,9 +164,9 @@ def read_files(listed: DataFrame) -> DataFrame:
     A folder's files are listed by one task; the repartitioning spreads their reading,
     over as many tasks as the files' total size asks for.
     """
-    total = listed.agg(F.sum("size").alias("n")).first().n or 0
+    total, n = listed.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     tasks = int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tasks = max(tasks, -(-total // _BYTES_PER_TASK))
+    tasks = max(1, min(n, max(tasks, -(-total // _BYTES_PER_TASK))))
     columns = ["root", "path", "is_symlink", "size", "explicit"]
     schema = "root string, path string, is_symlink boolean, size bigint, explicit boolean, bytes binary"
     spread = listed.select(*columns).repartition(tasks, "root", "path")
