@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -17,7 +18,7 @@ def unescape(text: Column) -> Column:
     """Decode character references, named and numeric."""
     # The standard library's table; the forms without a semicolon are left alone.
     names = {f"&{k}": v for k, v in html5.items() if k.endswith(";")}
-    table = F.from_json(F.lit(_json(names)), "map<string,string>")
+    table = F.from_json(F.lit(json.dumps(names)), "map<string,string>")
 
     def decode(piece: Column) -> Column:
         digits = F.regexp_extract(piece, r"\A&#([0-9]+);\z", 1)
@@ -38,12 +39,6 @@ def unescape(text: Column) -> Column:
     return F.when(text.contains("&"), F.array_join(F.transform(pieces, decode), "")).otherwise(text)
 
 
-def _json(table: dict[str, str]) -> str:
-    import json
-
-    return json.dumps(table)
-
-
 def visible(html: Column) -> Column:
     """Markup without comments, scripts and styles, whose text holds no elements."""
     return F.regexp_replace(html, _HIDDEN, "")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TOP = 15
+MAX_LITERALS = 1000
 
 
 def _sized(files: DataFrame, shown: Column) -> DataFrame:
@@ -24,16 +25,17 @@ def largest_files(files: DataFrame, shown: Column, k: int = TOP) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(order))
 
 
-def with_text(files: DataFrame, shown: Column, top: DataFrame, k: int = TOP) -> DataFrame:
-    """The texts of a short list of files, for counting tokens."""
-    keys = top.select("root", "path").limit(k * 1000).collect()
-    if not keys:
-        return files.limit(0).select("root", "path", shown.alias("text"))
-    roots, paths = sorted({r.root for r in keys}), sorted({r.path for r in keys})
-    near = files.where(F.col("root").isin(roots) & F.col("path").isin(paths))
-    return near.join(F.broadcast(files.sparkSession.createDataFrame(keys)), ["root", "path"], "left_semi").select(
-        "root", "path", shown.alias("text")
-    )
+def with_text(files: DataFrame, shown: Column, top: DataFrame) -> DataFrame:
+    """The texts of the files found, for counting tokens.
+
+    A short list of keys selects them as literals, a long one by a join.
+    """
+    keys = top.select("root", "path")
+    few = keys.take(MAX_LITERALS + 1)
+    out = files
+    if len(few) <= MAX_LITERALS:
+        out = out.where(F.col("root").isin({r.root for r in few}) & F.col("path").isin({r.path for r in few}))
+    return out.join(keys, ["root", "path"], "left_semi").select("root", "path", shown.alias("text"))
 
 
 def largest_files_per_root(files: DataFrame, shown: Column, k: int = TOP) -> DataFrame:

@@ -134,3 +134,22 @@ def test_symlinks_and_pdfs(spark):
     assert [r.path for r in filters.pdf_skip(rows).collect()] == ["a", "c.pdf", "d"]
     assert "d" not in [r.path for r in filters.text_files(rows).collect()]
     assert rows.select(F.lit(1)).count() == 4
+
+
+@pytest.mark.parametrize("most", [1000, 1])
+def test_largest_files_with_their_text(spark, monkeypatch, most):
+    from sheaf.operators import report
+
+    monkeypatch.setattr(report, "MAX_LITERALS", most)
+    rows = manifest(spark, ["a", "bb", "ccc", "dddd"])
+    top = report.largest_files(rows, F.col("content"), 2)
+    assert [(r.path, r.rank) for r in top.orderBy("rank").collect()] == [("dddd", 1), ("ccc", 2)]
+    texts = report.with_text(rows, F.col("content"), top).collect()
+    assert sorted(r.text for r in texts) == ["text of ccc", "text of dddd"]
+
+
+def test_pages_as_files(spark):
+    from sheaf.operators.pages import page_files
+
+    rows = spark.createDataFrame([("u", "t", "# m", 200), ("v", "t", "x", 404), ("w", "t", "", 200)], "url string, title string, markdown string, status int")
+    assert [tuple(r) for r in page_files(rows).collect()] == [("web", "u", ".md", "# m")]
