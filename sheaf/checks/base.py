@@ -63,8 +63,6 @@ def labelled_sql(globs: list[str]) -> str:
 
 
 LABELLED = f"{FILES}, {labelled_sql(GLOBS)}"
-# Walk order compares paths element by element.
-WALK = "translate(path, '/', chr(1))"
 EXT = r"regexp_extract(path, '(\.[^./]*)$', 1)"
 PARENT = "CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '.' END"
 

@@ -6,15 +6,11 @@ from pyspark.sql import functions as F
 
 from sheaf.checks.base import (
     ANCESTORS,
-    DIRS,
-    ENDS,
     EXT,
     FILES,
     GLOBS,
     LABELLED,
     PARENT,
-    TREE_GLOBS,
-    WALK,
     files,
     labelled_sql,
     patterns_sql,

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sheaf.checks import file_checks as fc
-from sheaf.checks.base import FILES, GLOBS, LABELLED, TREE_GLOBS, files, labelled_sql, q, table
+from sheaf.checks.base import FILES, GLOBS, LABELLED, TREE_GLOBS, files, q
 from sheaf.functions.globs import any_glob_regex, whole
-from sheaf.operators import assemble, filters, snapshot, tree
+from sheaf.operators import assemble, snapshot, tree
 
 QUERIES, SQL = {}, {}
 

@@ -3,7 +3,6 @@ import re
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from sheaf.functions.globs import any_glob_regex, glob_match, glob_match_above, glob_regex, matches_dot
 
