@@ -1,9 +1,9 @@
 """Byte-level BPE, encoded by dynamic programming over byte prefixes.
 
 The encoding of a prefix ends in exactly one token, and the tokens before it encode what
-stands before it. So one number per prefix, the length of its last token, is the whole
-encoding: a token fits behind a prefix if it and the prefix's last token stay two tokens
-when their bytes are encoded together. Appending to a piece computes further prefixes
+stands before it. So one number per prefix, its last token, is the whole encoding: a
+token fits behind a prefix if it and the prefix's last token stay two tokens when their
+bytes are encoded together. Appending to a piece computes further prefixes
 only, and after an edit the prefixes before it stay as they are.
 
 Cases: a null or empty text has no tokens; ids outside the vocabulary, and null ones,
@@ -14,6 +14,7 @@ replaced.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Pieces that a worker remembers, and the longest of them in characters.
-MEMO, MEMO_CHARS = 1 << 18, 48
+MEMO, MEMO_CHARS = 3 << 18, 48
 # Tokens after which a task passes on what it has.
 FLUSH = 1 << 20
 
@@ -36,92 +37,162 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Pieces:
-    """Encodes pieces of bytes; no merge crosses a piece."""
+    """Encodes pieces of bytes; no merge crosses a piece.
+
+    ``trie`` leads from a node and a byte, ``node << 8 | byte``, to the next node;
+    ``token`` has the node's rank, or -1.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.longest = max(map(len, ranks), default=1)
-        self._whole: dict[bytes, bool] = {}
-        self._fits: dict[tuple[bytes, bytes], bool] = {}
+        self.bytes = {r: t for t, r in ranks.items()}
+        self.trie: dict[int, int] = {}
+        self.token = [-1]
+        for t, rank in ranks.items():
+            node = 0
+            for byte in t:
+                step = node << 8 | byte
+                node = self.trie.get(step, 0)
+                if not node:
+                    node = self.trie[step] = len(self.token)
+                    self.token.append(-1)
+            self.token[node] = rank
+        self.ordered = True
+        self._parts: dict[int, tuple[int, int] | None] = {}
+        self._fits: dict[int, bool] = {}
 
     def merged(self, piece: bytes) -> list[bytes]:
-        """By merges, lowest rank first: for a pair of tokens, not for texts."""
+        """By merges, lowest rank first: for a token or a pair of them, not for texts."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
         while len(parts) > 1:
             ranks = [self.ranks.get(a + b, 1 << 60) for a, b in zip(parts, parts[1:], strict=False)]
-            i = min(range(len(ranks)), key=ranks.__getitem__)
-            if ranks[i] == 1 << 60:
+            low = min(ranks)
+            if low == 1 << 60:
                 break
+            i = ranks.index(low)
+            if len(parts) == 2:
+                self._parts[low] = (self.ranks[parts[0]], self.ranks[parts[1]])
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def whole(self, token: bytes) -> bool:
-        """Whether merges lead to the token at all."""
-        known = self._whole.get(token)
-        if known is None:
-            known = self._whole[token] = self.merged(token) == [token]
-        return known
-
-    def fits(self, a: bytes, b: bytes) -> bool:
-        known = self._fits.get((a, b))
+    def parts(self, token: int) -> tuple[int, int] | None:
+        """The two tokens that the last merge puts together; none for one byte and for
+        tokens that merges do not lead to."""
+        if token not in self._parts:
+            self._parts[token] = None
+            self.merged(self.bytes[token])
+            made = self._parts[token]
+            self.ordered &= made is None or max(made) < token
+        return self._parts[token]
+
+    def whole(self, token: int) -> bool:
+        return len(self.bytes[token]) == 1 or self.parts(token) is not None
+
+    def fits(self, a: int, b: int) -> bool:
+        """Whether ``a`` and ``b`` stay apart: no merge over their border comes before
+        those that make them. Merges are undone from the last one, along the border."""
+        key = a << 32 | b
+        known = self._fits.get(key)
         if known is None:
             if len(self._fits) >= MEMO:
                 self._fits.clear()
-            known = self._fits[a, b] = self.merged(a + b) == [a, b]
+            known = self._fits[key] = self._apart(a, b)
         return known
 
+    def _apart(self, a: int, b: int) -> bool:
+        first, before = (a, b), 1 << 60
+        while True:
+            if self.ranks.get(self.bytes[a] + self.bytes[b], 1 << 60) < before:
+                apart = False
+                break
+            left, right = self.parts(a), self.parts(b)
+            if not left and not right:
+                apart = True
+                break
+            if left and (not right or a > b):
+                before, a = a, left[1]
+            else:  # of two equal merges the left one comes first
+                before, b = b + 1, right[0]
+        if self.ordered:
+            return apart
+        whole = [self.bytes[t] for t in first]  # parts that rank above their token
+        return self.merged(b"".join(whole)) == whole
+
     def extend(self, piece: bytes, last: list[int]) -> list[int]:
         """``last`` for a prefix of ``piece``, carried on to its end: ``last[i]`` is the
-        length of the last token of the first ``i`` bytes."""
-        ranks = self.ranks
-        for end in range(len(last), len(piece) + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = piece[start:end]
-                if token in ranks and self.whole(token):
-                    if start == 0 or self.fits(piece[start - last[start] : start], token):
-                        last.append(end - start)
-                        break
-            else:
-                raise ValueError(f"no token for byte {piece[end - 1]}")
+        last token of the first ``i`` bytes."""
+        trie, token, done, n = self.trie.get, self.token, len(last), len(piece)
+        last = last + [-1] * (n + 1 - done)
+        for start in range(max(0, done - self.longest), n):
+            node, tail = 0, last[start]
+            for end in range(start, n):
+                node = trie(node << 8 | piece[end])
+                if node is None:
+                    break
+                t = token[node]
+                if t >= 0 and last[end + 1] < 0 and self.whole(t) and (not start or self.fits(tail, t)):
+                    last[end + 1] = t
+        if n and -1 in last[1:]:
+            raise ValueError(f"no token for byte {piece[last.index(-1, 1) - 1]}")
         return last
 
+    @property
+    def longest(self) -> int:
+        if not hasattr(self, "_longest"):
+            self._longest = max(map(len, self.ranks), default=1)
+        return self._longest
+
     def ids(self, piece: bytes, last: list[int] | None = None) -> list[int]:
         """A piece that is a token is that token, as merges need not lead to it."""
         if piece in self.ranks:
             return [self.ranks[piece]]
-        last = self.extend(piece, [0]) if last is None else last
+        last = self.extend(piece, [-1]) if last is None else last
         out, end = [], len(piece)
         while end:
-            out.append(self.ranks[piece[end - last[end] : end]])
-            end -= last[end]
+            out.append(last[end])
+            end -= len(self.bytes[last[end]])
         return out[::-1]
 
 
+class Remembered(dict):
+    """What ``make`` gives, as bytes of ids; forgets all when it is full."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        made = np.array(self.make(key), np.int32).tobytes()
+        if len(key) <= MEMO_CHARS:
+            if len(self) >= MEMO:
+                self.clear()
+            self[key] = made
+        return made
+
+
 class Encoder:
-    """Texts to ids, piece by piece, with a bounded memory of pieces."""
+    """Texts to ids. A blank behind a character that is none starts a piece, whatever
+    follows, so texts are cut there first and the parts remembered."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.pieces = Pieces(ranks)
         self.split = regex.compile(pattern).findall
         self.match = regex.compile(pattern).match
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.piece = Remembered(lambda p: self.pieces.ids(p.encode()))
+        self.part = Remembered(lambda p: np.frombuffer(self._split(" " + p), np.int32))
+        self.blanks = re.compile(r"\s ").search
 
-    def piece(self, piece: str) -> tuple[int, ...]:
-        known = self.memo.get(piece)
-        if known is None:
-            known = tuple(self.pieces.ids(piece.encode()))
-            if len(piece) <= MEMO_CHARS:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                self.memo[piece] = known
-        return known
+    def _split(self, text: str) -> bytes:
+        return b"".join(map(self.piece.__getitem__, self.split(text)))
+
+    def encode(self, text: str) -> np.ndarray:
+        if text.startswith(" ") or self.blanks(text):
+            return np.frombuffer(self._split(text), np.int32)
+        first, *parts = text.split(" ")
+        return np.frombuffer(self._split(first) + b"".join(map(self.part.__getitem__, parts)), np.int32)
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        memo, add = self.memo, out.extend
-        for p in self.split(text):
-            add(memo.get(p) or self.piece(p))
-        return out
+    def _ids(self, piece: str) -> list[int]:
+        return np.frombuffer(self.piece[piece], np.int32).tolist()
 
     def splice(self, text: str, ids: list[int], start: int, stop: int, new: str) -> tuple[str, list[int]]:
         """``text`` with ``text[start:stop]`` replaced by ``new``, and its ids.
@@ -134,7 +205,7 @@ class Encoder:
         edited = text[:start] + new + text[stop:]
         at = used = 0  # characters and ids of the pieces that stay
         while (m := self.match(text, at)) and m.end() + 1 < start:
-            used += len(self.piece(m.group()))
+            used += len(self._ids(m.group()))
             at = m.end()
         old_at, old_used, new_at, grown = at, used, at, []
         shift = len(edited) - len(text)
@@ -142,10 +213,10 @@ class Encoder:
             if new_at >= start + len(new) and new_at - shift == old_at:
                 return edited, ids[:used] + grown + ids[old_used:]
             if new_at - shift >= old_at and (m := self.match(text, old_at)):
-                old_used += len(self.piece(m.group()))
+                old_used += len(self._ids(m.group()))
                 old_at = m.end()
             elif m := self.match(edited, new_at):
-                grown += self._near(text[at:], m.group()) if new_at == at else self.piece(m.group())
+                grown += self._near(text[at:], m.group()) if new_at == at else self._ids(m.group())
                 new_at = m.end()
             else:
                 return edited, ids[:used] + grown
@@ -154,9 +225,9 @@ class Encoder:
         m = self.match(old)
         a, b = (m.group().encode() if m else b""), piece.encode()
         if b in self.pieces.ranks or not a:
-            return list(self.piece(piece))
+            return self._ids(piece)
         same = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-        last = self.pieces.extend(a[:same], [0])
+        last = self.pieces.extend(a[:same], [-1])
         return self.pieces.ids(b, self.pieces.extend(b, last))
 
 
@@ -204,7 +275,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
             for batch in _slices(whole_batch, size, FLUSH):
                 ids, ends = [], [0]
                 for text in batch.column(at).to_pylist():
-                    ids.append(np.array(encoder.encode(text), dtype=np.int32))
+                    ids.append(encoder.encode(text))
                     ends.append(ends[-1] + len(ids[-1]))
                 flat = pa.array(np.concatenate(ids) if ids else np.array([], np.int32))
                 column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
