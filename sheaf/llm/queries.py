@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import bpe, chat, line_dedup
+from sheaf.llm import bpe, chat, line_dedup, shingle_join
 from sheaf.llm.common import read, whole
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,42 @@ SQL["op10_line_dedup"] = f"""
 WITH {line_dedup_sql('documents')}
 SELECT d.doc_id, coalesce(n_dropped, 0) AS n_dropped, x.text FROM documents d LEFT JOIN deduped x USING (doc_id)
 """
+
+
+@query
+def op6_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.linked_components(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def components_sql(docs: str) -> str:
+    """Common table expressions for ``sizes`` (doc_id, n_shingles) and ``roots`` (doc_id, component_id)."""
+    return f"""
+worded AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'),
+        '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM {docs}
+), shingled AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS s FROM worded
+), sizes AS (
+    SELECT doc_id, count(s) AS n_shingles FROM worded LEFT JOIN shingled USING (doc_id) GROUP BY doc_id
+), common AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingled a JOIN shingled b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+    SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+    WHERE 100 * c >= 80 * (x.n_shingles + y.n_shingles - c)
+), edges AS (
+    SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+    SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b
+), roots AS (
+    SELECT doc_id, least(doc_id, coalesce(min(b), doc_id)) AS component_id FROM sizes LEFT JOIN reach ON a = doc_id GROUP BY doc_id
+)"""
+
+
+SQL["op6_shingle_join"] = f"""
+WITH RECURSIVE {components_sql('documents')}
+SELECT doc_id, n_shingles, component_id FROM sizes JOIN roots USING (doc_id)
+"""
