@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import bpe, chat, line_dedup, shingle_join
+from sheaf.llm import bpe, chat, line_dedup, shingle_join, toxicity
 from sheaf.llm.common import read, whole
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +163,16 @@ SQL["op6_shingle_join"] = f"""
 WITH RECURSIVE {components_sql('documents')}
 SELECT doc_id, n_shingles, component_id FROM sizes JOIN roots USING (doc_id)
 """
+
+
+def toxic_model(docs: DataFrame, spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    labels = read(spark, sf_dir, "labels").select("doc_id", "toxic").where(toxicity.remainder() != 0)
+    return toxicity.fit(docs, labels)
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxic_model(docs, spark, sf_dir)).drop("text")
+    held_out = F.coalesce(toxicity.remainder() == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
