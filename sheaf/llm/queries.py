@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import bpe, chat, line_dedup, shingle_join, toxicity
+from sheaf.llm import bpe, chat, line_dedup, shingle_join, spotsigs, toxicity
 from sheaf.llm.common import read, whole
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,3 +176,17 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score(docs, toxic_model(docs, spark, sf_dir)).drop("text")
     held_out = F.coalesce(toxicity.remainder() == 0, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
+
+
+@query
+def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = spotsigs.edited_prints(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return prints.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        spotsigs.digest(F.col("print")).alias("fingerprint"),
+        spotsigs.digest(F.col("edited_print")).alias("edited_fingerprint"),
+        spotsigs.likeness(F.col("print"), F.col("edited_print")).alias("near_edited"),
+        spotsigs.likeness(F.col("print"), F.col("next_print")).alias("near_next"),
+    )
