@@ -13,7 +13,9 @@ only one. Two documents link when ``100 * common >= percent * union``.
 * Sketches have one length per band of sizes (a factor of two). A set also stands in the
   next band if a linked set could be there. A band in which some set fills too few words
   gets a longer sketch, at last one with a word for each shingle.
-* Sets that share a key are compared with the smallest of them, exactly, by hashes.
+* Pairs whose parity sketches, one bit flipped per shingle, differ in more than ``D`` bits
+  are no links. The others are compared exactly, by hashes.
+* Sets that share a key are compared with the smallest of them.
   Those that linked are one component, and only sets of one key in different components
   are compared further: round by round with the next smallest while many are left, all
   at once when few are. No group is expanded into all its pairs.
@@ -39,6 +41,7 @@ from sheaf.llm.common import kept
 WIDTH, PERCENT = 5, 80
 # Shingles per word of a sketch, for the largest sets of a band.
 PER_WORD = 3.5
+PARITY_WORDS = 16
 EACH = 4  # the level at which each shingle has a word of its own
 # Needed sets whose ids may go to every task, and pairs that are compared at once.
 MAX_BROADCAST_IDS, MAX_PAIRS = 1 << 20, 1 << 24
@@ -161,23 +164,49 @@ def _keys_of(docs: DataFrame, levels: dict[int, int], width: int, percent: int)
     return docs.mapInArrow(run, "key long, cls long")
 
 
+def parity(hashes: np.ndarray, bits: int = 64 * PARITY_WORDS) -> np.ndarray:
+    """One bit flipped per shingle, as 64-bit words."""
+    flips = np.bincount((_mix(hashes + np.uint64(2)) % np.uint64(bits)).astype(np.int64), minlength=bits)
+    return np.packbits((flips & 1).astype(np.uint8)).view(np.int64)
+
+
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """(cls, hashes) of the documents."""
+    """(cls, hashes, n, parity) of the documents."""
 
     def run(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 h = [shingles(t, width) for _, t in _texts(batch.slice(start, 256))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([_digest(x) for x in h], pa.int64()), pa.array([x.tobytes() for x in h], pa.binary())], ["cls", "hashes"]
+                    [
+                        pa.array([_digest(x) for x in h], pa.int64()),
+                        pa.array([x.tobytes() for x in h], pa.binary()),
+                        pa.array([len(x) for x in h], pa.int64()),
+                        pa.array([parity(x) for x in h], pa.list_(pa.int64())),
+                    ],
+                    ["cls", "hashes", "n", "parity"],
                 )
 
-    return docs.mapInArrow(run, "cls long, hashes binary")
+    return docs.mapInArrow(run, "cls long, hashes binary, n long, parity array<long>")
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and parity sketches allow a link: as many bits differ
+    as there are shingles in one set only, at most."""
+    both = pairs
+    for side in ("a", "b"):
+        both = both.join(sets.select(F.col("cls").alias(side), F.col("n").alias(f"{side}_n"), F.col("parity").alias(f"{side}_p")), side)
+    n = F.col("a_n") + F.col("b_n")
+    sizes = 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
+    flips = F.zip_with("a_p", "b_p", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    far = F.aggregate(flips, F.lit(0), lambda t, x: t + x) * (100 + percent) > n * (100 - percent)
+    return both.where(sizes & ~far).select("a", "b")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets link."""
-    both = pairs.join(sets.toDF("b", "right"), "b").join(sets.toDF("a", "left"), "a")
+    hashes = sets.select("cls", "hashes")
+    both = pairs.join(hashes.toDF("b", "right"), "b").join(hashes.toDF("a", "left"), "a")
 
     def run(batches):
         for batch in batches:
@@ -259,7 +288,7 @@ def links(
         hub = members.where(F.col("rank") >= done if whole else F.col("rank") == done)
         hub = hub.select("key", F.col("cls").alias("a"), F.col("comp").alias("a_comp"), F.col("rank").alias("a_rank"))
         pairs = members.join(hub, "key").where("rank > a_rank AND comp <> a_comp").select("a", F.col("cls").alias("b")).distinct()
-        new = kept(_linked(pairs, sets, percent), "links")
+        new = kept(_linked(_possible(pairs, sets, percent), sets, percent), "links")
         found = new if found is None else found.unionByName(new)
         if whole:
             break
