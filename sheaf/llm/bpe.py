@@ -14,6 +14,7 @@ replaced.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -24,8 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Pieces that a worker remembers, and the longest of them in characters.
-MEMO, MEMO_CHARS = 3 << 18, 48
+# Parts of texts, pieces and pairs that a worker remembers; the longest in characters.
+PARTS, MEMO, MEMO_CHARS = 1 << 19, 1 << 18, 48
 # Tokens after which a task passes on what it has.
 FLUSH = 1 << 20
 
@@ -157,14 +158,14 @@ class Pieces:
 class Remembered(dict):
     """What ``make`` gives, as bytes of ids; forgets all when it is full."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, key: str) -> bytes:
         made = np.array(self.make(key), np.int32).tobytes()
         if len(key) <= MEMO_CHARS:
-            if len(self) >= MEMO:
+            if len(self) >= self.most:
                 self.clear()
             self[key] = made
         return made
@@ -178,8 +179,8 @@ class Encoder:
         self.pieces = Pieces(ranks)
         self.split = regex.compile(pattern).findall
         self.match = regex.compile(pattern).match
-        self.piece = Remembered(lambda p: self.pieces.ids(p.encode()))
-        self.part = Remembered(lambda p: np.frombuffer(self._split(" " + p), np.int32))
+        self.piece = Remembered(lambda p: self.pieces.ids(p.encode()), MEMO)
+        self.part = Remembered(lambda p: np.frombuffer(self._split(" " + p), np.int32), PARTS)
         self.blanks = re.compile(r"\s ").search
 
     def _split(self, text: str) -> bytes:
@@ -231,21 +232,22 @@ class Encoder:
         return self.pieces.ids(b, self.pieces.extend(b, last))
 
 
-_ENCODERS: dict[int, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def _encoder(shared, pattern: str) -> Encoder:
     """One encoder per worker: its memory outlives a task."""
-    key = hash((shared.id if hasattr(shared, "id") else id(shared), pattern))
-    if key not in _ENCODERS:
+    name, ranks = shared.value
+    if name + pattern not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(shared.value, pattern)
-    return _ENCODERS[key]
+        _ENCODERS[name + pattern] = Encoder(ranks, pattern)
+    return _ENCODERS[name + pattern]
 
 
 def _share(spark: SparkSession, ranks: dict[bytes, int]):
-    """A vocabulary has a fixed size, whatever the corpus."""
-    return spark.sparkContext.broadcast(ranks)
+    """A vocabulary, by its digest, for every task: it has a fixed size, whatever the corpus."""
+    name = hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()
+    return spark.sparkContext.broadcast((name, ranks))
 
 
 def _added(df: DataFrame, name: str, kind: T.DataType) -> tuple[DataFrame, T.StructType]:
@@ -291,7 +293,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", by
     at = rows.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_id = {r: t for t, r in shared.value.items()}
+        by_id = {r: t for t, r in shared.value[1].items()}
         none = max(by_id, default=-1) + 1
         tokens = pa.array([by_id.get(i, b"") for i in range(none + 1)], pa.large_binary())
         for whole_batch in batches:
