@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import bpe, chat, line_dedup, shingle_join, spotsigs, toxicity
+from sheaf.llm import ann, bpe, chat, line_dedup, shingle_join, spotsigs, toxicity
 from sheaf.llm.common import read, whole
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -190,3 +190,9 @@ def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
         spotsigs.likeness(F.col("print"), F.col("edited_print")).alias("near_edited"),
         spotsigs.likeness(F.col("print"), F.col("next_print")).alias("near_next"),
     )
+
+
+@query
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
