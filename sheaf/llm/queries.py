@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import ann, bpe, chat, line_dedup, shingle_join, spotsigs, toxicity
+from sheaf.llm import ann, bpe, chat, licenses, line_dedup, pii, shingle_join, spotsigs, toxicity
 from sheaf.llm.common import read, whole
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -196,3 +196,14 @@ def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return ann.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+@query
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pii.replace(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.col("n_entities").cast("long").alias("n_entities"), "text")
