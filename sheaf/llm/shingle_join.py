@@ -15,10 +15,10 @@ only one. Two documents link when ``100 * common >= percent * union``.
   gets a longer sketch, at last one with a word for each shingle.
 * Pairs whose parity sketches, one bit flipped per shingle, differ in more than ``D`` bits
   are no links. The others are compared exactly, by hashes.
-* Sets that share a key are compared with the smallest of them.
-  Those that linked are one component, and only sets of one key in different components
-  are compared further: round by round with the next smallest while many are left, all
-  at once when few are. No group is expanded into all its pairs.
+* Each set is first compared with one other, the smallest of a key that it shares most
+  keys with. Those that linked are one component, and only sets of one key in different
+  components are compared further: round by round with the smallest, the next smallest
+  and so on while many are left, all at once when few are. No group is expanded into all its pairs.
 
 Components are found by stars (large and small, in turn). Cases: null and empty texts
 have an empty set and no links; rows with equal ids are copies of one document if their
@@ -41,7 +41,7 @@ from sheaf.llm.common import kept
 WIDTH, PERCENT = 5, 80
 # Shingles per word of a sketch, for the largest sets of a band.
 PER_WORD = 3.5
-PARITY_WORDS = 16
+PARITY_WORDS = 64
 EACH = 4  # the level at which each shingle has a word of its own
 # Needed sets whose ids may go to every task, and pairs that are compared at once.
 MAX_BROADCAST_IDS, MAX_PAIRS = 1 << 20, 1 << 24
@@ -206,7 +206,10 @@ def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets link."""
     hashes = sets.select("cls", "hashes")
-    both = pairs.join(hashes.toDF("b", "right"), "b").join(hashes.toDF("a", "left"), "a")
+    hubs = pairs.select("a").distinct()
+    if pairs.count() <= MAX_BROADCAST_IDS:  # then sets move once per pair, and hubs once
+        pairs, hubs = F.broadcast(pairs), F.broadcast(hubs)
+    both = hashes.toDF("b", "right").join(pairs, "b").join(hashes.toDF("a", "left").join(hubs, "a"), "a")
 
     def run(batches):
         for batch in batches:
@@ -246,9 +249,9 @@ def components(edges: DataFrame, nodes: tuple[str, str] = ("a", "b")) -> DataFra
         mark = now
 
 
-def _candidates(live: DataFrame, root: DataFrame | None) -> DataFrame:
+def _candidates(live: DataFrame, root: DataFrame) -> DataFrame:
     """Members of keys, ranked by set, with their component."""
-    members = live.join(root.toDF("cls", "comp"), "cls", "left") if root is not None else live.withColumn("comp", F.lit(None).cast("long"))
+    members = live.join(root.toDF("cls", "comp"), "cls", "left")
     members = members.withColumn("comp", F.coalesce("comp", "cls"))
     key = W.partitionBy("key")
     spread = members.withColumn("_low", F.min("comp").over(key)).withColumn("_high", F.max("comp").over(key))
@@ -277,26 +280,30 @@ def links(
         first = F.broadcast(first)
     sets = kept(_sets(texts.join(first, "id"), width).dropDuplicates(["cls"]), "sets")
 
-    found, root, done = None, None, 0
-    members = live.withColumn("comp", F.col("cls"))
+    def compared(pairs: DataFrame) -> DataFrame:
+        return kept(_linked(kept(_possible(pairs, sets, percent), "pairs"), sets, percent), "links")
+
+    # First each set with the one it shares most keys with, of those that are the smallest of a key.
+    low = live.where("rank = 0").select("key", F.col("cls").alias("a"))
+    often = live.where("rank > 0").join(low, "key").groupBy(F.col("cls").alias("b"), "a").count()
+    best = often.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
+    found, done = compared(best), 0
     while True:
+        root = kept(components(found), "roots")
+        members = kept(_candidates(live, root), "members")
         sizes = members.groupBy("key").agg(F.count(F.when(F.col("rank") >= done, 1)).alias("g"))
-        left = sizes.agg(F.coalesce(F.sum(F.col("g") * (F.col("g") - 1) / 2), F.lit(0)), F.max("g")).first()
-        if left[0] == 0:
+        left = sizes.agg(F.coalesce(F.sum(F.col("g") * (F.col("g") - 1) / 2), F.lit(0))).first()[0]
+        if left == 0:
             break
-        whole = done > 0 and left[0] <= MAX_PAIRS
+        whole = left <= MAX_PAIRS
         hub = members.where(F.col("rank") >= done if whole else F.col("rank") == done)
         hub = hub.select("key", F.col("cls").alias("a"), F.col("comp").alias("a_comp"), F.col("rank").alias("a_rank"))
         pairs = members.join(hub, "key").where("rank > a_rank AND comp <> a_comp").select("a", F.col("cls").alias("b")).distinct()
-        new = kept(_linked(_possible(pairs, sets, percent), sets, percent), "links")
-        found = new if found is None else found.unionByName(new)
+        found = found.unionByName(compared(pairs))
         if whole:
             break
         done += 1
-        root = kept(components(found), "roots")
-        members = kept(_candidates(live, root), "members")
-    empty = docs.sparkSession.createDataFrame([], "a long, b long")
-    return known.select("id", "n", "cls"), found if found is not None else empty
+    return known.select("id", "n", "cls"), found
 
 
 def linked_components(
