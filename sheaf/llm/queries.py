@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import ann, bpe, chat, licenses, line_dedup, pii, shingle_join, spotsigs, toxicity
+from sheaf.llm import ann, bpe, chat, licenses, line_dedup, mixing, pii, shingle_join, spotsigs, toxicity
 from sheaf.llm.common import read, whole
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -207,3 +207,25 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pii.replace(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.col("n_entities").cast("long").alias("n_entities"), "text")
+
+
+# Tokens by language, where a language is known only of documents that have labels.
+TARGETS = {"en": 0.4, "fr": 0.2, "de": 0.2, "es": 0.2}
+
+
+def domain_model(docs: DataFrame, spark: SparkSession, sf_dir: str) -> mixing.Classifier | None:
+    labelled = read(spark, sf_dir, "labels").select("doc_id").where("doc_id IS NOT NULL").distinct()
+    return mixing.fit(docs.select("doc_id", "text", "lang").join(labelled, "doc_id", "left_semi"), "doc_id", "text", "lang")
+
+
+@query
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = domain_model(docs, spark, sf_dir)
+    if model is None:
+        none = F.lit(None).cast("array<double>")
+        return docs.select("doc_id", F.lit(0).cast("long").alias("n_words"), none.alias("posterior"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
+    slim = mixing.with_posteriors(docs.select("doc_id", "text"), model, columns=["doc_id"])
+    known = {d: w for d, w in TARGETS.items() if d in model.domains}
+    rated = slim.withColumn("rate", mixing.rates(slim, model.domains, known))
+    return rated.select("doc_id", "n_words", "posterior", "rate", mixing.copies(F.col("rate"), "doc_id").alias("copies"))
