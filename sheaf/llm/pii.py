@@ -47,6 +47,8 @@ PATTERNS = {
     "name": rf"(?<!\p{{L}})(?:{_NAMES}) \p{{Lu}}\p{{Ll}}+(?!\p{{L}})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+# Between any two characters.
+EACH = r"(?!^)(?!$)"
 _DIGITS = ("phone", "number", "ssn")
 _LETTERS = {
     "abcdefghijklmnopqrstuvwxyz": ("aeiouy", "bcdfghjklmnpqrstvwxz"),
@@ -83,7 +85,7 @@ def _like(seed: Column, c: Column, at: Column, letters: str = "") -> Column:
 
 
 def _chars(value: Column, change) -> Column:
-    return F.array_join(F.transform(F.split(value, "(?!^)"), change), "")
+    return F.array_join(F.transform(F.split(value, EACH), change), "")
 
 
 def luhn(digits: Column) -> Column:
@@ -93,7 +95,7 @@ def luhn(digits: Column) -> Column:
         twice = x * 2
         return F.struct((total["sum"] + F.when(total["odd"], twice - F.when(twice > 9, 9).otherwise(0)).otherwise(x)).cast("int").alias("sum"), (~total["odd"]).alias("odd"))
 
-    values = F.transform(F.split(F.reverse(digits), "(?!^)"), lambda c: c.try_cast("int"))
+    values = F.transform(F.split(F.reverse(digits), EACH), lambda c: c.try_cast("int"))
     return F.aggregate(values, F.struct(F.lit(0).alias("sum"), F.lit(False).alias("odd")), add)["sum"] % 10
 
 
@@ -137,8 +139,8 @@ def poured(kind: Column, value: Column, sur: Column) -> Column:
         return F.struct(F.concat(state["out"], new).alias("out"), (state["k"] + c.rlike("[0-9]").cast("int")).alias("k"))
 
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("k"))
-    digits = F.aggregate(F.split(value, "(?!^)"), start, digit)["out"]
-    cased = F.zip_with(F.split(value, "(?!^)"), F.split(sur, "(?!^)"), lambda o, s: F.when(o == F.lower(o), s).otherwise(F.upper(s)))
+    digits = F.aggregate(F.split(value, EACH), start, digit)["out"]
+    cased = F.zip_with(F.split(value, EACH), F.split(sur, EACH), lambda o, s: F.when(o == F.lower(o), s).otherwise(F.upper(s)))
     return F.when(kind.isin(*_DIGITS), digits).when(kind.isin("email", "secret"), F.array_join(cased, "")).otherwise(sur)
 
 
