@@ -126,8 +126,8 @@ def test_fingerprint_edges(spark):
 def test_similar_is_brute_force(spark):
     rng = random.Random(7)
     words = SPOT_WORDS + [f"c{i}" for i in range(40)]
-    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 25)))) for i in range(30)]
-    docs += [(100 + i, " ".join(w for w in t.split() if rng.random() > 0.05)) for i, t in docs] + [(200, None)]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 60)))) for i in range(40)]
+    docs += [(100 + i, " ".join(w for w in t.split() if rng.random() > 0.04)) for i, t in docs] + [(200, None)]
     member, pairs = spotsigs.similar(spark.createDataFrame(docs, "doc_id long, text string"), threshold=0.6)
     sets = {i: frozenset(brute_spots(t)) for i, t in docs}
     first = {}
