@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Parts of texts, pieces and pairs that a worker remembers; the longest in characters.
-PARTS, MEMO, MEMO_CHARS = 1 << 19, 1 << 18, 48
+PARTS, MEMO, MEMO_CHARS = 3 << 18, 1 << 19, 48
 # Tokens after which a task passes on what it has.
 FLUSH = 1 << 20
 
@@ -97,7 +98,7 @@ class Pieces:
         if known is None:
             if len(self._fits) >= MEMO:
                 self._fits.clear()
-            known = self._fits[key] = self._apart(a, b)
+            known = self._fits[key] = self.whole(b) and self._apart(a, b)
         return known
 
     def _apart(self, a: int, b: int) -> bool:
@@ -122,7 +123,7 @@ class Pieces:
     def extend(self, piece: bytes, last: list[int]) -> list[int]:
         """``last`` for a prefix of ``piece``, carried on to its end: ``last[i]`` is the
         last token of the first ``i`` bytes."""
-        trie, token, done, n = self.trie.get, self.token, len(last), len(piece)
+        trie, token, known, done, n = self.trie.get, self.token, self._fits.get, len(last), len(piece)
         last = last + [-1] * (n + 1 - done)
         for start in range(max(0, done - self.longest), n):
             node, tail = 0, last[start]
@@ -131,8 +132,10 @@ class Pieces:
                 if node is None:
                     break
                 t = token[node]
-                if t >= 0 and last[end + 1] < 0 and self.whole(t) and (not start or self.fits(tail, t)):
-                    last[end + 1] = t
+                if t >= 0 and last[end + 1] < 0:
+                    fits = known(tail << 32 | t) if start else self.whole(t)
+                    if fits or (fits is None and self.fits(tail, t)):
+                        last[end + 1] = t
         if n and -1 in last[1:]:
             raise ValueError(f"no token for byte {piece[last.index(-1, 1) - 1]}")
         return last
@@ -156,14 +159,14 @@ class Pieces:
 
 
 class Remembered(dict):
-    """What ``make`` gives, as bytes of ids; forgets all when it is full."""
+    """What ``make`` gives, ids as bytes; forgets all when it is full."""
 
     def __init__(self, make, most: int):
         super().__init__()
         self.make, self.most = make, most
 
     def __missing__(self, key: str) -> bytes:
-        made = np.array(self.make(key), np.int32).tobytes()
+        made = self.make(key)
         if len(key) <= MEMO_CHARS:
             if len(self) >= self.most:
                 self.clear()
@@ -179,8 +182,8 @@ class Encoder:
         self.pieces = Pieces(ranks)
         self.split = regex.compile(pattern).findall
         self.match = regex.compile(pattern).match
-        self.piece = Remembered(lambda p: self.pieces.ids(p.encode()), MEMO)
-        self.part = Remembered(lambda p: np.frombuffer(self._split(" " + p), np.int32), PARTS)
+        self.piece = Remembered(lambda p: array("i", self.pieces.ids(p.encode())).tobytes(), MEMO)
+        self.part = Remembered(lambda p: self._split(" " + p), PARTS)
         self.blanks = re.compile(r"\s ").search
 
     def _split(self, text: str) -> bytes:
