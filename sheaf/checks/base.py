@@ -22,7 +22,9 @@ TREE_GLOBS = ["**/node_modules/**", "**/*.log", "tests/*", "build/**"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_table(spark, f"{sf_dir}/{name}.parquet")
+    """A test table; one that is a single split is spread over the cores."""
+    df = read_table(spark, f"{sf_dir}/{name}.parquet")
+    return df.repartition(spark.sparkContext.defaultParallelism) if df.rdd.getNumPartitions() == 1 else df
 
 
 def pick(values, n):

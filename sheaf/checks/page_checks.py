@@ -161,11 +161,6 @@ def visited_dedupe(spark, sf):
     return crawling.visited_dedupe(found)
 
 
-@check()
-def pages_to_markdown(spark, sf):
-    return paging.pages_to_markdown(pages(spark, sf))
-
-
 @check(
     f"WITH seed AS (SELECT max(url) AS s FROM pages) SELECT url, strlen(html) AS bytes FROM pages, seed "
     f"WHERE regexp_replace({PATH}, '/$', '') = regexp_replace({PATH.replace('url', 's')}, '/$', '') ORDER BY url LIMIT 1"

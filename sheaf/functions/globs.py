@@ -84,23 +84,38 @@ def _char_class(glob: str, at: int) -> tuple[str, int]:
     at += 1
     negated = glob[at : at + 1] in ("!", "^")
     at += negated
-    items = []
+    ranges = []
+
+    def one(at: int) -> tuple[str, int]:
+        at += glob[at : at + 1] == "\\"
+        if at >= len(glob):
+            raise ValueError("open class")
+        return glob[at], at + 1
+
     while at < len(glob) and glob[at] != "]":
-        if glob[at] == "\\":
-            at += 1
-            if at == len(glob):
-                raise ValueError("trailing backslash")
-            items.append("\\" + glob[at] if not glob[at].isalnum() else glob[at])
-        elif glob[at] == "-" and items:
-            items.append("-")
-        else:
-            items.append("\\" + glob[at] if glob[at] in "[^&~-" else glob[at])
-        at += 1
-    if at >= len(glob) or not items or items[-1] == "-":
+        low, at = one(at)
+        high = low
+        if glob[at : at + 1] == "-":
+            if glob[at + 1 : at + 2] == "]":
+                raise ValueError("open range")
+            high, at = one(at + 1)
+        ranges.append((low, high))
+    if at >= len(glob) or not ranges:
         raise ValueError("malformed class")
-    if negated:
-        return "[^/" + "".join(items) + "]", at + 1
-    return "[" + "".join(items) + "]", at + 1
+    body = class_body(ranges)
+    return ("[^/" + body + "]" if negated else "[" + body + "]"), at + 1
+
+
+def class_body(ranges: Iterable[tuple[str, str]]) -> str:
+    """Ranges of characters for a class of an expression; a range from high to low is
+    malformed."""
+    out = []
+    for low, high in ranges:
+        if low > high:
+            raise ValueError("range from high to low")
+        ends = [c if c.isalnum() or ord(c) > 127 or c.isspace() else "\\" + c for c in (low, high)]
+        out.append(ends[0] if low == high else "-".join(ends))
+    return "".join(out)
 
 
 def _quote(char: str) -> str:

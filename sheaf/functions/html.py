@@ -11,19 +11,31 @@ from pyspark.sql import functions as F
 _HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 _TITLE = r"(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>"
 _HREF = r"""(?is)<a\s(?:[^>"']|"[^"]*"|'[^']*')*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
-_PIECE = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});|[^&]+|&"
+_PIECE = r"&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);|[^&]+|&"
 
 
 def unescape(text: Column) -> Column:
     """Decode character references, named and numeric."""
     # The standard library's table; the forms without a semicolon are left alone.
-    names = {f"&{k}": v for k, v in html5.items() if k.endswith(";")}
-    table = F.from_json(F.lit(json.dumps(names)), "map<string,string>")
+    # A map is searched from its start, so names are kept by their first two letters.
+    names: dict[str, dict[str, str]] = {}
+    for k, v in html5.items():
+        if k.endswith(";"):
+            names.setdefault(k[:1], {}).setdefault(k[:2], {})[k] = v
+    table = F.from_json(F.lit(json.dumps(names)), "map<string,map<string,map<string,string>>>")
+
+    def named(piece: Column) -> Column:
+        name = F.substr(piece, F.lit(2))
+        first = F.try_element_at(table, F.substr(name, F.lit(1), F.lit(1)))
+        return F.try_element_at(F.try_element_at(first, F.substr(name, F.lit(1), F.lit(2))), name)
 
     def decode(piece: Column) -> Column:
-        digits = F.regexp_extract(piece, r"\A&#([0-9]+);\z", 1)
-        hexes = F.regexp_extract(piece, r"\A&#[xX]([0-9A-Fa-f]+);\z", 1)
-        code = F.when(digits != "", F.hex(digits.cast("bigint"))).when(hexes != "", hexes)
+        digits = F.regexp_extract(piece, r"\A&#0*([0-9]+);\z", 1)
+        hexes = F.regexp_extract(piece, r"\A&#[xX]0*([0-9A-Fa-f]+);\z", 1)
+        # More digits than the last character has mean a number beyond it.
+        tens = F.when(F.length(digits) > 7, F.lit("9999999")).otherwise(digits)
+        code = F.when(digits != "", F.hex(tens.try_cast("bigint")))
+        code = code.when(hexes != "", F.when(F.length(hexes) > 6, F.lit("FFFFFF")).otherwise(hexes))
         # Out of range and surrogates become the replacement character.
         bad = piece.rlike(r"\A&#(?:0*|[xX]0*|[xX]0*[dD][89A-Fa-f][0-9A-Fa-f]{2});\z") | (
             F.conv(code, 16, 10).cast("bigint") > 0x10FFFF
@@ -32,7 +44,7 @@ def unescape(text: Column) -> Column:
         return (
             F.when(~piece.startswith("&") | (piece == "&"), piece)
             .when(code.isNotNull(), char)
-            .otherwise(F.coalesce(F.try_element_at(table, piece), piece))
+            .otherwise(F.coalesce(named(piece), piece))
         )
 
     pieces = F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0))

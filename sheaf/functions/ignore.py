@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sheaf.functions.globs import class_body
 from sheaf.session import cut
 
 _RULE = T.StructType().add("regex", T.StringType()).add("negated", T.BooleanType())
@@ -61,7 +62,10 @@ def rule_regex(line: str) -> tuple[str, bool] | None:
             at += 2
         elif line[at] == "[" and "]" in line[at:]:
             end = line.index("]", at)
-            out.append(line[at : end + 1])
+            try:
+                out.append(_class(line[at + 1 : end]))
+            except ValueError:
+                return None  # a malformed rule matches nothing
             at = end + 1
         else:
             out.append(re.escape(line[at]))
@@ -71,6 +75,27 @@ def rule_regex(line: str) -> tuple[str, bool] | None:
     return rf"(?s)\A{head}{''.join(out)}{tail}\z", negated
 
 
+def _class(body: str) -> str:
+    """The class of an expression, from its parsed items: what ``-`` joins is a range."""
+    negated = body.startswith("^")
+    chars = list(body[negated:])
+    ranges: list[tuple[str, str]] = []
+    while chars:
+        low = chars.pop(0)
+        if low == "\\" and chars:
+            low = chars.pop(0)
+        high = low
+        if len(chars) > 1 and chars[0] == "-":
+            high = chars[1]
+            del chars[:2]
+            if high == "\\" and chars:
+                high = chars.pop(0)
+        ranges.append((low, high))
+    if not ranges:
+        raise ValueError("empty class")
+    return ("[^" if negated else "[") + class_body(ranges) + "]"
+
+
 def ignored_by(path: Column, lines: Iterable[str]) -> Column:
     """Ignored by a fixed list of lines, folded into one native expression.
 

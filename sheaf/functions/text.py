@@ -22,7 +22,7 @@ def line_numbers(text: Column) -> Column:
 
 def code_fence(text: Column, ext: Column) -> Column:
     """Fence text; the tag is the extension less its dot."""
-    return F.concat(F.lit("```"), F.substring(ext, 2, 1_000_000), F.lit("\n"), text, F.lit("\n```"))
+    return F.concat(F.lit("```"), F.substr(ext, F.lit(2)), F.lit("\n"), text, F.lit("\n```"))
 
 
 def format_file(

@@ -41,9 +41,6 @@ def _first_letter(pattern: str) -> str:
 def _by_kind(text: Column, lang: str) -> Column:
     parts = []
     for kind, pattern in o.BY_KIND[lang]:
-        if kind == "method":
-            # A name starts a word: the same matches, without a try at every letter.
-            pattern = r"(?:(?<!\w)|(?=<))" + pattern
         # What follows a word in these patterns is never part of one, so the words need
         # not give anything back.
         pattern = _first_letter(pattern.replace(r"\w+", r"\w++"))

@@ -16,9 +16,6 @@ from sheaf.plans.ordered import running_totals
 from sheaf.plans.skew import MAX_BROADCAST, lookup_join
 from sheaf.session import cut
 
-# A vocabulary of ranks is a fixed table of this order (200,000 for the largest
-# published one); more is refused.
-MAX_RANKS = 2_000_000
 # Distinct pre-tokens sent to every task. The rest, each of them rare, goes by shuffle.
 HEAD = 500_000
 
@@ -30,11 +27,10 @@ def pretokens(df: DataFrame, text: str, encoding: str) -> DataFrame:
 
 
 def _load_ranks(ranks: DataFrame) -> Broadcast:
-    rows = ranks.select("token", "rank").take(MAX_RANKS + 1)
+    # A vocabulary is a setting like a model: its size does not follow the corpus.
+    rows = ranks.select("token", "rank").collect()
     if not rows:
         raise ValueError("token_count needs a table of ranks")
-    if len(rows) > MAX_RANKS:
-        raise ValueError(f"more than {MAX_RANKS} ranks")
     table = {bytes(r.token): r.rank for r in rows}
     return ranks.sparkSession.sparkContext.broadcast(table)
 

@@ -51,13 +51,16 @@ def stitch(
 
     A part ends once it holds ``part_bytes``; the parts of a group, put together in
     order, are the whole text. Groups below the limit have the one part 0, and if all
-    are, the parts need not be worked out. Pieces are made twice, for their sizes and
-    for their text; ``keep`` has them written to the shared folder, for short ones that
-    are costly to make.
+    are, the parts need not be worked out. Pieces of equal order are ordered by a hash
+    of their text, and equal ones stay together, whatever ``part_bytes`` is. Pieces are
+    made twice, for their sizes and for their text; ``keep`` has them written to the
+    shared folder, for short ones that are costly to make.
     """
+    pieces = pieces.withColumn("_tie", F.xxhash64(text))
     pieces = cut(pieces) if keep else pieces
-    sizes = pieces.select(*group, *order, F.octet_length(text).cast("bigint").alias("_bytes"))
-    sizes = sizes if keep else cut(sizes)
+    order = [*order, "_tie"]
+    sizes = pieces.groupBy(*group, *order).agg(F.sum(F.octet_length(text)).cast("bigint").alias("_bytes"))
+    sizes = cut(sizes)
     totals = sizes.groupBy(*group).agg(F.sum("_bytes").alias("_bytes"))
     if totals.where(F.col("_bytes") > part_bytes).isEmpty():
         parted = pieces.withColumn("part", F.lit(0).cast("bigint"))

@@ -112,16 +112,19 @@ def web_prompt(
     domains: Iterable[str] = (),
     exclude: Iterable[str] = (),
     part_bytes: int = PART_BYTES,
+    text: Column | None = None,
 ) -> DataFrame:
     """``(root, part, prompt)`` of the stored pages that a crawl from a seed reaches.
 
-    Pages become markdown after the crawl, so only those reached do.
+    ``text`` is what is shown of a page. Without it pages become plain markdown, after the
+    crawl, so that only those reached do.
     """
     spark = pages.sparkSession
     seeds = spark.createDataFrame([(seed,)], "url string")
     # A seed with a path stands for its own page only.
     reached = crawl(pages, page_links(pages), seeds, max_depth, domains, exclude, page=seed)
-    found = pages_to_markdown(pages.join(reached, "url", "left_semi"))
+    left = pages.join(reached, "url", "left_semi")
+    found = pages_to_markdown(left) if text is None else left.withColumn("markdown", text)
     # Converted once; what follows looks at it several times.
     good = cut(page_ok(found, "markdown"))
     good = crawl_select(good, seed)

@@ -11,10 +11,6 @@ from sheaf.functions.globs import glob_regex
 from sheaf.functions.text import trim_space
 from sheaf.sources.default_globs import ALWAYS, default_globs
 
-# Globs are folded into one expression on the driver. A list beyond this is no glob
-# list but a mistake, and is refused rather than cut.
-MAX_GLOBS = 100_000
-
 
 def read_globs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Globs of text files, one a line; blank lines and # comments are left out."""
@@ -23,11 +19,9 @@ def read_globs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def glob_list(globs: DataFrame) -> list[str]:
-    """The globs of a frame as a plain list, refused if it is too long."""
-    rows = globs.select("glob").take(MAX_GLOBS + 1)
-    if len(rows) > MAX_GLOBS:
-        raise ValueError(f"more than {MAX_GLOBS} globs")
-    return [row.glob for row in rows]
+    """The globs of a frame as a plain list: they are settings, folded into one expression
+    on the driver."""
+    return [row.glob for row in globs.select("glob").collect()]
 
 
 def active_globs(

@@ -6,11 +6,5 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A parquet table, spread over the cores if it has fewer files than there are.
-
-    A small file is a single task for all that follows. Tables of many files, as large
-    ones are, are left as they lie.
-    """
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    """A parquet table, split as ``spark.sql.files.*`` of the session say."""
+    return spark.read.parquet(path)

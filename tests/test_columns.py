@@ -4,6 +4,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sheaf.functions import html, ignore, models, paths, sniff, text, urls
+from sheaf.operators.snapshot import snapshot_diff
 
 
 def values(spark, rows, schema, column):
@@ -189,3 +190,17 @@ def test_correction_truncates(spark):
     assert values(spark, [(n,) for n in (0, 1, 50, 15945)], "n bigint", models.corrected(F.col("n"))) == [
         int(n * 1.18) for n in (0, 1, 50, 15945)
     ]
+
+
+def test_references_of_any_length(spark):
+    rows = [("&#00000065;&#x00000041;&#x0;&#99999999999999999999;&#xD800;&NotEqualTilde;&nosuchname;",)]
+    text = spark.createDataFrame(rows, "t string").select(html.unescape(F.col("t"))).first()[0]
+    assert text == "AA\ufffd\ufffd\ufffd\u2242\u0338&nosuchname;"
+
+
+def test_snapshots_of_null_texts(spark):
+    schema = "root string, path string, content string"
+    left = spark.createDataFrame([("r", "gone", None), ("r", "same", None), ("r", "lost", "a\nb"), ("r", "odd", "")], schema)
+    right = spark.createDataFrame([("r", "new", None), ("r", "same", None), ("r", "lost", None), ("r", "odd", None)], schema)
+    got = {r.path: (r.status, r.lines_added, r.lines_removed) for r in snapshot_diff(left, right).collect()}
+    assert got == {"gone": ("removed", 0, 0), "new": ("added", 0, 0), "lost": ("modified", 0, 2), "odd": ("modified", 0, 0)}

@@ -1,10 +1,13 @@
+import random
 import re
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sheaf.functions.globs import any_glob_regex, glob_match, glob_match_above, glob_regex, matches_dot
+from sheaf.functions.ignore import ignored_by, rule_regex
 
 CASES = [
     ("**/a.py", "a.py", True),
@@ -100,3 +103,25 @@ def test_against_naive(glob, path):
 @given(st.lists(st.lists(SEGMENT, min_size=1, max_size=3).map("/".join), min_size=1, max_size=6), PATHS)
 def test_list_is_any_of_its_globs(globs, path):
     assert (re.fullmatch(any_glob_regex(globs), path, re.S) is not None) == any(naive(g, path) for g in globs)
+
+
+def test_no_pattern_crashes(spark):
+    rng = random.Random(3)
+    globs = ["".join(rng.choice("[[]]!^-&\\{},*?az/") for _ in range(rng.randint(1, 8))) for _ in range(400)]
+    for glob in globs:
+        alone = glob_regex(glob)
+        assert alone is None or re.compile(alone)
+    paths = spark.createDataFrame([("a",), ("az/z",), ("[-]",), ("&&",), ("^",)], "path string")
+    some = globs[:40]
+    rows = paths.select(glob_match("path", globs).alias("g"), ignored_by(F.col("path"), some).alias("i")).collect()
+    assert len(rows) == 5
+    assert all(rule_regex(g) is None or re.compile(rule_regex(g)[0].replace(r"\z", r"\Z")) for g in globs)
+
+
+def test_malformed_ranges(spark):
+    assert glob_regex("[z-a]") is None and rule_regex("[z-a]") is None
+    one = spark.createDataFrame([("b",), ("&",), ("-",), ("[",)], "path string")
+    hit = lambda g: [r[0] for r in one.select(glob_match("path", [g])).collect()]
+    assert hit("[a-c&&]") == [True, True, False, False]
+    assert hit("[[-]") == [False] * 4 and hit("[!b]") == [False, True, True, True]
+    assert hit("[z-a]") == [False] * 4

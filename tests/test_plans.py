@@ -68,3 +68,13 @@ def test_rank_limit_is_applied_before_the_shuffle(spark):
     rows = file_checks.labelled(spark, "/root/testdata/sf0.001")
     for df in (stats.excluded_sample(rows), report.largest_files_per_root(rows, F.col("content"))):
         assert df._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 2
+
+
+def test_parts_with_equal_keys(spark):
+    rows = [("a", 1, "bbbb"), ("a", 1, "aaaa"), ("a", 1, "aaaa"), ("a", 2, "c"), ("b", 1, ""), ("b", 1, "x")]
+    df = spark.createDataFrame(rows, "g string, i int, t string")
+    whole = set()
+    for limit in (1 << 30, 5, 1):
+        parts = sorted((r.g, r.part, r.text) for r in stitch(df, ["g"], ["i"], "t", "text", limit).collect())
+        whole.add(tuple("".join(t for h, _, t in parts if h == g) for g in "ab"))
+    assert len(whole) == 1 and sorted(whole.pop()[0]) == sorted("bbbbaaaaaaaac")
