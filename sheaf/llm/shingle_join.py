@@ -291,8 +291,10 @@ def links(
     while True:
         root = kept(components(found), "roots")
         members = kept(_candidates(live, root), "members")
-        sizes = members.groupBy("key").agg(F.count(F.when(F.col("rank") >= done, 1)).alias("g"))
-        left = sizes.agg(F.coalesce(F.sum(F.col("g") * (F.col("g") - 1) / 2), F.lit(0))).first()[0]
+        # Pairs of one key in different components: all pairs less those within one.
+        sizes = members.where(F.col("rank") >= done).groupBy("key", "comp").count().groupBy("key")
+        across = (F.pow(F.sum("count"), 2) - F.sum(F.pow("count", F.lit(2)))) / 2
+        left = sizes.agg(across.alias("g")).agg(F.coalesce(F.sum("g"), F.lit(0.0))).first()[0]
         if left == 0:
             break
         whole = left <= MAX_PAIRS
