@@ -17,8 +17,8 @@ only one. Two documents link when ``100 * common >= percent * union``.
   are no links. The others are compared exactly, by hashes.
 * Each set is first compared with one other, the smallest of a key that it shares most
   keys with. Those that linked are one component, and only sets of one key in different
-  components are compared further: round by round with the smallest, the next smallest
-  and so on while many are left, all at once when few are. No group is expanded into all its pairs.
+  components are compared further: in rounds with the smallest, the next two, the next
+  four and so on while many are left, all at once when few are. No group is expanded into all its pairs.
 
 Components are found by stars (large and small, in turn). Cases: null and empty texts
 have an empty set and no links; rows with equal ids are copies of one document if their
@@ -287,7 +287,7 @@ def links(
     low = live.where("rank = 0").select("key", F.col("cls").alias("a"))
     often = live.where("rank > 0").join(low, "key").groupBy(F.col("cls").alias("b"), "a").count()
     best = often.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
-    found, done = compared(best), 0
+    found, done, hubs = compared(best), 0, 1
     while True:
         root = kept(components(found), "roots")
         members = kept(_candidates(live, root), "members")
@@ -298,13 +298,13 @@ def links(
         if left == 0:
             break
         whole = left <= MAX_PAIRS
-        hub = members.where(F.col("rank") >= done if whole else F.col("rank") == done)
+        hub = members.where(F.col("rank") >= done if whole else F.col("rank").between(done, done + hubs - 1))
         hub = hub.select("key", F.col("cls").alias("a"), F.col("comp").alias("a_comp"), F.col("rank").alias("a_rank"))
         pairs = members.join(hub, "key").where("rank > a_rank AND comp <> a_comp").select("a", F.col("cls").alias("b")).distinct()
         found = found.unionByName(compared(pairs))
         if whole:
             break
-        done += 1
+        done, hubs = done + hubs, 2 * hubs
     return known.select("id", "n", "cls"), found
 
 
