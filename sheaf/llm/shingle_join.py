@@ -9,7 +9,9 @@ only one. Two documents link when ``100 * common >= percent * union``.
   shingle more or less changes one word, so the number of words that differ is at most
   the symmetric difference, and that is at most ``D`` for linked sets. If a set fills
   more than ``D`` words, one filled word must be equal: words, with their place, are the
-  keys of a plain equi-join. Words without a shingle are no keys.
+  keys of a plain equi-join. Words without a shingle are no keys. A set that fills ``s``
+  more words than it must leaves out its ``s`` most frequent keys: linked sets share
+  more than ``s`` of them, so the rarest that they share stays.
 * Sketches have one length per band of sizes (a factor of two). A set also stands in the
   next band if a linked set could be there. A band in which some set fills too few words
   gets a longer sketch, at last one with a word for each shingle.
@@ -93,9 +95,15 @@ def level_needed(hashes: np.ndarray, percent: int) -> int:
     return next((v for v in range(EACH) if len(np.unique(_place(hashes, band(n), v))) > differ), EACH)
 
 
-def keys(hashes: np.ndarray, levels: dict[int, int], percent: int) -> np.ndarray:
-    """The filled words of a set's sketches, each with its band and place, as hashes."""
-    out = []
+def keys(hashes: np.ndarray, levels: dict[int, int], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The filled words of a set's sketches, each with its band and place, as hashes; and
+    how many of a band's keys the set can do without, times 2, plus the band's last bit.
+
+    Linked sets share all filled words but ``D``, for the largest that can link.
+    """
+    out, tags = [], []
+    # Against a partner of up to 100 / percent times the size.
+    most = len(hashes) * (100 - percent) // percent
     for b in bands(len(hashes), percent):
         if b not in levels:
             continue  # nothing stands there
@@ -105,7 +113,8 @@ def keys(hashes: np.ndarray, levels: dict[int, int], percent: int) -> np.ndarray
         starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         word = np.bitwise_xor.reduceat(hashes[order], starts)
         out.append(_mix(_mix(word) + place[starts] * _ODD[0] + np.array([b], np.uint64) * _ODD[1]))
-    return np.concatenate(out) if out else np.array([], np.uint64)
+        tags.append(np.full(len(word), max(0, len(word) - most - 1) * 2 + b % 2, np.int32))
+    return (np.concatenate(out), np.concatenate(tags)) if out else (np.array([], np.uint64), np.array([], np.int32))
 
 
 def _digest(hashes: np.ndarray) -> int:
@@ -138,30 +147,30 @@ def classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def _keys_of(docs: DataFrame, levels: dict[int, int], width: int, percent: int) -> DataFrame:
-    """(key, cls): the keys of each set, once for the copies that a batch holds."""
+    """(key, cls, tag): the keys of each set, once for the copies that a batch holds."""
 
     def run(batches):
         for batch in batches:
-            seen, all_keys, all_cls, n = set(), [], [], 0
+            seen, found, n = set(), [], 0
             for _, text in _texts(batch):
                 h = shingles(text, width)
                 c = _digest(h)
                 if len(h) and c not in seen:
                     seen.add(c)
-                    k = keys(h, levels, percent).view(np.int64)
-                    all_keys.append(k)
-                    all_cls.append(np.full(len(k), c, np.int64))
+                    k, tags = keys(h, levels, percent)
+                    found.append((k.view(np.int64), np.full(len(k), c, np.int64), tags))
                     n += len(k)
                 if n > 1 << 18:
-                    yield _pairs(all_keys, all_cls)
-                    all_keys, all_cls, n = [], [], 0
+                    yield rows(found)
+                    found, n = [], 0
             if n:
-                yield _pairs(all_keys, all_cls)
+                yield rows(found)
 
-    def _pairs(k, c):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(k)), pa.array(np.concatenate(c))], ["key", "cls"])
+    def rows(found):
+        columns = [pa.array(np.concatenate(c)) for c in zip(*found, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, ["key", "cls", "tag"])
 
-    return docs.mapInArrow(run, "key long, cls long")
+    return docs.mapInArrow(run, "key long, cls long, tag int")
 
 
 def parity(hashes: np.ndarray, bits: int = 64 * PARITY_WORDS) -> np.ndarray:
@@ -270,8 +279,12 @@ def links(
 
     by_key = W.partitionBy("key")
     ranked = _keys_of(texts, levels, width, percent).withColumn("rank", F.dense_rank().over(by_key.orderBy("cls")) - 1)
-    shared = ranked.withColumn("_last", F.max("rank").over(by_key)).where("_last > 0").select("key", "cls", "rank").distinct()
-    live = kept(shared, "live")
+    shared = ranked.withColumn("often", F.max("rank").over(by_key)).where("often > 0").select("key", "cls", "tag", "often").distinct()
+    # Of linked sets the rarest keys that they cannot do without have one in common.
+    frequent = W.partitionBy("cls", "tag").orderBy(F.desc("often"), F.desc("key"))
+    rare = shared.withColumn("nth", F.row_number().over(frequent)).where(F.col("nth") > F.floor(F.col("tag") / 2))
+    again = rare.select("key", "cls", (F.row_number().over(by_key.orderBy("cls")) - 1).alias("rank"))
+    live = kept(again.withColumn("_last", F.max("rank").over(by_key)).where("_last > 0").drop("_last"), "live")
 
     needed = live.select("cls").distinct()
     first = known.where("n > 0").groupBy("cls").agg(F.min("id").alias("id")).join(needed, "cls").select("id").distinct()
