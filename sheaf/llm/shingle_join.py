@@ -20,7 +20,9 @@ only one. Two documents link when ``100 * common >= percent * union``.
 * Each set is first compared with one other, the smallest of a key that it shares most
   keys with. Those that linked are one component, and only sets of one key in different
   components are compared further: in rounds with the smallest, the next two, the next
-  four and so on while many are left, all at once when few are. No group is expanded into all its pairs.
+  four and so on while many are left. What is left is compared at once when, by the share
+  that the last round could not rule out by sketches, the exact comparison will see no
+  more pairs than keys have members. No group is expanded into all its pairs.
 
 Components are found by stars (large and small, in turn). Cases: null and empty texts
 have an empty set and no links; rows with equal ids are copies of one document if their
@@ -293,28 +295,34 @@ def links(
         first = F.broadcast(first)
     sets = kept(_sets(texts.join(first, "id"), width).dropDuplicates(["cls"]), "sets")
 
-    def compared(pairs: DataFrame) -> DataFrame:
-        return kept(_linked(kept(_possible(pairs, sets, percent), "pairs"), sets, percent), "links")
+    def compared(pairs: DataFrame, measured: bool = True) -> tuple[DataFrame, float]:
+        """The links, and the share of pairs that sketches did not rule out."""
+        pairs = kept(pairs, "asked") if measured else pairs
+        possible = kept(_possible(pairs, sets, percent), "pairs")
+        share = possible.count() / max(1, pairs.count()) if measured else 0.0
+        return kept(_linked(possible, sets, percent), "links"), share
 
     # First each set with the one it shares most keys with, of those that are the smallest of a key.
     low = live.where("rank = 0").select("key", F.col("cls").alias("a"))
     often = live.where("rank > 0").join(low, "key").groupBy(F.col("cls").alias("b"), "a").count()
     best = often.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
-    found, done, hubs = compared(best), 0, 1
+    (found, share), done, hubs = compared(best), 0, 1
     while True:
         root = kept(components(found), "roots")
         members = kept(_candidates(live, root), "members")
         # Pairs of one key in different components: all pairs less those within one.
         sizes = members.where(F.col("rank") >= done).groupBy("key", "comp").count().groupBy("key")
         across = (F.pow(F.sum("count"), 2) - F.sum(F.pow("count", F.lit(2)))) / 2
-        left = sizes.agg(across.alias("g")).agg(F.coalesce(F.sum("g"), F.lit(0.0))).first()[0]
+        each = sizes.agg(across.alias("g"), F.sum("count").alias("m"))
+        left, there = each.agg(F.coalesce(F.sum("g"), F.lit(0.0)), F.coalesce(F.sum("m"), F.lit(0))).first()
         if left == 0:
             break
-        whole = left <= MAX_PAIRS
+        whole = left <= MAX_PAIRS and left * share <= there
         hub = members.where(F.col("rank") >= done if whole else F.col("rank").between(done, done + hubs - 1))
         hub = hub.select("key", F.col("cls").alias("a"), F.col("comp").alias("a_comp"), F.col("rank").alias("a_rank"))
         pairs = members.join(hub, "key").where("rank > a_rank AND comp <> a_comp").select("a", F.col("cls").alias("b")).distinct()
-        found = found.unionByName(compared(pairs))
+        new, share = compared(pairs, measured=not whole)
+        found = found.unionByName(new)
         if whole:
             break
         done, hubs = done + hubs, 2 * hubs
