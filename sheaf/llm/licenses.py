@@ -5,7 +5,8 @@ that cue. Its size as a zstandard frame is compared with its size when the templ
 raw dictionary; templates are ranked by how much that saves. A winner is confirmed by
 the exact wording: words are aligned with the template's, the share of template words
 found must reach ``MIN_COVERAGE`` and no key word (a name, a version) may differ. All
-differences are reported, ``-word`` missing and ``+word`` added.
+differences are reported, ``-word`` missing and ``+word`` added. A copyright line has room
+for year and holder; where they are longer, its "All rights reserved" is still a notice.
 
 Words are runs of letters, digits, points and hyphens in lower case; marks between them
 do not matter. Cases: null and empty texts and texts without notice give no row; equal
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MIN_COVERAGE = 0.8
-CUES = ("licen", "copyright", "permission", "redistribution")
+CUES = ("licen", "copyright", "permission", "redistribution", "rights")
 WORD = re.compile(r"[^\W_](?:[\w.\-]*[^\W_])?")
 
 
@@ -36,6 +37,7 @@ class Template:
     name: str
     text: str
     keys: tuple[str, ...]
+    room: int = 0  # words that may stand between the template's, such as a year and a holder
 
     @cached_property
     def words(self) -> list[str]:
@@ -80,7 +82,8 @@ TEMPLATES = (
         "following conditions are met",
         ("source", "binary"),
     ),
-    Template("all-rights", "Copyright. All rights reserved", ("copyright", "rights", "reserved")),
+    Template("all-rights", "All rights reserved", ("all", "rights", "reserved")),
+    Template("copyright", "Copyright. All rights reserved", ("copyright", "rights", "reserved"), room=20),
 )
 
 _PLAIN = zstandard.ZstdCompressor(level=19, write_content_size=False)
@@ -111,7 +114,7 @@ def notices(text: str, templates: tuple[Template, ...] = TEMPLATES) -> list[tupl
         ranked = []
         for t in by_cue.get(word, ()):
             begin = max(0, i - t.cue - 1)
-            block = [w for _, _, w in found[begin : i - t.cue + len(t.words) + 1]]
+            block = [w for _, _, w in found[begin : i - t.cue + len(t.words) + t.room + 1]]
             data = " ".join(block).encode()
             plain = len(_PLAIN.compress(data))
             ranked.append(((plain - len(t.compressor.compress(data))) / plain, t, begin, block))

@@ -138,6 +138,39 @@ def test_notices(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_notices_of_all_rights(spark):
+    forms = {
+        "All rights reserved.": "all-rights",
+        "Copyright. All rights reserved.": "copyright",
+        "Copyright (c) 2020 Foo Inc. All rights reserved.": "copyright",
+        "© 1998-2020 The Foo and Bar Company of Somewhere, Ltd. ALL RIGHTS RESERVED": "all-rights",
+        "Copyright " + "holder " * 60 + "All rights reserved.": "all-rights",
+        "This work is licensed under the GNU General Public License, version 3.": "gpl-3.0",
+        "Licensed under CC BY-NC 4.0.": "cc-by-nc-4.0",
+        "Released under the MIT License.": "mit",
+        "Licensed under the Apache License, Version 2.0.": "apache-2.0",
+        "All rights of way are shown.": None,
+    }
+    rows = [(i, f"Some prose.\n{form}\nMore of it") for i, form in enumerate(forms)]
+    got = {i: (license, text) for i, license, text in (
+        (r.doc_id, r.license, rows[r.doc_id][1][r.start : r.stop]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    )}
+    assert {i: v[0] for i, v in got.items()} == {i: name for i, name in enumerate(forms.values()) if name}
+    assert got[2][1] == "Copyright (c) 2020 Foo Inc. All rights reserved" and got[4][1] == "All rights reserved"
+
+
+def test_every_notice_of_the_table_is_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    lines = {
+        "All rights reserved.": "all-rights", "Licensed under CC BY-NC 4.0.": "cc-by-nc-4.0", "Released under the MIT License.": "mit",
+        "Licensed under the Apache License, Version 2.0.": "apache-2.0",
+        "This work is licensed under the GNU General Public License, version 3.": "gpl-3.0",
+    }
+    want = {(r.doc_id, name) for r in docs.where("text IS NOT NULL").collect() for line, name in lines.items() if line in r.text}
+    got = {(r.doc_id, r.license) for r in licenses.scan(docs).collect()}
+    assert want and {name for _, name in want} == set(lines.values()) and got == want
+
+
 def test_surrogates(spark):
     texts = {
         1: "mail Bob.72@Mail3.example.com, or call +1 (643) 555-5742.", 2: "bob.72@mail3.example.com; 4539 1488 0343 6467",
