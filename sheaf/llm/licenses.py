@@ -1,17 +1,23 @@
 """License notices in documents, by conditional compression.
 
-A candidate block is the stretch of words around a cue word, as long as a template with
-that cue. Its size as a zstandard frame is compared with its size when the template is a
-raw dictionary; templates are ranked by how much that saves. A winner is confirmed by
-the exact wording: words are aligned with the template's, the share of template words
-found must reach ``MIN_COVERAGE`` and no key word (a name, a version) may differ. All
-differences are reported, ``-word`` missing and ``+word`` added. A copyright line has room
-for year and holder; where they are longer, its "All rights reserved" is still a notice.
+A candidate block is the stretch of words around a cue word, of which the beginning
+(``CUES``) counts, with ``AROUND`` times a template's length on either side. Every block
+is compressed as a zstandard frame, alone and with each template as a raw dictionary. If
+that saves ``MIN_GAIN`` of the template's own size, less ``SLACK`` bytes, or more, the
+template is aligned with the block: this rules out what is unlike long templates, while
+those of a few words are mostly left to the alignment. The best local alignment by words
+is the notice. It is confirmed if the share
+of template words found reaches ``MIN_COVERAGE`` and no key word (a name, a version)
+differs; words of one cue count as found but not as equal. All differences are reported,
+``-word`` missing and ``+word`` added, and ``saved`` is what the dictionary saves on the
+notice's own words. A copyright line has room for year and holder; where they are longer,
+its "All rights reserved" is still a notice.
 
 Words are runs of letters, digits, points and hyphens in lower case; marks between them
-do not matter. Cases: null and empty texts and texts without notice give no row; equal
-rows give equal rows; of overlapping notices the longest stays, then the one that saves
-most, then the first by name.
+do not matter. Cases: null and empty texts and texts without notice give no row, nor does
+a notice whose cue words are all missing; equal rows give equal rows; of overlapping
+notices the one with most template words stays, then the shortest, then the one that
+saves most, then the first by name.
 """
 
 from __future__ import annotations
@@ -19,7 +25,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from difflib import SequenceMatcher
 from functools import cached_property
 
 import pyarrow as pa
@@ -28,8 +33,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MIN_COVERAGE = 0.8
-CUES = ("licen", "copyright", "permission", "redistribution", "rights")
+# What the dictionary saves: of the template's size at least, less what chance and frames take, in bytes.
+MIN_GAIN, SLACK = 0.3, 10
+AROUND = 2
+CUES = ("licen", "copyright", "permission", "redistribut", "rights")
+# Of an alignment: a key found, a word found, a word of one cue, one missing, one added, one added where there is room.
+KEY, FOUND, ALIKE, MISSING, ADDED, ROOM = 3.0, 1.0, 0.9, 0.3, 0.12, 0.02
 WORD = re.compile(r"[^\W_](?:[\w.\-]*[^\W_])?")
+LEVEL = 19
+_PLAIN = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
+
+
+def _size(data: bytes) -> int:
+    return len(_PLAIN.compress(data))
+
+
+def _cue(word: str) -> str | None:
+    return next((c for c in CUES if c in word), None)
 
 
 @dataclass(frozen=True)
@@ -44,13 +64,21 @@ class Template:
         return [w.lower() for w in WORD.findall(self.text)]
 
     @cached_property
-    def cue(self) -> int:
-        return next(i for i, w in enumerate(self.words) if w.startswith(CUES))
+    def reach(self) -> int:
+        return AROUND * len(self.words) + self.room
+
+    @cached_property
+    def size(self) -> int:
+        return _size(" ".join(self.words).encode()) - _size(b"")
 
     @cached_property
     def compressor(self) -> zstandard.ZstdCompressor:
         shared = zstandard.ZstdCompressionDict(" ".join(self.words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        return zstandard.ZstdCompressor(level=19, dict_data=shared, write_content_size=False)
+        shared.precompute_compress(level=LEVEL)
+        return zstandard.ZstdCompressor(dict_data=shared, write_content_size=False)
+
+    def saves(self, data: bytes) -> int:
+        return _size(data) - len(self.compressor.compress(data))
 
 
 # Wordings of published license notices.
@@ -86,46 +114,98 @@ TEMPLATES = (
     Template("copyright", "Copyright. All rights reserved", ("copyright", "rights", "reserved"), room=20),
 )
 
-_PLAIN = zstandard.ZstdCompressor(level=19, write_content_size=False)
-
-
-def differences(template: Template, words: list[str]) -> tuple[float, list[str], int, int]:
-    """Share of template words found in order, what differs, and where the notice lies."""
-    steps = SequenceMatcher(None, template.words, words, autojunk=False).get_opcodes()
-    same = [s for s in steps if s[0] == "equal"]
-    if not same:
-        return 0.0, [], 0, 0
-    first, last = same[0][3], same[-1][4]
-    out = []
-    for kind, a, b, c, d in steps:
-        if kind != "equal":
-            out += ["-" + w for w in template.words[a:b]] + ["+" + w for w in words[c:d] if first <= c < last]
-    return sum(b - a for _, a, b, _, _ in same) / len(template.words), out, first, last
+def aligned(template: Template, words: list[str]) -> list[tuple[int, int]]:
+    """Places (of the template, of ``words``) of the best local alignment; of equal ones
+    the first to end, with every word as near to the next as it can be."""
+    own, added = template.words, ROOM if template.room else ADDED
+    cues, theirs = [_cue(w) for w in own], [_cue(w) for w in words]
+    worth = [KEY if w in template.keys else FOUND for w in own]
+    table = [[0.0] * (len(words) + 1)]
+    best, end = 0.0, (0, 0)
+    for i, w in enumerate(own):
+        above, row = table[-1], [0.0]
+        for j, v in enumerate(words):
+            same = worth[i] if v == w else ALIKE if cues[i] and cues[i] == theirs[j] else -1e9
+            row.append(max(0.0, above[j] + same, above[j + 1] - MISSING, row[j] - added))
+            if row[-1] > best + 1e-9 or row[-1] > best - 1e-9 and (j + 1, i + 1) < end[::-1]:
+                best, end = max(best, row[-1]), (i + 1, j + 1)
+        table.append(row)
+    out, (i, j) = [], end
+    while i and j and table[i][j] > 0:
+        same = worth[i - 1] if words[j - 1] == own[i - 1] else ALIKE if cues[i - 1] and cues[i - 1] == theirs[j - 1] else -1e9
+        if abs(table[i - 1][j - 1] + same - table[i][j]) < 1e-9:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+        elif abs(table[i][j - 1] - added - table[i][j]) < 1e-9:
+            j -= 1
+        else:
+            i -= 1
+    return out[::-1]
+
+
+def differences(template: Template, words: list[str], pairs: list[tuple[int, int]]) -> tuple[list[str], bool]:
+    """What differs in an alignment, in order, and whether a key word does: one is missing,
+    or one with a digit has another such word before it."""
+    own, out, wrong, i, j = template.words, [], False, 0, pairs[0][1]
+    for a, b in [*pairs, (len(own), pairs[-1][1] + 1)]:
+        gone, more = own[i:a], words[j:b]
+        wrong = wrong or any(w in template.keys for w in gone)
+        if a < len(own):
+            version = own[a] in template.keys and re.search(r"\d", own[a])
+            wrong = wrong or bool(version and any(re.search(r"\d", w) for w in more))
+            if own[a] != words[b]:
+                gone, more = [*gone, own[a]], [*more, words[b]]
+        out += ["-" + w for w in gone] + ["+" + w for w in more]
+        i, j = a + 1, b + 1
+    return out, wrong
+
+
+def confirmed(template: Template, words: list[str]) -> list[tuple]:
+    """(first, last, words found, coverage, differences) of the notices in a block: the
+    best, and those before and behind it."""
+    out, left = [], [(0, len(words))]
+    while left:
+        begin, end = left.pop()
+        pairs = aligned(template, words[begin:end])
+        if len(pairs) < MIN_COVERAGE * len(template.words):
+            continue
+        first, last = begin + pairs[0][1], begin + pairs[-1][1] + 1
+        left += [(begin, first), (last, end)]
+        changed, wrong = differences(template, words[begin:end], pairs)
+        if not wrong:
+            out.append((first, last, len(pairs), len(pairs) / len(template.words), changed))
+    return out
 
 
 def notices(text: str, templates: tuple[Template, ...] = TEMPLATES) -> list[tuple]:
     """(start, stop, name, saved, coverage, differences) of a text, in code points."""
     found = [(m.start(), m.end(), m.group().lower()) for m in WORD.finditer(text)]
-    by_cue: dict[str, list[Template]] = {}
-    for t in templates:
-        by_cue.setdefault(t.words[t.cue], []).append(t)
-    confirmed = []
+    known: dict[tuple, list[tuple]] = {}  # blocks of equal words are looked at once
+    sizes: dict[bytes, int] = {}
+    seen = {}
     for i, (_, _, word) in enumerate(found):
-        ranked = []
-        for t in by_cue.get(word, ()):
-            begin = max(0, i - t.cue - 1)
-            block = [w for _, _, w in found[begin : i - t.cue + len(t.words) + t.room + 1]]
+        if not _cue(word):
+            continue
+        for t in templates:
+            begin = max(0, i - t.reach)
+            block = [w for _, _, w in found[begin : i + t.reach + 1]]
             data = " ".join(block).encode()
-            plain = len(_PLAIN.compress(data))
-            ranked.append(((plain - len(t.compressor.compress(data))) / plain, t, begin, block))
-        for saved, t, begin, block in sorted(ranked, key=lambda r: (-r[0], r[1].name)):
-            coverage, changed, first, last = differences(t, block)
-            if coverage >= MIN_COVERAGE and not {"-" + k for k in t.keys} & set(changed):
-                confirmed.append((found[begin + first][0], found[begin + last - 1][1], t.name, saved, coverage, changed))
+            if (t.name, data) not in known:
+                if data not in sizes:
+                    sizes[data] = _size(data)
+                gain = sizes[data] - len(t.compressor.compress(data))
+                known[t.name, data] = confirmed(t, block) if gain >= MIN_GAIN * t.size - SLACK else []
+            for first, last, n, coverage, changed in known[t.name, data]:
+                seen[begin + first, begin + last, t.name] = n, coverage, changed
+    rows = []
+    for (first, last, name), (n, coverage, changed) in seen.items():
+        data = " ".join(w for _, _, w in found[first:last]).encode()
+        saved = next(t for t in templates if t.name == name).saves(data) / _size(data)
+        rows.append((found[first][0], found[last - 1][1], name, saved, coverage, changed, n))
     out: list[tuple] = []
-    for c in sorted(confirmed, key=lambda c: (c[0] - c[1], -c[3], c[2])):
+    for c in sorted(rows, key=lambda c: (-c[6], c[1] - c[0], -c[3], c[2], c[0])):
         if all(c[1] <= o[0] or c[0] >= o[1] for o in out):
-            out.append(c)
+            out.append(c[:6])
     return sorted(out)
 
 
@@ -137,7 +217,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     texts that hold a cue leave the JVM."""
     low = F.lower(F.col(text_col))
     cue = F.lit(False)
-    for c in sorted({t.words[t.cue] for t in templates}):
+    for c in CUES:
         cue = cue | F.contains(low, F.lit(c))
     some = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("_text")).where(cue)
 

@@ -159,6 +159,32 @@ def test_notices_of_all_rights(spark):
     assert got[2][1] == "Copyright (c) 2020 Foo Inc. All rights reserved" and got[4][1] == "All rights reserved"
 
 
+def test_notices_with_added_and_changed_words(spark):
+    mit, apache = "Released under the MIT License", "Licensed under the Apache License, Version 2.0"
+    forms = {
+        "Licensed under the terms of the Apache License, Version 2.0": ["apache-2.0"],
+        "Released under the terms of the MIT License": ["mit"],
+        "Released under the MIT Licence": ["mit"],
+        "Licenced under the well-known and liberal Apache Licence, Version 2.0": ["apache-2.0"],
+        f"{mit}. {mit}.": ["mit", "mit"],
+        f"{apache} or, as you like, released under the terms of the MIT licence": ["apache-2.0", "mit"],
+        "Licensed under the terms of the Apache License, Version 1.1": [],
+        "Licensed under the terms of the Apache License, Version 1.1 (2.0)": [],
+        "Licensed under the Apache License, Version 1.1, or the Apache License, Version 2.0": ["apache-2.0"],
+        "Redistributions and use in source and in binary forms, with or without any modification, are permitted provided that all of the following conditions are met": ["bsd"],
+        "This work is licensed to you under the terms of the GNU Lesser General Public License, version 3": ["lgpl-3.0"],
+        "The press of the university has a license to print": [],
+    }
+    around = "word stands by word and sentence by sentence in a text which is about trees and houses " * 5
+    docs = spark.createDataFrame([(i, f"{around}. {form}. {around}") for i, form in enumerate(forms)], "doc_id long, text string")
+    got = {i: [] for i in range(len(forms))}
+    for r in sorted(licenses.scan(docs).collect(), key=lambda r: (r.doc_id, r.start)):
+        got[r.doc_id].append(r)
+    assert [[r.license for r in got[i]] for i in got] == list(forms.values())
+    assert got[0][0].coverage == 1.0 and got[0][0].differences == ["+the", "+terms", "+of"]
+    assert got[2][0].differences == ["-license", "+licence"]
+
+
 def test_every_notice_of_the_table_is_found(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     lines = {
