@@ -33,6 +33,15 @@ def test_op8_on_held_out_rows(spark):
     assert scored.where("score < 0 OR score > 1 OR predicted <> int(score >= 0.5)").count() == 0
 
 
+@pytest.mark.parametrize(("size", "least"), [("sf0.001", 1.0), ("sf0.01", 0.8)])
+def test_op8_recall_on_held_out_rows(spark, size, least):
+    folder = f"/root/testdata/{size}"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    held = queries.QUERIES["op8_toxicity"](spark, folder).where("held_out").join(labels, "doc_id").collect()
+    toxic, clean = [r.predicted for r in held if r.toxic], [r.predicted for r in held if r.toxic == 0]
+    assert toxic and sum(toxic) >= least * len(toxic) and sum(clean) <= 0.05 * len(clean)
+
+
 def test_pipeline_by_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     ids = {r.doc_id for r in docs.select("doc_id").collect()}
