@@ -36,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -342,9 +342,33 @@ def linked_components(
     return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
+def _set_digest(text: Column) -> Column:
+    """A digest of a text's set of shingles, null for the empty set."""
+    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.filter(F.split(low, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+    def digest(ws):
+        starts = F.sequence(F.lit(1), F.greatest(F.size(ws) - (WIDTH - 1), F.lit(1)))
+        hashes = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(ws, i, F.lit(WIDTH)), " ")))
+        joined = F.array_join(F.array_sort(F.array_distinct(hashes)).cast("array<string>"), ",")
+        return F.when(F.size(ws) > 0, F.sha2(joined, 256))
+
+    return F.get(F.transform(F.array(words), digest), F.lit(0))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the smallest document of each component only; rows with an empty set
-    or without id stay, and of rows with one id the first by text."""
+    stay. Of rows with one id the one with the smallest hash of the text stays, of rows
+    without id one of each set; of rows equal in that, the one with the smallest hash of
+    all columns. Rows without id are not compared with others beyond equal sets."""
     which = linked_components(docs.select(id_col, text_col), id_col, text_col)
     gone = which.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    left = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    row = F.xxhash64(*docs.columns)
+    # Empty sets are no copies of one another: each row is its own.
+    some = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    key = F.when(F.col(id_col).isNull(), _set_digest(F.col(text_col)))
+    order = W.partitionBy(id_col, "_set").orderBy("_h", "_row")
+    keyed = left.where(some).withColumns({"_set": key, "_h": F.xxhash64(text_col), "_row": row})
+    one = keyed.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").select(*docs.columns)
+    return one.unionByName(left.where(~some))

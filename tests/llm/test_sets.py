@@ -81,6 +81,17 @@ def test_shingle_edges(spark):
     assert shingle_join.linked_components(docs.limit(0)).count() == 0
 
 
+def test_one_row_stays_of_repeated_rows(spark):
+    rows = [(2, "a b c", "x"), (2, "a b c", "x"), (2, "a b c", "y"), (5, "A b  c", "x"), (3, "u v", "x"), (3, "other words", "x")]
+    rows += [(None, "k l m n o p", "x"), (None, "K l\nm n o p", "y"), (None, "k l m n o p", "x"), (None, "k l", "x"), (4, None, "x"), (4, "", "x"), (None, " ", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = shingle_join.keep_one(docs).collect()
+    assert sorted(r.doc_id or 0 for r in out) == [0, 0, 0, 2, 3, 4, 4]
+    assert {tuple(r) for r in out} <= set(rows)
+    assert sorted(r.text.lower().split() for r in out if r.doc_id is None) == [[], ["k", "l"], ["k", "l", "m", "n", "o", "p"]]
+    assert sorted(map(tuple, shingle_join.keep_one(docs.repartition(3)).fillna("").collect()), key=str) == sorted(map(tuple, spark.createDataFrame(out, docs.schema).fillna("").collect()), key=str)
+
+
 def brute_spots(text):
     words = [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
     content, out, k = [w for w in words if w not in spotsigs.ANCHORS], set(), 0
