@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,3 +27,8 @@ def kept(df: DataFrame, name: str) -> DataFrame:
 def whole(text: str | Column) -> Column:
     """A text, the empty one for null."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, not wherever it stands."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import ann, bpe, chat, licenses, line_dedup, mixing, pii, shingle_join, spotsigs, toxicity
+from sheaf.llm import ann, bpe, chat, licenses, line_dedup, mixing, pii, shingle_join, spotsigs, toxicity, url_filter
 from sheaf.llm.common import read, whole
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -229,3 +229,14 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = {d: w for d, w in TARGETS.items() if d in model.domains}
     rated = slim.withColumn("rate", mixing.rates(slim, model.domains, known))
     return rated.select("doc_id", "n_words", "posterior", "rate", mixing.copies(F.col("rate"), "doc_id").alias("copies"))
+
+
+URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
+
+
+@query
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = spark.createDataFrame(url_filter.labelled_urls(), "url string, blocked int")
+    rules = [url_filter.Rule.of(verdict, rule) for verdict, rule in URL_RULES]
+    judged = url_filter.judge(read(spark, sf_dir, "pages").select("page_id", "url"), url_filter.fit(labelled), rules)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
