@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import ann, bpe, chat, licenses, line_dedup, mixing, pii, shingle_join, spotsigs, toxicity, url_filter
+from sheaf.llm import ann, bpe, chat, licenses, line_dedup, mixing, pii, shingle_join, spotsigs, toxicity, url_filter, variants
 from sheaf.llm.common import read, whole
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -240,3 +240,9 @@ def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [url_filter.Rule.of(verdict, rule) for verdict, rule in URL_RULES]
     judged = url_filter.judge(read(spark, sf_dir, "pages").select("page_id", "url"), url_filter.fit(labelled), rules)
     return judged.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+@query
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return variants.variants(docs).select("word", "form", "root", "n", "n_near", "form_n")
