@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import ann, bpe, chat, licenses, line_dedup, mixing, pii, shingle_join, spotsigs, toxicity, url_filter, variants
+from sheaf.llm import ann, bpe, chat, collocations, licenses, line_dedup, mixing, pii, shingle_join, spotsigs, toxicity, url_filter, variants
 from sheaf.llm.common import read, whole
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -246,3 +246,47 @@ def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return variants.variants(docs).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents").select("text", "lang"))
+
+
+SQL["op11_collocations"] = """
+WITH piece AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents
+), worded AS (
+    SELECT lang, list_filter(regexp_split_to_array(p, '[\\x20\\x09]+'), lambda w: w <> '') AS w FROM piece
+), total AS (
+    SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM worded GROUP BY lang
+), gram AS (
+    SELECT lang, array_to_string(g, ' ') AS phrase, len(g) AS k, count(*) AS f FROM (
+        SELECT lang, unnest(list_concat(
+            list_transform(range(1, len(w) + 1), lambda i: w[i:i]), list_transform(range(1, len(w)), lambda i: w[i:i + 1]),
+            list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2]), list_transform(range(1, len(w) - 2), lambda i: w[i:i + 3]))) AS g FROM worded)
+    GROUP BY ALL HAVING count(*) >= 30
+), candidate AS (
+    SELECT lang, phrase, k, f, string_split(phrase, ' ') AS w FROM gram WHERE k > 1
+), inside AS (
+    SELECT lang, f, unnest(list_concat(
+        list_transform(range(1, k), lambda i: array_to_string(w[i:i + 1], ' ')),
+        CASE WHEN k > 3 THEN list_transform(range(1, k - 1), lambda i: array_to_string(w[i:i + 2], ' ')) ELSE [] END)) AS phrase FROM candidate WHERE k > 2
+), covered AS (
+    SELECT lang, phrase, max(f) AS f FROM inside GROUP BY ALL
+), alone AS (
+    SELECT c.* FROM candidate c LEFT JOIN covered v USING (lang, phrase) WHERE v.f IS NULL OR 100 * v.f < 80 * c.f
+), cut AS (
+    SELECT lang, phrase, f, w, unnest(range(1, k)) AS k FROM alone
+), rated AS (
+    SELECT c.lang, c.phrase, c.f, c.k, x.f AS l, y.f AS r, CAST(2000000::HUGEINT * c.f // (x.f + y.f) AS BIGINT) AS score FROM cut c
+    JOIN gram x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.k], ' ')
+    JOIN gram y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:], ' ')
+), best AS (
+    SELECT lang, phrase, f AS a, l, r, score FROM rated QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""

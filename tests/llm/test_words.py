@@ -96,3 +96,64 @@ def test_op12_against_brute_force(spark):
     got = queries.QUERIES["op12_variants"](spark, SF)
     assert got.where(F.col("form").isNotNull()).count() > 10
     assert told(got) == brute_forms(brute_words(rows))
+
+
+def brute_collocations(rows, least=30, top=2000):
+    counts, totals = Counter(), Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", low):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            totals[lang] += len(w)
+            for k in range(1, 5):
+                counts.update((lang, tuple(w[i : i + k])) for i in range(len(w) - k + 1))
+    often = {g: n for g, n in counts.items() if n >= least}
+    covered = set()
+    for (lang, w), n in often.items():
+        for k in range(2, len(w)):
+            for i in range(len(w) - k + 1):
+                if 100 * n >= 80 * often[lang, w[i : i + k]]:
+                    covered.add((lang, w[i : i + k]))
+    found = {}
+    for (lang, w), a in often.items():
+        if len(w) > 1 and (lang, w) not in covered:
+            cuts = [(2_000_000 * a // (often[lang, w[:k]] + often[lang, w[k:]]), k) for k in range(1, len(w))]
+            score, k = min(cuts)
+            found.setdefault(lang, []).append((-score, -a, " ".join(w).encode(), often[lang, w[:k]], often[lang, w[k:]]))
+    return [
+        (lang, i + 1, phrase.decode(), -a, left, right, totals[lang], -score)
+        for lang, each in found.items()
+        for i, (score, a, phrase, left, right) in enumerate(sorted(each)[:top])
+    ]
+
+
+@pytest.mark.parametrize(("burst", "held", "bits"), [(4096, 1 << 19, 1 << 29), (2, 40, 64), (1, 1, 1 << 15)])
+def test_collocations_of_random_texts(spark, monkeypatch, burst, held, bits):
+    from sheaf.llm import collocations as c
+
+    rng = random.Random(burst)
+    rows = [(None, "en"), ("", None), ("Of THE. of the\x0bof the\t the  É é\x1c;", None)]
+    for _ in range(300):
+        pool = ["a", "B", "cd", "É", "x\x1cy", "of", "the", "rare%d" % rng.randint(0, 50)]
+        text = "".join(rng.choice(pool) + rng.choice([" ", " ", " ", "\t ", ". ", "\n"]) for _ in range(rng.randint(0, 30)))
+        rows.append((text, rng.choice(["en", "en", "de", None])))
+    rows.append(("over and over " * 20_000, "en"))
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "text string, lang string, n int").repartition(3)
+    monkeypatch.setattr(c.bitmap, "__defaults__", (bits,))
+    monkeypatch.setattr(c.words, "__defaults__", ("text", "lang", held))
+    monkeypatch.setattr(c.sequences, "__defaults__", (None, "text", "lang", burst, held))
+    want = brute_collocations(rows, least=8, top=40)
+    got = [tuple(r) for r in c.collocations(docs, least=8, top=40).collect()]
+    assert len(want) > 50 and sorted(got) == sorted(want)
+    assert c.collocations(docs.limit(0)).count() == 0
+
+
+def test_scores_beyond_64_bits(spark):
+    from sheaf.llm import collocations as c
+
+    big = (1 << 62) - 1
+    grams = [("en", "a", 1, big), ("en", "b", 1, big), ("en", "a b", 2, big - 7), ("en", "a b c", 3, 40), ("en", "c", 1, 40), ("en", "b c", 2, 41)]
+    got = {r.phrase: r for r in c.scored(spark.createDataFrame(grams, "lang string, phrase string, words int, n long")).collect()}
+    assert got["a b"].score == 2_000_000 * (big - 7) // (2 * big) and "b c" not in got
+    assert (got["a b c"].l, got["a b c"].r, got["a b c"].score) == (big, 41, 0)
