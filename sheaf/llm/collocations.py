@@ -41,71 +41,80 @@ LONGEST, LEAST, COVER, TOP = 4, 30, 80, 2000
 BURST, HELD = 1 << 12, 1 << 19
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 29
 _CHUNK = 1 << 15  # bits of a row of a bitmap
+_ID = (1 << 32) - 1
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 # Letters to lower case, ends of pieces to line feeds, tabs to blanks.
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + _ENDS + b"\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * len(_ENDS) + b" ")
 
 
+class _Node(dict):
+    """Below a word: containers, or further nodes, by the next word. ``ended`` counts the
+    sequences that end here."""
+
+    ended = 0
+
+
 class Trie:
-    """Counts of sequences of ids: nodes over containers that burst."""
+    """Counts of sequences of ids: nodes over containers that burst.
+
+    A sequence is its first id and the rest, later ids in higher bits of one number, so
+    that containers hold plain numbers."""
 
     def __init__(self, burst: int = BURST):
         self.burst, self.root, self.size = burst, {}, 0
 
-    def add(self, sequence: tuple[int, ...]) -> None:
-        node, depth = self.root, 0
-        while True:
-            first = sequence[depth]
-            below = node.get(first)
-            depth += 1
+    def add(self, first: int, rest: int) -> None:
+        above, at = self.root, first
+        below = above.get(at)
+        if below is None:
+            below = above[at] = {}
+        while type(below) is _Node:
+            if not rest:
+                self.size += not below.ended
+                below.ended += 1
+                return
+            above, at, rest = below, rest & _ID, rest >> 32
+            below = above.get(at)
             if below is None:
-                below = node[first] = ({}, False)  # a container
-            node, is_node = below
-            if not is_node:
-                break
-            if depth == len(sequence):  # it ends at a node: counted under no word
-                node = node.setdefault(-1, ({}, False))[0]
-                break
-        rest = sequence[depth:]
-        if rest in node:
-            node[rest] += 1
+                below = above[at] = {}
+        n = below.get(rest)
+        if n is not None:
+            below[rest] = n + 1
             return
-        node[rest] = 1
+        below[rest] = 1
         self.size += 1
-        if len(node) > self.burst:
-            self._burst(sequence[:depth])
-
-    def _burst(self, head: tuple[int, ...]) -> None:
-        above = self.root
-        for word in head[:-1]:
-            above = above[word][0]
-        container, _ = above[head[-1]]
-        node: dict = {}
-        for rest, n in container.items():
-            first = rest[0] if rest else -1
-            node.setdefault(first, ({}, False))[0][rest[1:]] = n
-        above[head[-1]] = (node, True)
-
-    @staticmethod
-    def _walk(below, head: tuple[int, ...]) -> Iterator[tuple[tuple[int, ...], int]]:
-        node, is_node = below
-        if is_node:
-            for word, further in node.items():
-                yield from Trie._walk(further, head if word < 0 else (*head, word))
-        else:
-            for rest, n in node.items():
-                yield (*head, *rest), n
-
-    def spill(self, left: int) -> Iterator[list[tuple[tuple[int, ...], int]]]:
-        """Whole subtrees, the largest first, until ``left`` sequences remain."""
-        if not left:
-            sizes = [(0, word) for word in self.root]
-        else:
-            sizes = sorted(((sum(1 for _ in self._walk(b, ())), word) for word, b in self.root.items()), reverse=True)
-        for _, word in sizes:
+        if len(below) > self.burst:
+            node = above[at] = _Node()
+            for old, count in below.items():
+                if old:
+                    node.setdefault(old & _ID, {})[old >> 32] = count
+                else:
+                    node.ended = count
+
+    def _walk(self, below: dict, head: tuple[int, ...]) -> Iterator[tuple[tuple[int, ...], int]]:
+        if type(below) is _Node:
+            if below.ended:
+                yield head, below.ended
+            for word, further in below.items():
+                yield from self._walk(further, (*head, word))
+            return
+        for rest, n in below.items():
+            sequence = head
+            while rest:
+                sequence, rest = (*sequence, rest & _ID), rest >> 32
+            yield sequence, n
+
+    def _size(self, below: dict) -> int:
+        return sum(map(self._size, below.values())) + (below.ended > 0) if type(below) is _Node else len(below)
+
+    def spill(self, left: int, words: list[bytes]) -> Iterator[list[tuple[bytes, int]]]:
+        """Whole subtrees as sorted runs, the largest first, until ``left`` sequences remain."""
+        order = sorted(self.root, key=lambda w: self._size(self.root[w]), reverse=True) if left else list(self.root)
+        for word in order:
             if self.size <= left:
                 return
-            run = sorted(self._walk(self.root.pop(word), (word,)))
+            below = self.root.pop(word)
+            run = sorted([(b" ".join([words[i] for i in sequence]), n) for sequence, n in self._walk(below, (word,))])
             self.size -= len(run)
             yield run
 
@@ -144,29 +153,27 @@ def _texts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return docs.select(lang.alias("lang"), F.col(text_col).cast("binary").alias("text")).where("text IS NOT NULL")
 
 
-_COUNTED = "lang string, phrase string, words int, n long"
+_COUNTED = "lang string, phrase string, n long"
 
 
-def _batch(lang: str, phrases: list[bytes], words: list[int], counts: list[int]) -> pa.RecordBatch:
+def _batch(lang: str, phrases: list[bytes], counts: list[int]) -> pa.RecordBatch:
     text = pa.array(phrases, pa.binary()).cast(pa.string())
-    return pa.RecordBatch.from_arrays(
-        [pa.array([lang] * len(phrases), pa.string()), text, pa.array(words, pa.int32()), pa.array(counts, pa.int64())], ["lang", "phrase", "words", "n"]
-    )
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), text, pa.array(counts, pa.int64())], ["lang", "phrase", "n"])
 
 
 def _merged(runs: DataFrame) -> DataFrame:
-    return runs.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
+    return runs.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
 def words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", held: int = HELD) -> DataFrame:
-    """(lang, phrase, words, n) of all single words."""
+    """(lang, phrase, n) of all single words."""
 
     def run(batches):
         counts: dict[str, Counter] = {}
 
         def out():
             for lang, found in counts.items():
-                yield _batch(lang, list(found), [1] * len(found), list(found.values()))
+                yield _batch(lang, list(found), list(found.values()))
 
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1), strict=True):
@@ -179,93 +186,113 @@ def words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", held:
     return _merged(_texts(docs, text_col, lang_col).mapInArrow(run, _COUNTED))
 
 
-class _Ids:
-    """Ids of the frequent words of a task, with the hash that a phrase goes on from."""
+class _Ids(dict):
+    """Ids of the words of a task, 0 for those that are not frequent, with the hash that a
+    phrase goes on from."""
 
     def __init__(self, lang: str, known: Bitmap):
+        super().__init__()
         self.start, self.known = zlib.crc32(lang.encode() + b"\t"), known
         self.words: list[bytes] = [b""]
         self.hashes: list[int] = [0]
-        self.ids: dict[bytes, int] = {}
-
-    def of(self, word: bytes) -> int:
-        """0 if the word is rare."""
-        found = self.ids.get(word)
-        if found is None:
-            h = zlib.crc32(word + b" ", self.start)
-            found = 0
-            if h in self.known:
-                found = len(self.words)
-                self.words.append(word)
-                self.hashes.append(h)
-            self.ids[word] = found
+
+    def __missing__(self, word: bytes) -> int:
+        h = zlib.crc32(word + b" ", self.start)
+        found = 0
+        if h in self.known:
+            found = len(self.words)
+            self.words.append(word)
+            self.hashes.append(h)
+        self[word] = found
+        return found
+
+
+class _Linked(dict):
+    """Whether pairs of ids, as one number, are frequent."""
+
+    def __init__(self, ids: _Ids, known: Bitmap):
+        super().__init__()
+        self.ids, self.known = ids, known
+
+    def __missing__(self, pair: int) -> bool:
+        if len(self) >= HELD:
+            self.clear()
+        found = self[pair] = zlib.crc32(self.ids.words[pair >> 32] + b" ", self.ids.hashes[pair & _ID]) in self.known
         return found
 
 
-def sequences(docs: DataFrame, frequent: Broadcast, pairs: Broadcast | None = None, text_col: str = "text", lang_col: str = "lang", burst: int = BURST, held: int = HELD) -> DataFrame:
-    """(lang, phrase, words, n) of the pairs of ``frequent`` words; with ``pairs``, of the
+def _add_pairs(found: list[int], trie: Trie) -> None:
+    root, add = trie.root, trie.add
+    for a, b in pairwise(found):
+        if a and b:
+            container = root.get(a)
+            if type(container) is dict and b in container:
+                container[b] += 1
+            else:
+                add(a, b)
+
+
+def _add_longer(found: list[int], linked: _Linked, trie: Trie) -> None:
+    add, run = trie.add, 0  # pairs in a row that are frequent, up to here
+    for i, (a, b) in enumerate(pairwise(found)):
+        run = run + 1 if a and b and linked[a | b << 32] else 0
+        rest = b
+        for back in range(1, min(run, LONGEST - 1)):
+            rest = found[i + 1 - back] | rest << 32
+            add(found[i - back], rest)
+
+
+def sequences(
+    docs: DataFrame, frequent: Broadcast, pairs: Broadcast | None = None, text_col: str = "text", lang_col: str = "lang",
+    burst: int = BURST, held: int = HELD,
+) -> DataFrame:
+    """(lang, phrase, n) of the pairs of ``frequent`` words; with ``pairs``, of the
     sequences of three and more words that consist of such pairs."""
-    reach = range(3, LONGEST + 1)
 
     def run(batches):
         bits, pair_bits = Bitmap(frequent.value), Bitmap(pairs.value) if pairs else None
-        tries: dict[str, tuple[_Ids, Trie, dict]] = {}
-
-        def rows(lang, ids, trie, left):
-            phrases, sizes, counts = [], [], []
-            for run in trie.spill(left):
-                for sequence, n in run:
-                    phrases.append(b" ".join([ids.words[i] for i in sequence]))
-                    sizes.append(len(sequence))
-                    counts.append(n)
-                if len(phrases) > 1 << 15:
-                    yield _batch(lang, phrases, sizes, counts)
-                    phrases, sizes, counts = [], [], []
-            yield _batch(lang, phrases, sizes, counts)
+        tries: dict[str, tuple[_Ids, _Linked | None, Trie]] = {}
+
+        def rows(lang, left):
+            ids, _, trie = tries[lang]
+            some: list[tuple[bytes, int]] = []
+            for run in trie.spill(left, ids.words):
+                some += run
+                if len(some) > 1 << 15:
+                    yield _batch(lang, *map(list, zip(*some, strict=True)))
+                    some = []
+            if some:
+                yield _batch(lang, *map(list, zip(*some, strict=True)))
 
         for batch in batches:
             for value, text in zip(batch.column(0), batch.column(1), strict=True):
                 lang = value.as_py()
                 if lang not in tries:
-                    tries[lang] = (_Ids(lang, bits), Trie(burst), {})
-                ids, trie, linked = tries[lang]
-                of, add = ids.of, trie.add
+                    ids = _Ids(lang, bits)
+                    tries[lang] = (ids, _Linked(ids, pair_bits) if pair_bits else None, Trie(burst))
+                ids, linked, trie = tries[lang]
                 for piece in text.as_py().translate(_TABLE).split(b"\n"):
-                    found = [of(w) for w in piece.split()]
-                    if pair_bits is None:
-                        for pair in pairwise(found):
-                            if pair[0] and pair[1]:
-                                add(pair)
-                        continue
-                    run_of = 0  # pairs in a row that are frequent, up to here
-                    for i, pair in enumerate(pairwise(found)):
-                        good = False
-                        if pair[0] and pair[1]:
-                            good = linked.get(pair)
-                            if good is None:
-                                good = linked[pair] = zlib.crc32(ids.words[pair[1]] + b" ", ids.hashes[pair[0]]) in pair_bits
-                        run_of = run_of + 1 if good else 0
-                        for size in reach:
-                            if run_of >= size - 1:
-                                add(tuple(found[i + 2 - size : i + 2]))
-                if len(linked) > held:
-                    linked.clear()
-                if sum(t.size for _, t, _ in tries.values()) > held:
-                    big = max(tries, key=lambda x: tries[x][1].size)
-                    yield from rows(big, *tries[big][:2], tries[big][1].size // 2)
-                if sum(len(x.ids) for x, _, _ in tries.values()) > 2 * held:
+                    found = list(map(ids.__getitem__, piece.split()))
+                    if linked is None:
+                        _add_pairs(found, trie)
+                    else:
+                        _add_longer(found, linked, trie)
+                if sum(t.size for _, _, t in tries.values()) > held:
+                    big = max(tries, key=lambda x: tries[x][2].size)
+                    yield from rows(big, tries[big][2].size // 2)
+                if sum(len(x) for x, _, _ in tries.values()) > 2 * held:
                     # Ids are the task's own: with new ones everything else is new as well.
-                    for each, (x, t, _) in tries.items():
-                        yield from rows(each, x, t, 0)
+                    for each in tries:
+                        yield from rows(each, 0)
                     tries.clear()
-        for lang, (ids, trie, _) in tries.items():
-            yield from rows(lang, ids, trie, 0)
+        for lang in tries:
+            yield from rows(lang, 0)
 
     return _merged(_texts(docs, text_col, lang_col).mapInArrow(run, _COUNTED))
 
 
 def counted(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """Two tables: (lang, phrase, words, n) of all sequences that occur ``least`` times, and
+    """Two tables: (lang, phrase, n) of all sequences that occur ``least`` times, and
     (lang, total) of all words."""
     single = kept(words(docs, text_col, lang_col), "words")
     total = single.groupBy("lang").agg(F.sum("n").alias("total"))
@@ -280,6 +307,7 @@ def scored(grams: DataFrame, cover: int = COVER) -> DataFrame:
     """(lang, phrase, a, l, r, score) of the candidates that no longer one covers: of all
     cuts in two that of the lowest score counts, ties going to the first."""
     split = F.split("phrase", " ")
+    grams = grams.withColumn("words", F.size(split))
     longer = grams.where("words > 2").withColumn("w", split)
     inside = []
     for size in range(2, LONGEST):

@@ -153,7 +153,7 @@ def test_scores_beyond_64_bits(spark):
     from sheaf.llm import collocations as c
 
     big = (1 << 62) - 1
-    grams = [("en", "a", 1, big), ("en", "b", 1, big), ("en", "a b", 2, big - 7), ("en", "a b c", 3, 40), ("en", "c", 1, 40), ("en", "b c", 2, 41)]
-    got = {r.phrase: r for r in c.scored(spark.createDataFrame(grams, "lang string, phrase string, words int, n long")).collect()}
+    grams = [("en", "a", big), ("en", "b", big), ("en", "a b", big - 7), ("en", "a b c", 40), ("en", "c", 40), ("en", "b c", 41)]
+    got = {r.phrase: r for r in c.scored(spark.createDataFrame(grams, "lang string, phrase string, n long")).collect()}
     assert got["a b"].score == 2_000_000 * (big - 7) // (2 * big) and "b c" not in got
     assert (got["a b c"].l, got["a b c"].r, got["a b c"].score) == (big, 41, 0)
