@@ -24,12 +24,13 @@ columns are ignored; without candidates the result is empty.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -41,7 +42,8 @@ LONGEST, LEAST, COVER, TOP = 4, 30, 80, 2000
 BURST, HELD = 1 << 12, 1 << 19
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 29
 _CHUNK = 1 << 15  # bits of a row of a bitmap
-_ID = (1 << 32) - 1
+_ID, _FACTOR = (1 << 32) - 1, 33
+_END = b"\xff"  # in no text, as it is no UTF-8
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 # Letters to lower case, ends of pieces to line feeds, tabs to blanks.
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + _ENDS + b"\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * len(_ENDS) + b" ")
@@ -63,7 +65,7 @@ class Trie:
     def __init__(self, burst: int = BURST):
         self.burst, self.root, self.size = burst, {}, 0
 
-    def add(self, first: int, rest: int) -> None:
+    def add(self, first: int, rest: int, times: int) -> None:
         above, at = self.root, first
         below = above.get(at)
         if below is None:
@@ -71,7 +73,7 @@ class Trie:
         while type(below) is _Node:
             if not rest:
                 self.size += not below.ended
-                below.ended += 1
+                below.ended += times
                 return
             above, at, rest = below, rest & _ID, rest >> 32
             below = above.get(at)
@@ -79,9 +81,9 @@ class Trie:
                 below = above[at] = {}
         n = below.get(rest)
         if n is not None:
-            below[rest] = n + 1
+            below[rest] = n + times
             return
-        below[rest] = 1
+        below[rest] = times
         self.size += 1
         if len(below) > self.burst:
             node = above[at] = _Node()
@@ -91,48 +93,55 @@ class Trie:
                 else:
                     node.ended = count
 
-    def _walk(self, below: dict, head: tuple[int, ...]) -> Iterator[tuple[tuple[int, ...], int]]:
+    def _containers(self, below: dict, head: tuple[int, ...]) -> Iterator[tuple[tuple[int, ...], dict]]:
         if type(below) is _Node:
             if below.ended:
-                yield head, below.ended
+                yield head, {0: below.ended}
             for word, further in below.items():
-                yield from self._walk(further, (*head, word))
-            return
-        for rest, n in below.items():
-            sequence = head
-            while rest:
-                sequence, rest = (*sequence, rest & _ID), rest >> 32
-            yield sequence, n
+                yield from self._containers(further, (*head, word))
+        else:
+            yield head, below
 
     def _size(self, below: dict) -> int:
         return sum(map(self._size, below.values())) + (below.ended > 0) if type(below) is _Node else len(below)
 
-    def spill(self, left: int, words: list[bytes]) -> Iterator[list[tuple[bytes, int]]]:
-        """Whole subtrees as sorted runs, the largest first, until ``left`` sequences remain."""
+    def spill(self, left: int) -> Iterator[tuple[list[list[int]], list[int]]]:
+        """Whole subtrees, the largest first, until ``left`` sequences remain: the ids at
+        each place of the sequences, 0 behind their end, and the counts. Small subtrees
+        leave together."""
         order = sorted(self.root, key=lambda w: self._size(self.root[w]), reverse=True) if left else list(self.root)
+        places, counts = [[] for _ in range(LONGEST)], []
         for word in order:
             if self.size <= left:
-                return
-            below = self.root.pop(word)
-            run = sorted([(b" ".join([words[i] for i in sequence]), n) for sequence, n in self._walk(below, (word,))])
-            self.size -= len(run)
-            yield run
+                break
+            for head, container in self._containers(self.root.pop(word), (word,)):
+                for k in range(LONGEST):
+                    shift = 32 * (k - len(head))
+                    places[k] += [head[k]] * len(container) if shift < 0 else [r >> shift & _ID for r in container]
+                counts += container.values()
+                self.size -= len(container)
+            if len(counts) > 1 << 16:
+                yield places, counts
+                places, counts = [[] for _ in range(LONGEST)], []
+        if counts:
+            yield places, counts
 
 
 def hash_of(lang: Column, phrase: Column) -> Column:
-    """The hash that bitmaps go by, 32 bits."""
-    return F.crc32(F.concat(lang, F.lit("\t"), phrase, F.lit(" ")).cast("binary"))
+    """The hash that bitmaps go by, of one word or of two."""
+    each = F.transform(F.split(phrase, " "), lambda w: F.crc32(F.concat(lang, F.lit("\t"), w).cast("binary")))
+    return F.aggregate(each, F.lit(0).cast("long"), lambda h, w: h * _FACTOR + w)
 
 
 class Bitmap:
     """Which hashes there are, for tasks."""
 
     def __init__(self, bits: bytes):
-        self.bits, self.mask = bits, 8 * len(bits) - 1
+        self.bits = np.frombuffer(bits, np.uint8)
 
-    def __contains__(self, h: int) -> bool:
-        h &= self.mask
-        return self.bits[h >> 3] >> (h & 7) & 1 == 1
+    def has(self, h: np.ndarray) -> np.ndarray:
+        at = h & (8 * len(self.bits) - 1)
+        return self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
 
 
 def bitmap(found: DataFrame, count: int, max_bits: int = MAX_BITS) -> Broadcast:
@@ -141,10 +150,10 @@ def bitmap(found: DataFrame, count: int, max_bits: int = MAX_BITS) -> Broadcast:
     size = max(_CHUNK, min(max_bits, max(MIN_BITS, 1 << (32 * count).bit_length())))
     at = hash_of(F.col("lang"), F.col("phrase")).bitwiseAND(F.lit(size - 1))
     chunks = found.select(F.floor(at / _CHUNK).cast("int").alias("chunk"), F.pmod(at, F.lit(_CHUNK)).alias("bit"))
-    rows = chunks.groupBy("chunk").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+    rows = chunks.groupBy("chunk").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()  # no more than ``size`` bits
     bits = bytearray(size // 8)
     for r in rows:
-        bits[r.chunk * (_CHUNK // 8) : (r.chunk + 1) * (_CHUNK // 8)] = r.bits[: _CHUNK // 8]
+        bits[r.chunk * (_CHUNK // 8) : (r.chunk + 1) * (_CHUNK // 8)] = r.bits
     return found.sparkSession.sparkContext.broadcast(bytes(bits))
 
 
@@ -187,59 +196,78 @@ def words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", held:
 
 
 class _Ids(dict):
-    """Ids of the words of a task, 0 for those that are not frequent, with the hash that a
-    phrase goes on from."""
+    """Ids of the words of a task, from 1, and 0 for the end of a piece; and their hashes."""
 
-    def __init__(self, lang: str, known: Bitmap):
-        super().__init__()
-        self.start, self.known = zlib.crc32(lang.encode() + b"\t"), known
+    def __init__(self, lang: str):
+        super().__init__({_END: 0})
+        self.start = zlib.crc32(lang.encode() + b"\t")
         self.words: list[bytes] = [b""]
-        self.hashes: list[int] = [0]
+        self.hashes = array("q", [0])
 
     def __missing__(self, word: bytes) -> int:
-        h = zlib.crc32(word + b" ", self.start)
-        found = 0
-        if h in self.known:
-            found = len(self.words)
-            self.words.append(word)
-            self.hashes.append(h)
-        self[word] = found
+        found = self[word] = len(self.words)
+        self.words.append(word)
+        self.hashes.append(zlib.crc32(word, self.start))
         return found
 
 
-class _Linked(dict):
-    """Whether pairs of ids, as one number, are frequent."""
-
-    def __init__(self, ids: _Ids, known: Bitmap):
-        super().__init__()
-        self.ids, self.known = ids, known
-
-    def __missing__(self, pair: int) -> bool:
-        if len(self) >= HELD:
-            self.clear()
-        found = self[pair] = zlib.crc32(self.ids.words[pair >> 32] + b" ", self.ids.hashes[pair & _ID]) in self.known
-        return found
+class _Counter:
+    """The sequences of one language in a task."""
 
+    def __init__(self, lang: str, frequent: Bitmap, pairs: Bitmap | None, burst: int):
+        self.lang, self.frequent, self.pairs, self.trie = lang, frequent, pairs, Trie(burst)
+        self.ids, self.waiting, self.n_waiting = _Ids(lang), [], 0
 
-def _add_pairs(found: list[int], trie: Trie) -> None:
-    root, add = trie.root, trie.add
-    for a, b in pairwise(found):
-        if a and b:
-            container = root.get(a)
-            if type(container) is dict and b in container:
-                container[b] += 1
-            else:
-                add(a, b)
+    def text(self, text: bytes) -> None:
+        words = text.translate(_TABLE).replace(b"\n", b" " + _END + b" ").split()
+        words.append(_END)
+        self.waiting.append(np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words)))
+        self.n_waiting += len(words)
 
-
-def _add_longer(found: list[int], linked: _Linked, trie: Trie) -> None:
-    add, run = trie.add, 0  # pairs in a row that are frequent, up to here
-    for i, (a, b) in enumerate(pairwise(found)):
-        run = run + 1 if a and b and linked[a | b << 32] else 0
-        rest = b
-        for back in range(1, min(run, LONGEST - 1)):
-            rest = found[i + 1 - back] | rest << 32
-            add(found[i - back], rest)
+    def count(self) -> None:
+        """What waits goes into the trie, equal sequences at once."""
+        if not self.waiting:
+            return
+        at, hashes = np.concatenate(self.waiting), np.frombuffer(self.ids.hashes, np.int64)
+        self.waiting, self.n_waiting = [], 0
+        often = self.frequent.has(hashes)
+        often[0] = False
+        good = often[at]
+        link = good[:-1] & good[1:]
+        if self.pairs is None:
+            starts = np.flatnonzero(link)
+            codes, n = np.unique(at[starts] << 32 | at[starts + 1], return_counts=True)
+            for code, times in zip(codes.tolist(), n.tolist(), strict=True):
+                self.trie.add(code >> 32, code & _ID, times)
+            return
+        link[link] = self.pairs.has(hashes[at[:-1][link]] * _FACTOR + hashes[at[1:][link]])
+        for size in range(3, LONGEST + 1):
+            both = link[: len(link) - size + 2].copy()
+            for k in range(1, size - 1):
+                both &= link[k : len(link) - size + 2 + k]
+            starts = np.flatnonzero(both)
+            # Equal sequences have equal numbers: that of the words so far, and the next word's.
+            code = at[starts]
+            for k in range(1, size):
+                first, code = np.unique(code << 32 | at[starts + k], return_index=True, return_inverse=True)[1:]
+            n = np.bincount(code, minlength=len(first)) if len(starts) else first
+            columns = [at[starts[first] + k].tolist() for k in range(size)]
+            for head, *tail, times in zip(*columns, n.tolist(), strict=True):
+                rest = 0
+                for word in reversed(tail):
+                    rest = rest << 32 | word
+                self.trie.add(head, rest, times)
+
+    def rows(self, left: int) -> Iterator[pa.RecordBatch]:
+        words = pa.array(self.ids.words, pa.binary())
+        for places, counts in self.trie.spill(left):
+            each = []
+            for ids in places:
+                known = np.array(ids, np.int64)
+                each.append(words.take(pa.array(known, mask=known == 0)))
+            phrases = pc.binary_join_element_wise(*each, b" ", null_handling="skip").cast(pa.string())
+            run = pa.RecordBatch.from_arrays([pa.array([self.lang] * len(counts), pa.string()), phrases, pa.array(counts, pa.int64())], ["lang", "phrase", "n"])
+            yield run.take(pc.sort_indices(phrases))
 
 
 def sequences(
@@ -251,42 +279,28 @@ def sequences(
 
     def run(batches):
         bits, pair_bits = Bitmap(frequent.value), Bitmap(pairs.value) if pairs else None
-        tries: dict[str, tuple[_Ids, _Linked | None, Trie]] = {}
-
-        def rows(lang, left):
-            ids, _, trie = tries[lang]
-            some: list[tuple[bytes, int]] = []
-            for run in trie.spill(left, ids.words):
-                some += run
-                if len(some) > 1 << 15:
-                    yield _batch(lang, *map(list, zip(*some, strict=True)))
-                    some = []
-            if some:
-                yield _batch(lang, *map(list, zip(*some, strict=True)))
+        langs: dict[str, _Counter] = {}
+
+        def settled(everything: bool):
+            for each in langs.values():
+                each.count()
+            while langs and (size := sum(x.trie.size for x in langs.values())) > (0 if everything else held):
+                big = max(langs.values(), key=lambda x: x.trie.size)
+                yield from big.rows(0 if everything else max(0, big.trie.size - (size - held // 2)))
 
         for batch in batches:
             for value, text in zip(batch.column(0), batch.column(1), strict=True):
                 lang = value.as_py()
-                if lang not in tries:
-                    ids = _Ids(lang, bits)
-                    tries[lang] = (ids, _Linked(ids, pair_bits) if pair_bits else None, Trie(burst))
-                ids, linked, trie = tries[lang]
-                for piece in text.as_py().translate(_TABLE).split(b"\n"):
-                    found = list(map(ids.__getitem__, piece.split()))
-                    if linked is None:
-                        _add_pairs(found, trie)
-                    else:
-                        _add_longer(found, linked, trie)
-                if sum(t.size for _, _, t in tries.values()) > held:
-                    big = max(tries, key=lambda x: tries[x][2].size)
-                    yield from rows(big, tries[big][2].size // 2)
-                if sum(len(x) for x, _, _ in tries.values()) > 2 * held:
-                    # Ids are the task's own: with new ones everything else is new as well.
-                    for each in tries:
-                        yield from rows(each, 0)
-                    tries.clear()
-        for lang in tries:
-            yield from rows(lang, 0)
+                if lang not in langs:
+                    langs[lang] = _Counter(lang, bits, pair_bits, burst)
+                langs[lang].text(text.as_py())
+                if sum(x.n_waiting for x in langs.values()) > 2 * held:
+                    yield from settled(False)
+                    if sum(len(x.ids) for x in langs.values()) > 2 * held:
+                        # Ids are the task's own: with new ones everything else is new as well.
+                        yield from settled(True)
+                        langs.clear()
+        yield from settled(True)
 
     return _merged(_texts(docs, text_col, lang_col).mapInArrow(run, _COUNTED))
 
