@@ -8,7 +8,12 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sheaf.functions.columns import let, up_to_last
+
 _HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
+# Openers of what is hidden, each with what ends it.
+_OPENERS = (("<!--", "-->"), (r"<script\b", r"</script\s*>"), (r"<style\b", r"</style\s*>"))
+_MARK = "\ue000"
 _TITLE = r"(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>"
 _HREF = r"""(?is)<a\s(?:[^>"']|"[^"]*"|'[^']*')*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
 _PIECE = r"&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);|[^&]+|&"
@@ -52,13 +57,33 @@ def unescape(text: Column) -> Column:
 
 
 def visible(html: Column) -> Column:
-    """Markup without comments, scripts and styles, whose text holds no elements."""
-    return F.regexp_replace(html, _HIDDEN, "")
+    """Markup without comments, scripts and styles, whose text holds no elements.
+
+    An opener with no end behind it hides nothing. A mark takes such openers out of the
+    search, so that none is followed to the end of the page; a page that holds the mark
+    itself is searched as it is.
+    """
+    marked = html
+    for opener, end in _OPENERS:
+
+        def with_marks(head: Column, page: Column = marked, opener: str = opener) -> Column:
+            tail = F.substr(page, F.length(head) + 1)
+            return F.concat(head, F.regexp_replace(tail, f"(?is)<(?={opener[1:]})", f"<{_MARK}"))
+
+        marked = _open_ended(marked, opener, end, with_marks)
+    shown = F.replace(F.regexp_replace(marked, _HIDDEN, ""), F.lit(_MARK), F.lit(""))
+    return F.when(F.contains(html, F.lit(_MARK)), F.regexp_replace(html, _HIDDEN, "")).otherwise(shown)
+
+
+def _open_ended(page: Column, opener: str, end: str, with_marks) -> Column:
+    """``page`` with marks in the openers behind the last ``end``, if there are any."""
+    head = up_to_last(page, f"(?i:{end})")
+    return let(head, lambda h: F.when(F.substr(page, F.length(h) + 1).rlike(f"(?i){opener}"), with_marks(h)).otherwise(page))
 
 
 def page_title(html: Column) -> Column:
     """Text of all title elements, one after the other."""
-    return unescape(F.array_join(F.regexp_extract_all(visible(html), F.lit(_TITLE), F.lit(1)), ""))
+    return unescape(F.array_join(F.regexp_extract_all(up_to_last(visible(html), r"(?i:</title\s*>)"), F.lit(_TITLE), F.lit(1)), ""))
 
 
 def hrefs(html: Column) -> Column:

@@ -9,17 +9,35 @@ from pyspark.sql import functions as F
 
 from sheaf.functions import outlines as o
 from sheaf.functions.paths import language_id
-from sheaf.functions.columns import let
+from sheaf.functions.columns import let, masked, up_to_last
 from sheaf.functions.text import trim_space
 
 _CHUNKS = "array<struct<kind:string,content:string>>"
 LANGUAGES = (*o.BY_KIND, *o.LEXERS)
 
 
+# What a Java method can begin with inside a word, where a match that begins at the word
+# itself does not come first.
+_METHOD_START = r"(?:(?<!\w)|(?=(?:public|private|protected|static|final|abstract)\s|<))"
+# Ends of patterns, none of which matches behind the last place that holds its end.
+_ENDS = (r"-->", r"\*/", r"\}", r"\{", ";", ">")
+
+
 def _found(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(o.java(pattern)), F.lit(0))
 
 
+def _reach(text: Column, pattern: str) -> Column:
+    """The text as far as a match can reach, so that an opener that is never closed is not
+    followed to the end of the text each time."""
+    end = next((e for e in _ENDS if pattern.endswith(e)), None)
+    if end is None:
+        return text
+    text = up_to_last(text, end)
+    # Every opening parenthesis then has a closing one behind it.
+    return up_to_last(text, r"\)[^{]*\{") if r"\([^)]*\)" in pattern and end == r"\{" else text
+
+
 def _all_of(text: Column, pattern: str, kind: str) -> Column:
     """Every match as a chunk of one kind."""
     found = _found(text, pattern)
@@ -43,8 +61,11 @@ def _by_kind(text: Column, lang: str) -> Column:
     for kind, pattern in o.BY_KIND[lang]:
         # What follows a word in these patterns is never part of one, so the words need
         # not give anything back.
+        reach = _reach(text, pattern)
         pattern = _first_letter(pattern.replace(r"\w+", r"\w++"))
-        parts.append(_all_of(text, pattern, kind))
+        if (lang, kind) == ("java", "method"):
+            pattern = _METHOD_START + pattern
+        parts.append(_all_of(reach, pattern, kind))
     return F.concat(*parts)
 
 
@@ -83,7 +104,11 @@ def _lexed(text: Column, lang: str, css_declarations: bool) -> Column:
         chunk = trim_space(match)
         return F.regexp_replace(chunk, o.STRIP_KEYWORDS, "") if lang == "bash" else chunk
 
-    tokens = F.transform(_found(text, o.LEXERS[lang]), tidy)
+    lexer = o.LEXERS[lang]
+    if lang == "css":  # all that counts ends in one of these
+        text = up_to_last(text, r"[;{}]|\*/")
+    found = masked(text, "/*", r"\*/", lambda t: _found(t, lexer)) if o.BLOCK_COMMENT in lexer else _found(text, lexer)
+    tokens = F.transform(found, tidy)
     chunks = F.transform(
         tokens, lambda c: F.struct(_kind(c, lang).alias("kind"), _signature(c, lang).alias("content"))
     )

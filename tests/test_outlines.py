@@ -1,9 +1,16 @@
 """Outlines of sources of our own: what they must hold and what they must not."""
 
+import time
+
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sheaf.checks.code_checks import LANG_OF, TEMPLATES
+from sheaf.functions import html
+from sheaf.functions import outlines as patterns
+from sheaf.functions.text import trim_space
 from sheaf.operators import outline as outlining
 
 HOLDS = {
@@ -116,3 +123,53 @@ def test_chunks_carry_their_kind(spark):
     got = [(r.chunk_no, r.kind) for r in outlining.outline_chunks(rows).orderBy("chunk_no").collect()]
     assert got == [(0, "package"), (1, "comment"), (2, "method"), (3, "function")]
     assert rows.select(F.size(outlining.chunks(F.col("content"), F.lit("none")))).first()[0] in (None, -1)
+
+
+OPENERS = {
+    "html": "<!-- <!DOCTYPE <html <head <body", "rust": "/* use|x struct|x|{ trait|x|{ enum|x|{ fn|x(", "java": "/* import|x class|x enum|x f(",
+    "swift": "/* struct|x: func|x(", "go": "/*", "javascript": "/*", "c": "/*", "css": "/*",
+}
+
+
+@pytest.mark.parametrize("lang", OPENERS)
+def test_openers_that_are_never_closed(spark, lang):
+    """One after the other, twenty thousand of each, none closed: no chunk, and no time."""
+    texts = [(opener.replace("|", " ") + " ") * 20_000 for opener in OPENERS[lang].split()]
+    rows = spark.createDataFrame([("x", t) for t in texts], "path string, content string").repartition(len(texts))
+    start = time.perf_counter()
+    assert rows.select(F.explode(outlining.chunks_of(F.col("content"), lang))).count() <= len(texts)
+    assert time.perf_counter() - start < 30
+
+
+def _is(kind):
+    return lambda c: c["kind"] == kind
+
+
+_FORMS = ["public ", "private\n", "static ", "my", "final ", "<T> ", "<", "> ", "a", "b1", "[] ", "(", ")", " throws X ", "{", "}", ";", " ", "é", "/*", "*/", "//", "\n"]
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.sampled_from(_FORMS), max_size=14).map("".join), min_size=20, max_size=60))
+def test_guards_leave_matches_as_they_are(spark, texts):
+    """Against the bare patterns."""
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for lang, kind in (("java", "method"), ("java", "class"), ("rust", "function"), ("swift", "function")):
+        pattern = dict(patterns.BY_KIND[lang])[kind]
+        bare = F.transform(F.regexp_extract_all("t", F.lit(patterns.java(pattern)), F.lit(0)), lambda m: trim_space(m))
+        mine = F.transform(F.filter(outlining.chunks_of(F.col("t"), lang), _is(kind)), lambda c: c["content"])
+        assert rows.where(~bare.eqNullSafe(mine)).collect() == []
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.sampled_from(["<!--", "-->", "<script ", "</SCRIPT >", "<style>", "</style>", "a", "<a href=x>", "\ue000", "\n", "<title>", "</title>"]), max_size=12).map("".join), min_size=30, max_size=60))
+def test_marks_leave_pages_as_they_are(spark, pages):
+    rows = spark.createDataFrame([(t,) for t in pages], "t string")
+    bare = F.regexp_replace("t", html._HIDDEN, "")
+    titles = F.regexp_extract_all(bare, F.lit(html._TITLE), F.lit(1))
+    assert rows.where((bare != html.visible(F.col("t"))) | (F.array_join(titles, "") != html.page_title(F.col("t")))).collect() == []
+
+
+def test_hidden_openers_that_are_never_closed(spark):
+    page = "<title>t</title><a href=x>" + "<!-- <script> <style> " * 20_000
+    rows = spark.createDataFrame([(page,), (page + "</script>" + "<!--" * 20_000,)], "t string")
+    assert [r.n for r in rows.select(F.size(html.hrefs(F.col("t"))).alias("n")).collect()] == [1, 1]
