@@ -15,6 +15,10 @@ only one. Two documents link when ``100 * common >= percent * union``.
 * Sketches have one length per band of sizes (a factor of two). A set also stands in the
   next band if a linked set could be there. A band in which some set fills too few words
   gets a longer sketch, at last one with a word for each shingle.
+* A key that ``HOT`` sets hold does not select: mostly it is a word with one shingle that
+  many texts share. Its sets get a second, longer sketch with a word for each shingle, of
+  which a set needs only its rarest quarter, and leave the hot key. Sets that linked by the
+  hot key alone are both among these and share one of the second sketch's words.
 * Pairs whose parity sketches, one bit flipped per shingle, differ in more than ``D`` bits
   are no links. The others are compared exactly, by hashes.
 * Each set is first compared with one other, the smallest of a key that it shares most
@@ -47,6 +51,7 @@ WIDTH, PERCENT = 5, 80
 PER_WORD = 3.5
 PARITY_WORDS = 64
 EACH = 4  # the level at which each shingle has a word of its own
+HOT = 32  # members of a key that does not tell sets apart
 # Needed sets whose ids may go to every task, and pairs that are compared at once.
 MAX_BROADCAST_IDS, MAX_PAIRS = 1 << 20, 1 << 24
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
@@ -148,8 +153,15 @@ def classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {docs.schema[0].dataType.simpleString()}, n long, cls long, level int")
 
 
-def _keys_of(docs: DataFrame, levels: dict[int, int], width: int, percent: int) -> DataFrame:
-    """(key, cls, tag): the keys of each set, once for the copies that a batch holds."""
+def fine_keys(hashes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each shingle as a key, whatever the band; linked sets share all but ``most``."""
+    spare = max(0, len(hashes) - len(hashes) * (100 - percent) // percent - 1)
+    return _mix(hashes + _ODD[2]), np.full(len(hashes), spare * 2, np.int32)
+
+
+def _keys_of(docs: DataFrame, levels: dict[int, int] | None, width: int, percent: int) -> DataFrame:
+    """(key, cls, tag): the keys of each set, once for the copies that a batch holds;
+    without ``levels`` its shingles."""
 
     def run(batches):
         for batch in batches:
@@ -159,7 +171,7 @@ def _keys_of(docs: DataFrame, levels: dict[int, int], width: int, percent: int)
                 c = _digest(h)
                 if len(h) and c not in seen:
                     seen.add(c)
-                    k, tags = keys(h, levels, percent)
+                    k, tags = fine_keys(h, percent) if levels is None else keys(h, levels, percent)
                     found.append((k.view(np.int64), np.full(len(k), c, np.int64), tags))
                     n += len(k)
                 if n > 1 << 18:
@@ -260,6 +272,18 @@ def components(edges: DataFrame, nodes: tuple[str, str] = ("a", "b")) -> DataFra
         mark = now
 
 
+def _rarest(found: DataFrame) -> DataFrame:
+    """(key, cls, rank, last) of the keys that a set cannot do without: of linked sets those
+    have one in common. Members of a key are ranked from 0 to ``last``."""
+    by_key = W.partitionBy("key")
+    ranked = found.withColumn("rank", F.dense_rank().over(by_key.orderBy("cls")) - 1)
+    shared = ranked.withColumn("often", F.max("rank").over(by_key)).where("often > 0").select("key", "cls", "tag", "often").distinct()
+    frequent = W.partitionBy("cls", "tag").orderBy(F.desc("often"), F.desc("key"))
+    rare = shared.withColumn("nth", F.row_number().over(frequent)).where(F.col("nth") > F.floor(F.col("tag") / 2))
+    again = rare.select("key", "cls", (F.row_number().over(by_key.orderBy("cls")) - 1).alias("rank"))
+    return again.withColumn("last", F.max("rank").over(by_key)).where("last > 0")
+
+
 def _candidates(live: DataFrame, root: DataFrame) -> DataFrame:
     """Members of keys, ranked by set, with their component."""
     members = live.join(root.toDF("cls", "comp"), "cls", "left")
@@ -279,21 +303,21 @@ def links(
     size = F.floor(F.log2(F.col("n") + F.lit(0.5))).cast("int")
     levels = {r["b"]: r["v"] for r in known.where("n > 0").groupBy(size.alias("b")).agg(F.max("level").alias("v")).collect()}
 
-    by_key = W.partitionBy("key")
-    ranked = _keys_of(texts, levels, width, percent).withColumn("rank", F.dense_rank().over(by_key.orderBy("cls")) - 1)
-    shared = ranked.withColumn("often", F.max("rank").over(by_key)).where("often > 0").select("key", "cls", "tag", "often").distinct()
-    # Of linked sets the rarest keys that they cannot do without have one in common.
-    frequent = W.partitionBy("cls", "tag").orderBy(F.desc("often"), F.desc("key"))
-    rare = shared.withColumn("nth", F.row_number().over(frequent)).where(F.col("nth") > F.floor(F.col("tag") / 2))
-    again = rare.select("key", "cls", (F.row_number().over(by_key.orderBy("cls")) - 1).alias("rank"))
-    live = kept(again.withColumn("_last", F.max("rank").over(by_key)).where("_last > 0").drop("_last"), "live")
+    def texts_of(wanted: DataFrame, name: str) -> DataFrame:
+        """The text of one document of each class in ``wanted`` (cls)."""
+        first = known.where("n > 0").groupBy("cls").agg(F.min("id").alias("id")).join(wanted, "cls").select("id").distinct()
+        first = kept(first, name)
+        return texts.join(F.broadcast(first) if first.count() <= MAX_BROADCAST_IDS else first, "id")
+
+    coarse = kept(_rarest(_keys_of(texts, levels, width, percent)), "coarse")
+    # Sets of a hot key meet by their shingles instead, of which they can do without most:
+    # what many sets share goes first.
+    hot = coarse.where(F.col("last") >= HOT).select("cls").distinct()
+    fine = _rarest(_keys_of(texts_of(hot, "hot"), None, width, percent))
+    live = kept(coarse.where(F.col("last") < HOT).unionByName(fine).drop("last"), "live")
 
     needed = live.select("cls").distinct()
-    first = known.where("n > 0").groupBy("cls").agg(F.min("id").alias("id")).join(needed, "cls").select("id").distinct()
-    first = kept(first, "needed")
-    if first.count() <= MAX_BROADCAST_IDS:
-        first = F.broadcast(first)
-    sets = kept(_sets(texts.join(first, "id"), width).dropDuplicates(["cls"]), "sets")
+    sets = kept(_sets(texts_of(needed, "needed"), width).dropDuplicates(["cls"]), "sets")
 
     def compared(pairs: DataFrame, measured: bool = True) -> tuple[DataFrame, float]:
         """The links, and the share of pairs that sketches did not rule out."""

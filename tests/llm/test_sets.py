@@ -44,10 +44,16 @@ def brute_components(docs):
     return {i: (len(s), root[i]) for i, s in sets}
 
 
-@pytest.mark.parametrize("pairs", [0, 1 << 24])
-def test_components_are_brute_force(spark, monkeypatch, pairs):
+@pytest.mark.parametrize(("pairs", "hot"), [(0, 32), (1 << 24, 2), (1 << 24, 32)])
+def test_components_are_brute_force(spark, monkeypatch, pairs, hot):
     monkeypatch.setattr(shingle_join, "MAX_PAIRS", pairs)
-    docs = near_copies(random.Random(5), 120)
+    monkeypatch.setattr(shingle_join, "HOT", hot)
+    rng = random.Random(5)
+    docs = near_copies(rng, 120)
+    # A passage that many texts share, some of which are near copies.
+    passage = " ".join(f"p{i}" for i in range(30))
+    for base in near_copies(rng, 60):
+        docs.append((len(docs) + 3, base[1] + " " + passage))
     out = shingle_join.linked_components(spark.createDataFrame(docs, "doc_id long, text string"))
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == brute_components(docs)
 
