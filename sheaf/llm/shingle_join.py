@@ -17,16 +17,16 @@ only one. Two documents link when ``100 * common >= percent * union``.
   gets a longer sketch, at last one with a word for each shingle.
 * A key that ``HOT`` sets hold does not select: mostly it is a word with one shingle that
   many texts share. Its sets get a second, longer sketch with a word for each shingle, of
-  which a set needs only its rarest quarter, and leave the hot key. Sets that linked by the
+  which a set needs only its rarest fifth and one, in narrow bands of sizes, and leave the hot key. Sets that linked by the
   hot key alone are both among these and share one of the second sketch's words.
 * Pairs whose parity sketches, one bit flipped per shingle, differ in more than ``D`` bits
   are no links. The others are compared exactly, by hashes.
 * Each set is first compared with one other, the smallest of a key that it shares most
   keys with. Those that linked are one component, and only sets of one key in different
-  components are compared further: in rounds with the smallest, the next two, the next
-  four and so on while many are left. What is left is compared at once when, by the share
-  that the last round could not rule out by sketches, the exact comparison will see no
-  more pairs than keys have members. No group is expanded into all its pairs.
+  components are compared further, their sizes and short parity sketches within the join
+  by key, so that pairs which cannot link never leave it: in rounds with the smallest, the
+  next two, the next four and so on, two at least and while a key has more than
+  ``PAIRS_EACH`` pairs left for each member, then all that are left.
 
 Components are found by stars (large and small, in turn). Cases: null and empty texts
 have an empty set and no links; rows with equal ids are copies of one document if their
@@ -52,8 +52,10 @@ PER_WORD = 3.5
 PARITY_WORDS = 64
 EACH = 4  # the level at which each shingle has a word of its own
 HOT = 32  # members of a key that does not tell sets apart
-# Needed sets whose ids may go to every task, and pairs that are compared at once.
-MAX_BROADCAST_IDS, MAX_PAIRS = 1 << 20, 1 << 24
+# Needed sets whose ids may go to every task; pairs of a key, for each of its members, whose
+# short sketches are compared at once.
+MAX_BROADCAST_IDS, PAIRS_EACH = 1 << 20, 256
+SHORT = ("s0", "s1", "s2", "s3")
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -153,10 +155,25 @@ def classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {docs.schema[0].dataType.simpleString()}, n long, cls long, level int")
 
 
+def narrow_band(n: int, percent: int) -> int:
+    """Sizes that link are of one band or of two in a row."""
+    b, edge = 0, 100
+    while n * 100 >= edge * 100 // percent + 100:
+        b, edge = b + 1, edge * 100 // percent + 100
+    return b
+
+
 def fine_keys(hashes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each shingle as a key, whatever the band; linked sets share all but ``most``."""
-    spare = max(0, len(hashes) - len(hashes) * (100 - percent) // percent - 1)
-    return _mix(hashes + _ODD[2]), np.full(len(hashes), spare * 2, np.int32)
+    """Each shingle as a key in the narrow bands where linked sets are. A linked set lacks
+    ``100 - percent`` in 100 of a set's shingles at most, so it needs no more but one."""
+    n = len(hashes)
+    spare = max(0, n - n * (100 - percent) // 100 - 1)
+    out, tags = [], []
+    b = narrow_band(n, percent)
+    for k in (b, b + 1):
+        out.append(_mix(_mix(hashes + _ODD[2]) + np.array([k], np.uint64) * _ODD[1]))
+        tags.append(np.full(n, spare * 2 + k % 2, np.int32))
+    return np.concatenate(out), np.concatenate(tags)
 
 
 def _keys_of(docs: DataFrame, levels: dict[int, int] | None, width: int, percent: int) -> DataFrame:
@@ -193,24 +210,39 @@ def parity(hashes: np.ndarray, bits: int = 64 * PARITY_WORDS) -> np.ndarray:
     return np.packbits((flips & 1).astype(np.uint8)).view(np.int64)
 
 
+def short(words: np.ndarray) -> np.ndarray:
+    """The parity sketch of fewer bits that a longer one folds to."""
+    return np.bitwise_xor.reduce(words.reshape(-1, len(SHORT)), axis=0)
+
+
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """(cls, hashes, n, parity) of the documents."""
+    """(cls, hashes, n, parity, and the short parity's words) of the documents."""
 
     def run(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 h = [shingles(t, width) for _, t in _texts(batch.slice(start, 256))]
+                flips = [parity(x) for x in h]
+                folded = np.array([short(x) for x in flips]).reshape(-1, len(SHORT))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([_digest(x) for x in h], pa.int64()),
                         pa.array([x.tobytes() for x in h], pa.binary()),
                         pa.array([len(x) for x in h], pa.int64()),
-                        pa.array([parity(x) for x in h], pa.list_(pa.int64())),
+                        pa.array(flips, pa.list_(pa.int64())),
+                        *[pa.array(folded[:, i]) for i in range(len(SHORT))],
                     ],
-                    ["cls", "hashes", "n", "parity"],
+                    ["cls", "hashes", "n", "parity", *SHORT],
                 )
 
-    return docs.mapInArrow(run, "cls long, hashes binary, n long, parity array<long>")
+    return docs.mapInArrow(run, "cls long, hashes binary, n long, parity array<long>, " + ", ".join(f"{c} long" for c in SHORT))
+
+
+def _near(percent: int) -> Column:
+    """Whether a member and a hub (``a_``) may link, by their sizes and short sketches."""
+    sizes = 100 * F.least("n", "a_n") >= percent * F.greatest("n", "a_n")
+    flips = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"a_{c}"))) for c in SHORT[1:]), F.bit_count(F.col("s0").bitwiseXOR(F.col("a_s0"))))
+    return sizes & (flips * (100 + percent) <= (F.col("n") + F.col("a_n")) * (100 - percent))
 
 
 def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -319,21 +351,18 @@ def links(
     needed = live.select("cls").distinct()
     sets = kept(_sets(texts_of(needed, "needed"), width).dropDuplicates(["cls"]), "sets")
 
-    def compared(pairs: DataFrame, measured: bool = True) -> tuple[DataFrame, float]:
-        """The links, and the share of pairs that sketches did not rule out."""
-        pairs = kept(pairs, "asked") if measured else pairs
-        possible = kept(_possible(pairs, sets, percent), "pairs")
-        share = possible.count() / max(1, pairs.count()) if measured else 0.0
-        return kept(_linked(possible, sets, percent), "links"), share
+    def compared(pairs: DataFrame) -> DataFrame:
+        return kept(_linked(kept(_possible(pairs, sets, percent), "pairs"), sets, percent), "links")
 
     # First each set with the one it shares most keys with, of those that are the smallest of a key.
     low = live.where("rank = 0").select("key", F.col("cls").alias("a"))
     often = live.where("rank > 0").join(low, "key").groupBy(F.col("cls").alias("b"), "a").count()
     best = often.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
-    (found, share), done, hubs = compared(best), 0, 1
+    found, done, hubs = compared(best), 0, 1
+    sketches = sets.select("cls", "n", *SHORT)
     while True:
         root = kept(components(found), "roots")
-        members = kept(_candidates(live, root), "members")
+        members = kept(_candidates(live, root).join(sketches, "cls"), "members")
         # Pairs of one key in different components: all pairs less those within one.
         sizes = members.where(F.col("rank") >= done).groupBy("key", "comp").count().groupBy("key")
         across = (F.pow(F.sum("count"), 2) - F.sum(F.pow("count", F.lit(2)))) / 2
@@ -341,12 +370,12 @@ def links(
         left, there = each.agg(F.coalesce(F.sum("g"), F.lit(0.0)), F.coalesce(F.sum("m"), F.lit(0))).first()
         if left == 0:
             break
-        whole = left <= MAX_PAIRS and left * share <= there
+        # Two rounds first: what they link need not be compared pair by pair.
+        whole = done >= 3 and left <= PAIRS_EACH * there
         hub = members.where(F.col("rank") >= done if whole else F.col("rank").between(done, done + hubs - 1))
-        hub = hub.select("key", F.col("cls").alias("a"), F.col("comp").alias("a_comp"), F.col("rank").alias("a_rank"))
-        pairs = members.join(hub, "key").where("rank > a_rank AND comp <> a_comp").select("a", F.col("cls").alias("b")).distinct()
-        new, share = compared(pairs, measured=not whole)
-        found = found.unionByName(new)
+        hub = hub.select("key", F.col("cls").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("comp", "rank", "n", *SHORT)])
+        pairs = members.join(hub, "key").where((F.col("rank") > F.col("a_rank")) & (F.col("comp") != F.col("a_comp")) & _near(percent))
+        found = found.unionByName(compared(pairs.select("a", F.col("cls").alias("b")).distinct()))
         if whole:
             break
         done, hubs = done + hubs, 2 * hubs
