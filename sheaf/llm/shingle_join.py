@@ -55,7 +55,7 @@ HOT = 32  # members of a key that does not tell sets apart
 # Needed sets whose ids may go to every task; pairs of a key, for each of its members, whose
 # short sketches are compared at once.
 MAX_BROADCAST_IDS, PAIRS_EACH = 1 << 20, 256
-SHORT = ("s0", "s1", "s2", "s3")
+SHORT = tuple(f"s{i}" for i in range(16))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
 
 
