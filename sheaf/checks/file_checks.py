@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from sheaf.checks.base import (
@@ -52,6 +54,24 @@ def read_tree(spark, sf):
     return found.select("path", "ext", "size", F.octet_length("bytes").alias("bytes"), sniff.text_sniff(F.col("bytes")).alias("is_text"))
 
 
+@check(
+    "SELECT doc_id, strlen(coalesce(text, '')) AS size, sha256(coalesce(text, '')) AS text_sha256, "
+    "NOT regexp_matches(coalesce(text, ''), '[\\x00-\\x08\\x0B\\x0E-\\x1A\\x1C-\\x1F]') AS is_text FROM documents"
+)
+def read_tree_texts(spark, sf):
+    """Documents that Spark wrote as files, one to a folder, listed and read as a tree."""
+    folder = shared_path(spark, "texts")
+    docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    docs.write.partitionBy("doc_id").option("lineSep", "\0end").text(folder)
+    found = tree.read_tree(spark, [re.sub(r"\Afile:(?://)?", "", folder)], keep=lambda rows: rows.where(F.col("path").rlike("^doc_id=[0-9]+/part-")))
+    doc_id = F.regexp_extract("path", "^doc_id=([0-9]+)/", 1).cast("long").alias("doc_id")
+    # What ends a line of the text writer is not the document's.
+    own = F.substring("bytes", F.lit(1), F.octet_length("bytes") - 4).alias("bytes")
+    return found.select(doc_id, own).select(
+        "doc_id", F.octet_length("bytes").cast("long").alias("size"), F.sha2("bytes", 256).alias("text_sha256"), sniff.text_sniff(F.col("bytes")).alias("is_text")
+    )
+
+
 _USER = [f"**/{name}/**" for name in ("docs", "examples")]
 
 

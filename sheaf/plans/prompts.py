@@ -18,7 +18,7 @@ from sheaf.operators.outline import chunks, outline_join
 from sheaf.operators.pages import crawl_select, page_links, pages_to_markdown, web_tree
 from sheaf.plans.ordered import PART_BYTES, stitch
 from sheaf.session import cut
-from sheaf.sources.tree import list_tree, read_files
+from sheaf.sources.tree import decode_text, list_tree, read_files, text_of
 
 
 def shown_text(number: bool = False, fence: bool = True, outline: bool = False) -> Column:
@@ -51,12 +51,13 @@ def directory_files(
     closed = listed.where("is_dir")
     files = listed.where(~F.col("is_dir"))
     ignore_files = read_files(files.where((F.col("path") == ".gitignore") & ~F.col("explicit")))
-    rules = ignore_rules(ignore_files.withColumn("content", F.decode("bytes", "UTF-8")))
+    rules = ignore_rules(decode_text(ignore_files))
     labelled = label_files(files.where("not explicit"), globs, include, include_priority, rules)
     chosen = files.where("explicit").withColumns({"state": F.lit("kept"), "pruned_at": F.lit(None).cast("string")})
     labelled = labelled.unionByName(chosen)
-    kept = read_files(labelled.where(F.col("state") == "kept"))
-    text = F.col("explicit") | (text_sniff(F.col("bytes")) & ~pdf_detect(F.col("bytes"), F.col("path")))
+    # Of binary files and PDFs no more is read than what shows that they are.
+    kept = read_files(labelled.where(F.col("state") == "kept"), lambda head, path: text_sniff(head) & ~pdf_detect(head, path))
+    text = F.col("bytes").isNotNull()
     nothing = F.lit(None).cast("string")
     read = kept.select(
         "root",
@@ -64,7 +65,7 @@ def directory_files(
         F.when(text, "kept").otherwise("skipped").alias("state"),
         nothing.alias("pruned_at"),
         "explicit",
-        F.when(text, F.decode("bytes", "UTF-8")).alias("content"),
+        text_of(F.col("bytes")).alias("content"),
     )
     left = labelled.where(F.col("state") != "kept")
     left = left.select("root", "path", "state", "pruned_at", "explicit", nothing.alias("content"))

@@ -49,6 +49,44 @@ def test_only_what_is_kept_is_read(spark, folder):
     assert [r.path for r in tree.decode_text(rows).collect()] == ["notes.md"]
 
 
+def test_trees_as_they_are_found(spark, tmp_path):
+    """Text of other encodings, links back, and files that are no text."""
+    root = tmp_path / "wild"
+    (root / "a" / "b").mkdir(parents=True)
+    (root / "latin.txt").write_bytes("caf\u00e9 noir\n".encode("latin-1"))
+    (root / "a" / "x.txt").write_text("x")
+    (root / "a" / "b" / "big.dat").write_bytes(b"\x00" * 600)
+    os.symlink(root, root / "a" / "b" / "up")
+    os.symlink(root / "a", root / "a" / "b" / "here")
+    os.symlink(root / "self", root / "self")
+    (root / "c").mkdir()
+    os.symlink(root / "a", root / "c" / "over")
+    os.symlink(root / "c", root / "a" / "across")
+    os.symlink(root / "latin.txt", tmp_path / "link.txt")
+    files = {r.path: r for r in directory_files(spark, [str(root)], []).collect()}
+    assert set(files) == {"latin.txt", "a/x.txt", "a/b/big.dat"}
+    assert files["latin.txt"].content == "caf\ufffd noir\n" and files["latin.txt"].state == "kept"
+    assert files["a/b/big.dat"].state == "skipped" and files["a/b/big.dat"].content is None
+    listed = {r.path for r in tree.list_tree(spark, [str(root)], follow_symlinks=True).collect()}
+    assert {"a/b/up", "a/b/here", "c/over/x.txt", "a/across/over"} <= listed
+    assert not {"a/b/up/a", "a/b/here/x.txt", "a/across/over/x.txt"} & listed and len(listed) < 25
+    with pytest.raises(ValueError, match="link.txt"):
+        tree.list_tree(spark, [str(tmp_path / "link.txt")])
+    assert [r.content for r in tree.decode_text(tree.read_tree(spark, [str(tmp_path / "link.txt")], follow_symlinks=True)).collect()] == ["caf\ufffd noir\n"]
+
+
+def test_binary_files_are_not_read_to_the_end(monkeypatch):
+    import pyarrow as pa
+
+    asked = []
+    monkeypatch.setattr(tree, "_read", lambda where, most=None: asked.append((where, most)) or b"\0")
+    rows = pa.RecordBatch.from_pydict({"root": ["r", "r"], "path": ["a", "b"], "explicit": [False, False], "wanted": [True, False]})
+    heads = next(tree._head_batches([rows]))
+    read = next(tree._read_batches([rows]))
+    assert heads["head"].to_pylist() == [b"\0"] * 2 and read["bytes"].to_pylist() == [b"\0", None]
+    assert asked == [("r/a", tree.HEAD_BYTES), ("r/b", tree.HEAD_BYTES), ("r/a", None)]
+
+
 def test_directory_to_prompt(spark, folder):
     root, _ = folder
     globs = [*default_globs(), "**/.git/**"]
