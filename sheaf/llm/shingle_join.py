@@ -21,6 +21,7 @@ only one. Two documents link when ``100 * common >= percent * union``.
   hot key alone are both among these and share one of the second sketch's words.
 * Pairs whose parity sketches, one bit flipped per shingle, differ in more than ``D`` bits
   are no links. The others are compared exactly, by hashes.
+* Of keys with the same members one is enough.
 * Each set is first compared with one other, the smallest of a key that it shares most
   keys with. Those that linked are one component, and only sets of one key in different
   components are compared further, their sizes and short parity sketches within the join
@@ -316,6 +317,13 @@ def _rarest(found: DataFrame) -> DataFrame:
     return again.withColumn("last", F.max("rank").over(by_key)).where("last > 0")
 
 
+def _one_of_equal(live: DataFrame) -> DataFrame:
+    """``live`` with one key of those that have the same members, by 128 bits of them."""
+    sides = [F.bit_xor(F.xxhash64("cls", F.lit(seed))).alias(f"x{seed}") for seed in (1, 2)]
+    told = live.groupBy("key").agg(F.count("*").alias("m"), *sides)
+    return live.join(told.groupBy("m", "x1", "x2").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+
+
 def _candidates(live: DataFrame, root: DataFrame) -> DataFrame:
     """Members of keys, ranked by set, with their component."""
     members = live.join(root.toDF("cls", "comp"), "cls", "left")
@@ -345,8 +353,8 @@ def links(
     # Sets of a hot key meet by their shingles instead, of which they can do without most:
     # what many sets share goes first.
     hot = coarse.where(F.col("last") >= HOT).select("cls").distinct()
-    fine = _rarest(_keys_of(texts_of(hot, "hot"), None, width, percent))
-    live = kept(coarse.where(F.col("last") < HOT).unionByName(fine).drop("last"), "live")
+    fine = kept(_rarest(_keys_of(texts_of(hot, "hot"), None, width, percent)), "fine")
+    live = kept(_one_of_equal(coarse.where(F.col("last") < HOT).unionByName(fine).drop("last")), "live")
 
     needed = live.select("cls").distinct()
     sets = kept(_sets(texts_of(needed, "needed"), width).dropDuplicates(["cls"]), "sets")
