@@ -71,9 +71,9 @@ def token_count_merged(spark, sf):
 
 @check(f"SELECT doc_id, CAST({_MERGED} AS BIGINT) AS tokens FROM documents")
 def token_count_large_vocabulary(spark, sf):
-    """The way taken when the vocabulary is too large to send to every task."""
+    """With far more distinct pre-tokens than a task may remember."""
     docs = table(spark, sf, "documents")
-    return tokens.token_count(docs, "text", "cl100k", byte_ranks(spark, [b"th", b"the"]), ["doc_id"], head=500)
+    return tokens.token_count(docs, "text", "cl100k", byte_ranks(spark, [b"th", b"the"]), ["doc_id"], remember=500)
 
 
 _FIXED = "CAST(trunc({0} * 1.18::DOUBLE) AS BIGINT)"

@@ -14,10 +14,14 @@ def count_tokens(piece: bytes, ranks: dict[bytes, int]) -> int:
     n = len(piece)
     if piece in ranks or n < 2:
         return 1
+    pairs = ((ranks.get(piece[i : i + 2]), i, i + 2) for i in range(n - 1))
+    heap = [pair for pair in pairs if pair[0] is not None]
+    if not heap:
+        return n
+    heapq.heapify(heap)
     ends = list(range(1, n + 1))  # end of the part that starts here
     before = list(range(-1, n - 1))  # start of the part before
     alive = [True] * n
-    heap = []
 
     def offer(start: int) -> None:
         middle = ends[start]
@@ -26,8 +30,6 @@ def count_tokens(piece: bytes, ranks: dict[bytes, int]) -> int:
             if rank is not None:
                 heapq.heappush(heap, (rank, start, ends[middle]))
 
-    for start in range(n - 1):
-        offer(start)
     parts = n
     while heap:
         _, start, end = heapq.heappop(heap)

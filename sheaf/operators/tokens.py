@@ -4,20 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
 
+import numpy as np
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sheaf.functions import models
 from sheaf.functions.bpe import count_tokens
 from sheaf.functions.paths import walk_key
 from sheaf.plans.ordered import running_totals
 from sheaf.plans.skew import MAX_BROADCAST, lookup_join
-from sheaf.session import cut
 
-# Distinct pre-tokens sent to every task. The rest, each of them rare, goes by shuffle.
-HEAD = 500_000
+# Pre-tokens whose counts a task remembers, and the longest of them in characters.
+REMEMBER, REMEMBERED_CHARS = 500_000, 64
+# Pre-tokens of a batch that are looked at together.
+SLICE = 1 << 20
 
 
 def pretokens(df: DataFrame, text: str, encoding: str) -> DataFrame:
@@ -26,35 +29,53 @@ def pretokens(df: DataFrame, text: str, encoding: str) -> DataFrame:
     return df.select(*keep, F.posexplode(models.pretokens(F.col(text), encoding)).alias("pos", "pretoken"))
 
 
-def _load_ranks(ranks: DataFrame) -> Broadcast:
-    # A vocabulary is a setting like a model: its size does not follow the corpus.
-    rows = ranks.select("token", "rank").collect()
-    if not rows:
+def _share_ranks(ranks: DataFrame, max_bytes: int) -> Broadcast:
+    """The vocabulary for every task. It is a setting like a model and does not follow
+    the corpus; one that is larger than ``max_bytes`` all the same is an error."""
+    size = ranks.agg(F.sum(F.octet_length("token"))).first()[0]
+    if not size:
         raise ValueError("token_count needs a table of ranks")
-    table = {bytes(r.token): r.rank for r in rows}
+    if size > max_bytes:
+        raise ValueError(f"a vocabulary of {size} bytes is too large for every task (at most {max_bytes})")
+    table = {bytes(r.token): r.rank for r in ranks.select("token", "rank").collect()}
     return ranks.sparkSession.sparkContext.broadcast(table)
 
 
-def _encoder(ranks: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ranks.value
-        for batch in batches:
-            counts = [count_tokens(p.encode("utf-8"), table) for p in batch["pretoken"].to_pylist()]
-            yield batch.append_column("tokens", pa.array(counts, pa.int64()))
+class _Counts(dict):
+    """Tokens of each pre-token; forgets all when it is full, long ones at once."""
 
-    return encode
+    def __init__(self, ranks: dict[bytes, int], most: int):
+        super().__init__()
+        self.ranks, self.most = ranks, most
 
+    def __missing__(self, pretoken: str) -> int:
+        n = count_tokens(pretoken.encode("utf-8"), self.ranks)
+        if len(pretoken) <= REMEMBERED_CHARS:
+            if len(self) >= self.most:
+                self.clear()
+            self[pretoken] = n
+        return n
 
-def vocabulary(df: DataFrame, text: str, encoding: str, ranks: DataFrame) -> DataFrame:
-    """Every distinct pre-token of the corpus with its uses and its tokens.
 
-    The only place where merging runs: once per distinct pre-token. Counting combines
-    before the shuffle, so a pre-token that is in every text is one row per task.
-    """
-    loaded = _load_ranks(ranks)
-    words = df.select(F.explode(models.pretokens(F.col(text), encoding)).alias("pretoken"))
-    distinct = words.groupBy("pretoken").agg(F.count("*").alias("uses"))
-    return cut(distinct.mapInArrow(_encoder(loaded), "pretoken string, uses bigint, tokens bigint"))
+def _counter(ranks: Broadcast, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = _Counts(ranks.value, most)
+        for batch in batches:
+            *ids, pretokens = batch.columns
+            # Null texts have no pre-tokens, and neither have empty ones.
+            sizes = pretokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            words = pretokens.flatten()
+            before = np.zeros(len(words) + 1, np.int64)
+            for at in range(0, len(words), SLICE):
+                coded = words.slice(at, SLICE).dictionary_encode()
+                once = np.array([counts[w] for w in coded.dictionary.to_pylist()], np.int64)
+                before[at + 1 : at + 1 + len(coded)] = once[coded.indices.to_numpy(zero_copy_only=False)]
+            np.cumsum(before, out=before)
+            ends = np.cumsum(sizes)
+            total = pa.array(before[ends] - before[ends - sizes])
+            yield pa.RecordBatch.from_arrays([*ids, total], batch.schema.names)
+
+    return count
 
 
 def token_count(
@@ -64,41 +85,20 @@ def token_count(
     ranks: DataFrame,
     id_cols: list[str],
     name: str = "tokens",
-    head: int = HEAD,
+    remember: int = REMEMBER,
+    max_vocabulary: int = MAX_BROADCAST,
 ) -> DataFrame:
-    """``(*id_cols, name)``: tokens of each text, counted for the whole table at once.
+    """``(*id_cols, name)``: the tokens of each text, a row for each row of ``df``.
 
-    Texts are joined to the vocabulary without moving: its most used pre-tokens, at most
-    ``head`` of them and MAX_BROADCAST long, go to every task. If there are more, the texts'
-    remaining pre-tokens join the rest by shuffle. ``id_cols``
-    must tell the texts apart.
+    One pass without a shuffle: texts are split natively, and tasks count the pre-tokens
+    of a batch, each distinct one of a slice once. A task holds the vocabulary, a batch
+    (``spark.sql.execution.arrow.maxBytesPerBatch``) and ``remember`` counts at most. Null
+    and empty texts have no tokens.
     """
-    words = vocabulary(df, text, encoding, ranks)
-    n, size = words.agg(F.count("*"), F.sum(F.octet_length("pretoken"))).first()
-    # A text without pre-tokens stays as one row with none.
-    exploded = df.select(*id_cols, F.explode_outer(models.pretokens(F.col(text), encoding)).alias("pretoken"))
-    known = words.select("pretoken", "tokens")
-    if n <= head and (size or 0) <= MAX_BROADCAST:
-        counted = exploded.join(F.broadcast(known), "pretoken", "left").groupBy(*id_cols).agg(F.sum("tokens").alias("_t"))
-    else:
-        short = max(1, min(head, MAX_BROADCAST // 128))
-        common = words.where(F.octet_length("pretoken") <= 128).orderBy(F.desc("uses"), "pretoken").limit(short)
-        common = cut(common.select("pretoken", "tokens"))
-        rest = known.join(F.broadcast(common.select("pretoken")), "pretoken", "left_anti")
-        marked = exploded.join(F.broadcast(common), "pretoken", "left")
-        # Before anything moves, a text's common pre-tokens are one row and its rare
-        # ones a row each.
-        rare = F.when(F.col("tokens").isNull(), F.col("pretoken"))
-        partial = marked.groupBy(*id_cols, rare.alias("pretoken")).agg(
-            F.sum("tokens").alias("_sum"), F.count("*").alias("_n")
-        )
-        partial = cut(partial)
-        done = partial.where("pretoken is null").select(*id_cols, F.col("_sum").alias("_t"))
-        # A long pre-token may be frequent all the same; such a one is salted.
-        late = lookup_join(partial.where("pretoken is not null"), rest, ["pretoken"], id_cols, "inner")
-        late = late.select(*id_cols, (F.col("tokens") * F.col("_n")).alias("_t"))
-        counted = done.unionByName(late).groupBy(*id_cols).agg(F.sum("_t").alias("_t"))
-    return counted.select(*id_cols, F.coalesce("_t", F.lit(0)).alias(name))
+    shared = _share_ranks(ranks, max_vocabulary)
+    split = df.select(*id_cols, models.pretokens(F.col(text), encoding).alias(name))
+    schema = T.StructType([*split.schema.fields[:-1], T.StructField(name, T.LongType())])
+    return split.mapInArrow(_counter(shared, remember), schema)
 
 
 def token_count_corrected(df: DataFrame, raw: str = "tokens", name: str = "corrected") -> DataFrame:

@@ -1,5 +1,6 @@
-import tiktoken
+import pyarrow as pa
 import pytest
+import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -34,10 +35,10 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("head", [tokens.HEAD, 1, 5])
-def test_count_equals_the_library(spark, ranks, head):
+@pytest.mark.parametrize("remember", [tokens.REMEMBER, 1, 5])
+def test_count_equals_the_library(spark, ranks, remember):
     rows = spark.createDataFrame(list(enumerate(TEXTS)), "i int, t string")
-    got = {r.i: r.tokens for r in tokens.token_count(rows, "t", "r50k", ranks, ["i"], head=head).collect()}
+    got = {r.i: r.tokens for r in tokens.token_count(rows, "t", "r50k", ranks, ["i"], remember=remember).collect()}
     assert got == {i: len(ENCODING.encode_ordinary(t)) for i, t in enumerate(TEXTS)}
 
 
@@ -58,6 +59,40 @@ def test_pretokens_equal_the_published_patterns(spark, encoding):
     assert [r[0] for r in rows.select(models.pretokens(F.col("t"), encoding)).collect()] == want
 
 
+def test_count_in_slices(spark, ranks, monkeypatch):
+    rows = spark.createDataFrame(list(enumerate(TEXTS)), "i int, t string")
+    monkeypatch.setattr(tokens, "SLICE", 3)
+    batch = pa.RecordBatch.from_pylist(
+        [{"i": i, "n": r[0]} for i, r in enumerate(rows.orderBy("i").select(models.pretokens(F.col("t"), "r50k")).collect())],
+        pa.schema([("i", pa.int64()), ("n", pa.list_(pa.string()))]),
+    )
+    held = type("Held", (), {"value": RANKS})
+    (got,) = tokens._counter(held, 4)([batch.slice(2)])
+    assert got["n"].to_pylist() == [len(ENCODING.encode_ordinary(t)) for t in TEXTS[2:]]
+
+
+def test_count_keeps_rows(spark, ranks):
+    """Null texts, repeated rows, null ids and names that the operator could use itself."""
+    rows = [(1, None, "the"), (None, "x", ""), (None, "x", ""), (2, "y", None), (2, "y", None)]
+    df = spark.createDataFrame(rows, "pretoken int, pos string, text string")
+    got = tokens.token_count(df, "text", "r50k", ranks, ["pretoken", "pos"], name="text")
+    assert got.columns == ["pretoken", "pos", "text"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, None, 1), (None, "x", 0), (None, "x", 0), (2, "y", 0), (2, "y", 0)], key=str)
+    assert tokens.token_count(df.limit(0), "text", "r50k", ranks, ["pos"]).collect() == []
+
+
+def test_count_moves_nothing(spark, ranks):
+    rows = spark.createDataFrame(list(enumerate(TEXTS)), "i int, t string")
+    plan = tokens.token_count(rows, "t", "r50k", ranks, ["i"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_a_vocabulary_over_its_limit_is_an_error(spark, ranks):
+    rows = spark.createDataFrame([(1, "x")], "i int, t string")
+    with pytest.raises(ValueError, match="too large"):
+        tokens.token_count(rows, "t", "r50k", ranks, ["i"], max_vocabulary=100)
+
+
 def test_missing_ranks_are_an_error(spark):
     rows = spark.createDataFrame([(1, "x")], "i int, t string")
     empty = spark.createDataFrame([], "token binary, rank int")
