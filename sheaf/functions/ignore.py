@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 from sheaf.functions.globs import class_body
 from sheaf.session import cut
 
+# Matches nothing.
+NOTHING = "(?!)"
 _RULE = T.StructType().add("regex", T.StringType()).add("negated", T.BooleanType())
 
 
@@ -105,11 +107,17 @@ def ignored_by(path: Column, lines: Iterable[str]) -> Column:
     runs = [("|".join(r for r, _ in run), negated) for negated, run in groupby(rules, key=lambda r: r[1])]
     out = None
     for regex, negated in reversed(runs):
-        hit = path.rlike(regex)
+        hit = path.rlike(rf"\A(?:{regex})")
         out = F.when(hit, F.lit(not negated)) if out is None else out.when(hit, F.lit(not negated))
     return F.lit(False) if out is None else out.otherwise(F.lit(False))
 
 
+def negated_by(path: Column, lines: Iterable[str]) -> Column:
+    """Whether a negated line of the list matches."""
+    found = [rule[0] for rule in map(rule_regex, lines) if rule and rule[1]]
+    return path.rlike(rf"\A(?:{'|'.join(found)})") if found else F.lit(False)
+
+
 @F.pandas_udf(_RULE)
 def _rule_of(lines: pd.Series) -> pd.DataFrame:
     found = [rule_regex(line) or (None, None) for line in lines]
@@ -119,8 +127,10 @@ def _rule_of(lines: pd.Series) -> pd.DataFrame:
 def ignore_rules(files: DataFrame) -> DataFrame:
     """Rules of each root's own ``.gitignore``: ``(root, rules)``, one row per root.
 
-    The rules of a root are the lines of one file, so the array is no larger than it.
-    Neighbours of one kind share an alternation, which mostly leaves one expression.
+    ``rules.ignored`` is one regular expression for what the rules, the last of which
+    wins, ignore in the end, ``rules.negated`` one for what any negated rule matches. They
+    are made of the lines of one file. Neighbours of one kind share an alternation; a
+    negated run forbids, by a look ahead, what the runs before it allow.
     """
     lines = files.where(F.col("path") == ".gitignore").select("root", F.posexplode(F.split("content", "\n")))
     rules = lines.select("root", F.col("pos").alias("ord"), _rule_of("col").alias("rule")).where("rule.regex is not null")
@@ -135,13 +145,37 @@ def ignore_rules(files: DataFrame) -> DataFrame:
         kept = F.when(same, F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0)))).otherwise(runs)
         return F.concat(kept, F.array(F.when(same, both).otherwise(alone)))
 
+    def settle(before: Column, run: Column) -> Column:
+        allow = F.concat(F.lit("(?:"), run["regex"], F.lit("|"), before, F.lit(")"))
+        forbid = F.concat(F.lit("(?:(?!"), run["regex"], F.lit(")"), before, F.lit(")"))
+        return F.when(run["negated"], forbid).otherwise(allow)
+
+    def anchored(regex: Column) -> Column:
+        return F.concat(F.lit(r"\A(?:"), regex, F.lit(")"))
+
+    runs = F.aggregate(ordered, none, fold)
+    negated = F.array_join(F.transform(F.filter("runs", lambda r: r["negated"]), lambda r: r["regex"]), "|")
+    folded = rules.groupBy("root").agg(runs.alias("runs")).select(
+        "root",
+        F.struct(
+            anchored(F.aggregate("runs", F.lit(NOTHING), settle)).alias("ignored"),
+            anchored(F.when(negated == "", NOTHING).otherwise(negated)).alias("negated"),
+        ).alias("rules"),
+    )
     # Small, but found by a scan of all paths, and used more than once.
-    return cut(rules.groupBy("root").agg(F.aggregate(ordered, none, fold).alias("rules")))
+    return cut(folded)
+
+
+def _matches(path: Column, regex: Column) -> Column:
+    # Compiled again only where the next row's expression differs, unlike rlike.
+    return F.coalesce(F.regexp_instr(path, regex) > 0, F.lit(False))
 
 
 def ignored_by_rules(path: Column, rules: Column) -> Column:
-    """Ignored by an array of rules in a column; null rules ignore nothing."""
-    verdict = F.aggregate(
-        rules, F.lit(False), lambda last, r: F.when(F.rlike(path, r["regex"]), ~r["negated"]).otherwise(last)
-    )
-    return F.coalesce(verdict, F.lit(False))
+    """Ignored by the rules of ``ignore_rules`` in a column; null rules ignore nothing."""
+    return _matches(path, rules["ignored"])
+
+
+def negated_by_rules(path: Column, rules: Column) -> Column:
+    """Whether a negated rule matches."""
+    return _matches(path, rules["negated"])

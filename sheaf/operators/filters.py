@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,19 +40,31 @@ def _passes(path: Column, include: Iterable[str], excluded: Column, include_prio
     return included if include_priority else included & ~excluded
 
 
-def _ignored(files: DataFrame, rules: DataFrame | Iterable[str]) -> tuple[DataFrame, Callable[[Column], Column]]:
-    """Files with rules at hand, and the test whether a path is ignored."""
+def _ignored(files: DataFrame, rules: DataFrame | Iterable[str]) -> tuple[DataFrame, Column, Column]:
+    """Files with rules at hand, whether a file's own path is ignored, and the topmost
+    ignored directory above it, null if there is none.
+
+    A rule that covers a directory covers all below. So a file below an ignored directory
+    is ignored itself, unless a negated rule matches it, and the directories of all other
+    files need not be asked for.
+    """
+    path = F.col("path")
     if isinstance(rules, DataFrame):
-        return _with_rules(files, rules), lambda path: ignore.ignored_by_rules(path, F.col("_rules"))
-    lines = list(rules)
-    return files, lambda path: ignore.ignored_by(path, lines)
+        rows, held = _with_rules(files, rules), F.col("_rules")
+        own, again = ignore.ignored_by_rules(path, held), ignore.negated_by_rules(path, held)
+        hidden = F.filter(ancestors(path), lambda d: ignore.ignored_by_rules(d, held))
+    else:
+        rows, lines = files, list(rules)
+        own, again = ignore.ignored_by(path, lines), ignore.negated_by(path, lines)
+        hidden = F.filter(ancestors(path), lambda d: ignore.ignored_by(d, lines))
+    return rows, own, F.when(own | again, F.try_element_at(hidden, F.lit(1)))
 
 
 def _with_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Files with their root's rules. The rules go to every task if they are small, so
     that files need not move; otherwise roots with very many files are salted."""
     rules = rules.select("root", F.col("rules").alias("_rules"))
-    length = F.aggregate("_rules", F.lit(64), lambda n, r: n + F.octet_length(r["regex"]) + 64)
+    length = F.octet_length("_rules.ignored") + F.octet_length("_rules.negated") + 64
     size = rules.agg(F.sum(length)).first()[0] or 0
     if size <= MAX_BROADCAST:
         return files.join(F.broadcast(rules), "root", "left")
@@ -65,9 +77,8 @@ def gitignore_filter(files: DataFrame, rules: DataFrame | Iterable[str]) -> Data
     ``rules`` is a list of lines for all roots, or the ``(root, rules)`` table of
     ``ignore_rules``.
     """
-    labelled, ignored = _ignored(files, rules)
-    path = F.col("path")
-    return labelled.where(~ignored(path) & ~F.exists(ancestors(path), ignored)).select(*files.columns)
+    rows, own, hidden = _ignored(files, rules)
+    return rows.where(~own & hidden.isNull()).select(*files.columns)
 
 
 def symlink_filter(files: DataFrame, follow: bool = False) -> DataFrame:
@@ -109,12 +120,14 @@ def label_files(
     globs = list(globs)
     path = F.col("path")
     own, above = glob_match(path, globs), glob_match_above(path, globs)
-    out, hit = files, lambda p: glob_match(p, globs)
+    out = files
+    top = F.try_element_at(F.filter(ancestors(path), lambda d: glob_match(d, globs)), F.lit(1))
     if rules is not None:
-        out, ignored = _ignored(files, rules)
-        own, above = own | ignored(path), above | F.exists(ancestors(path), ignored)
-        hit = lambda p: glob_match(p, globs) | ignored(p)
-    top = F.lit(".") if matches_dot(globs) else F.try_element_at(F.filter(ancestors(path), hit), F.lit(1))
+        out, ignored, hidden = _ignored(files, rules)
+        own, above = own | ignored, above | hidden.isNotNull()
+        # Both lie above the file, so the shorter one is on top.
+        top = F.when(F.length(hidden) < F.length(top), hidden).otherwise(F.coalesce(top, hidden))
+    top = F.lit(".") if matches_dot(globs) else top
     state = (
         F.when(above, "pruned")
         .when(~_passes(path, include, own, include_priority), "excluded")

@@ -1,5 +1,6 @@
 import random
 import re
+from itertools import product
 
 import pytest
 from hypothesis import given, settings
@@ -7,7 +8,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sheaf.functions.globs import any_glob_regex, glob_match, glob_match_above, glob_regex, matches_dot
-from sheaf.functions.ignore import ignored_by, rule_regex
+from sheaf.functions.ignore import ignore_rules, ignored_by, rule_regex
+from sheaf.operators.filters import gitignore_filter, label_files
 
 CASES = [
     ("**/a.py", "a.py", True),
@@ -125,3 +127,61 @@ def test_malformed_ranges(spark):
     assert hit("[a-c&&]") == [True, True, False, False]
     assert hit("[[-]") == [False] * 4 and hit("[!b]") == [False, True, True, True]
     assert hit("[z-a]") == [False] * 4
+
+
+RULE_LINES = st.lists(
+    st.sampled_from(
+        ["a", "!a", "/a", "!/a", "b/", "!b/", "a/b", "!a/b", "*.c", "!*.c", "a/**/c", "!a/**/c", "**/b", "!**/b", "*", "!*", "[ab]c", "!b/*"]
+    ),
+    max_size=8,
+)
+TREE = sorted({"/".join(p) for n in (1, 2, 3, 4) for p in product(["a", "b", "x.c"], repeat=n)})
+
+
+def first_ignored(path, lines):
+    """The topmost of a path's directories and itself that the rules ignore."""
+    rules = [r for r in map(rule_regex, lines) if r]
+    parts = path.split("/")
+    for n in range(1, len(parts) + 1):
+        some = "/".join(parts[:n])
+        verdict = False
+        for regex, negated in rules:
+            if re.search(regex.replace(r"\z", r"\Z"), some):
+                verdict = not negated
+        if verdict:
+            return some
+    return None
+
+
+@settings(max_examples=15, deadline=None)
+@given(lines=RULE_LINES)
+def test_rules_of_files_and_directories(spark, lines):
+    """Ignored by themselves or by a directory above, whatever is negated below it."""
+    files = spark.createDataFrame([("r", p) for p in TREE] + [("other", "a/b")], "root string, path string")
+    made = spark.createDataFrame([("r", ".gitignore", "\n".join(lines))], "root string, path string, content string")
+    want = {p: first_ignored(p, lines) for p in TREE}
+    for rules, extra in ((ignore_rules(made), [("other", "a/b")]), (lines, [])):
+        rows = files if extra else files.where("root = 'r'")
+        left = sorted((r.root, r.path) for r in gitignore_filter(rows, rules).collect())
+        assert left == sorted([("r", p) for p in TREE if want[p] is None] + extra)
+        labelled = label_files(rows, ["nothing"], rules=rules).where("root = 'r'").collect()
+        assert {r.path: r.pruned_at for r in labelled} == {p: top if top != p else None for p, top in want.items()}
+        assert {r.path: r.state for r in labelled} == {
+            p: "kept" if top is None else "excluded" if top == p else "pruned" for p, top in want.items()
+        }
+
+
+def test_glob_or_rule_on_top(spark):
+    files = spark.createDataFrame([("r", "a/b/c/d")], "root string, path string")
+    for globs, lines, top in ([["a"], ["b"], "a"], [["a/b"], ["/a"], "a"], [["q"], ["c"], "a/b/c"], [["a/b"], ["q"], "a/b"]):
+        assert label_files(files, globs, rules=lines).first().pruned_at == top
+
+
+def test_many_turns_of_rules(spark):
+    """As many runs as lines: each negated one takes back what the ones before ignore."""
+    lines = [line for i in range(150) for line in (f"f{i}*", f"!f{i}")]
+    files = spark.createDataFrame([("r", f"f{i}{end}") for i in range(0, 150, 7) for end in ("", "x")], "root string, path string")
+    made = spark.createDataFrame([("r", ".gitignore", "\n".join(lines))], "root string, path string, content string")
+    left = sorted(r.path for r in gitignore_filter(files, ignore_rules(made)).collect())
+    kept = [f.path for f in files.collect() if first_ignored(f.path, lines) is None]
+    assert left == sorted(kept)
