@@ -37,11 +37,12 @@ def crawl(
     Links of failed pages are followed too; only their text is dropped later. Links to
     pages that are not stored, or may not be fetched, are taken out once, before the
     rounds; a round then is one join and one anti-join, its result kept in the shared
-    folder so that lineage does not grow with depth.
+    folder so that lineage does not grow with depth. ``links`` is worked out once, as it
+    may parse all pages.
     """
     may = allowed(F.col("url"), domains, exclude, page)
     stored = cut(pages.select("url").where(may).distinct())
-    edges = links.where("src <> dst").select("src", F.col("dst").alias("url")).distinct()
+    edges = cut(links.where("src <> dst").select("src", F.col("dst").alias("url")).distinct())
     # Pages that everyone links to are salted here.
     edges = cut(lookup_join(edges, stored, ["url"], ["src"], "left_semi"))
     frontier = cut(seeds.select("url").distinct().join(stored, "url", "left_semi").select("url", F.lit(0).alias("depth")))

@@ -192,3 +192,22 @@ def test_stream_equals_table(spark, tmp_path):
     run_available(stream, step, str(tmp_path / "out"), str(tmp_path / "state"))
     streamed = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()))
     assert streamed == sorted(map(tuple, step(rows).collect())) and streamed
+
+
+def test_crawl_works_links_out_once(spark):
+    """However many rounds there are, the links' source is read once."""
+    n = 40
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    pages = spark.createDataFrame([(f"p{i}",) for i in range(n)], "url string")
+    raw = [(f"p{i}", f"p{j}") for i in range(n) for j in (i + 1, 0)]
+    links = spark.createDataFrame(raw, "src string, dst string").mapInArrow(counted, "src string, dst string")
+    seeds = spark.createDataFrame([("p0",)], "url string")
+    got = {r.url: r.depth for r in crawl(pages, links, seeds, 5).collect()}
+    assert got == {f"p{i}": i for i in range(6)}
+    assert seen.value == len(raw)
