@@ -27,7 +27,8 @@ only one. Two documents link when ``100 * common >= percent * union``.
   components are compared further, their sizes and short parity sketches within the join
   by key, so that pairs which cannot link never leave it: in rounds with the smallest, the
   next two, the next four and so on, two at least and while a key has more than
-  ``PAIRS_EACH`` pairs left for each member, then all that are left.
+  ``PAIRS_EACH`` pairs left for each member, then all that are left. There a pair leaves
+  the join at its smallest common key only, of each group of about ``GROUP`` keys.
 
 Components are found by stars (large and small, in turn). Cases: null and empty texts
 have an empty set and no links; rows with equal ids are copies of one document if their
@@ -56,6 +57,7 @@ HOT = 32  # members of a key that does not tell sets apart
 # Needed sets whose ids may go to every task; pairs of a key, for each of its members, whose
 # short sketches are compared at once.
 MAX_BROADCAST_IDS, PAIRS_EACH = 1 << 20, 256
+GROUP = 16  # keys of a set that know of each other
 SHORT = tuple(f"s{i}" for i in range(16))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -324,13 +326,27 @@ def _one_of_equal(live: DataFrame) -> DataFrame:
     return live.join(told.groupBy("m", "x1", "x2").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
 
 
+def _with_smaller(live: DataFrame) -> DataFrame:
+    """``live`` and ``smaller``: a set's smaller keys of the same group.
+
+    Groups go by the last bits of a key, more of them the more keys a set has, so that of
+    two sets' groups one lies within the other. A pair has a key without smaller common
+    ones in every group in which it has keys in common.
+    """
+    n = F.count("*").over(W.partitionBy("cls"))
+    groups = F.pow(F.lit(2), F.ceil(F.log2(n / GROUP))).cast("long")
+    group = F.col("key").bitwiseAND(F.greatest(groups, F.lit(1)) - 1)
+    below = W.partitionBy("cls", "group").orderBy("key").rowsBetween(W.unboundedPreceding, -1)
+    return live.withColumn("group", group).withColumn("smaller", F.collect_list("key").over(below)).drop("group")
+
+
 def _candidates(live: DataFrame, root: DataFrame) -> DataFrame:
     """Members of keys, ranked by set, with their component."""
     members = live.join(root.toDF("cls", "comp"), "cls", "left")
     members = members.withColumn("comp", F.coalesce("comp", "cls"))
     key = W.partitionBy("key")
     spread = members.withColumn("_low", F.min("comp").over(key)).withColumn("_high", F.max("comp").over(key))
-    return spread.where("_low < _high").select("key", "cls", "comp", "rank")
+    return spread.where("_low < _high").select("key", "cls", "comp", "rank", "smaller")
 
 
 def links(
@@ -354,7 +370,7 @@ def links(
     # what many sets share goes first.
     hot = coarse.where(F.col("last") >= HOT).select("cls").distinct()
     fine = kept(_rarest(_keys_of(texts_of(hot, "hot"), None, width, percent)), "fine")
-    live = kept(_one_of_equal(coarse.where(F.col("last") < HOT).unionByName(fine).drop("last")), "live")
+    live = kept(_with_smaller(_one_of_equal(coarse.where(F.col("last") < HOT).unionByName(fine).drop("last"))), "live")
 
     needed = live.select("cls").distinct()
     sets = kept(_sets(texts_of(needed, "needed"), width).dropDuplicates(["cls"]), "sets")
@@ -381,8 +397,12 @@ def links(
         # Two rounds first: what they link need not be compared pair by pair.
         whole = done >= 3 and left <= PAIRS_EACH * there
         hub = members.where(F.col("rank") >= done if whole else F.col("rank").between(done, done + hubs - 1))
-        hub = hub.select("key", F.col("cls").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("comp", "rank", "n", *SHORT)])
-        pairs = members.join(hub, "key").where((F.col("rank") > F.col("a_rank")) & (F.col("comp") != F.col("a_comp")) & _near(percent))
+        hub = hub.select("key", F.col("cls").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("comp", "rank", "n", "smaller", *SHORT)])
+        wanted = (F.col("rank") > F.col("a_rank")) & (F.col("comp") != F.col("a_comp")) & _near(percent)
+        if whole:
+            # A pair of a smaller key has been compared there, in this round or one before.
+            wanted = wanted & ~F.arrays_overlap("smaller", "a_smaller")
+        pairs = members.join(hub, "key").where(wanted)
         found = found.unionByName(compared(pairs.select("a", F.col("cls").alias("b")).distinct()))
         if whole:
             break
