@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sheaf.llm.common import fresh
+
 # Parts of texts, pieces and pairs that a worker remembers; the longest in characters.
 PARTS, MEMO, MEMO_CHARS = 3 << 18, 1 << 19, 48
 # Tokens after which a task passes on what it has.
@@ -268,10 +270,11 @@ def _slices(batch: pa.RecordBatch, sizes: np.ndarray, most: int) -> Iterator[pa.
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``docs`` with the token ids of every text."""
+    """``docs`` with the token ids of every text, in place of a column of that name."""
     shared = _share(docs.sparkSession, ranks)
-    rows, schema = _added(docs.withColumn("_text", F.coalesce(text_col, F.lit(""))), ids_col, T.ArrayType(T.IntegerType()))
-    at = rows.columns.index("_text")
+    (whole,) = fresh(docs, "text")
+    rows, schema = _added(docs.withColumn(whole, F.coalesce(text_col, F.lit(""))), ids_col, T.ArrayType(T.IntegerType()))
+    at = rows.columns.index(whole)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared, pattern)
@@ -286,7 +289,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
                 column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
                 yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, ids_col])
 
-    return rows.mapInArrow(run, schema).drop("_text")
+    return rows.mapInArrow(run, schema).drop(whole)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", bytes_col: str = "bytes") -> DataFrame:

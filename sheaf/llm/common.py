@@ -32,3 +32,22 @@ def whole(text: str | Column) -> Column:
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
     """``then`` of a value that is computed once, not wherever it stands."""
     return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without(df: DataFrame, name: str, needed: tuple[str, ...]) -> DataFrame:
+    """``df`` without a column that is to be made anew; none of those that it is made from."""
+    if name.lower() in (c.lower() for c in needed):
+        raise ValueError(f"{name} is the name of a result")
+    return df.drop(name)

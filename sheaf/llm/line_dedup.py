@@ -15,7 +15,8 @@ line goes only where an equal one stands earlier.
 Cases: a null text stays null and an empty one empty; equal rows (same id, same text)
 are one document for the search and all of them are cut alike; of different texts with
 one id, and of rows without id, each is its own document, ordered by the text's hash. A
-text of which all lines go is empty, its row stays. All other columns stay as they are.
+text of which all lines go is empty, its row stays. All other columns stay as they are, whatever
+their names, but for ``n_dropped``.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import kept
+from sheaf.llm.common import fresh, kept, without
 
 MIN_WORDS = 50
 BLANKS = r"[ \t\n\x0B\f\r]+"
@@ -93,16 +94,17 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` without lines of later runs, and ``n_dropped``, how many lines went from a row."""
+    """``docs`` without lines of later runs, and ``n_dropped``, how many lines went from a
+    row, in place of a column of that name."""
+    docs = without(docs, "n_dropped", (id_col, text_col))
+    of, of_hash, lines = fresh(docs, "id", "h", "gone")
     gone = repeated_lines(docs, id_col, text_col, min_words).groupBy("doc")
-    gone = gone.agg(F.array_sort(F.collect_list("line")).alias("_gone")).select(
-        F.col("doc.id").alias("_id"), F.col("doc.h").alias("_h"), "_gone"
+    gone = gone.agg(F.array_sort(F.collect_list("line")).alias(lines)).select(
+        F.col("doc.id").alias(of), F.col("doc.h").alias(of_hash), lines
     )
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_h"))
+    same = F.col(id_col).eqNullSafe(F.col(of)) & (F.xxhash64(text_col) == F.col(of_hash))
     joined = docs.join(gone, same, "left")
-    left = F.filter(
-        F.split(F.col(text_col), "\n"), lambda s, i: ~F.array_contains("_gone", i)
-    )
-    cut = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
+    left = F.filter(F.split(F.col(text_col), "\n"), lambda s, i: ~F.array_contains(lines, i))
+    cut = F.when(F.col(lines).isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
     columns = [cut.alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return joined.select(*columns, F.coalesce(F.size("_gone"), F.lit(0)).alias("n_dropped"))
+    return joined.select(*columns, F.coalesce(F.size(lines), F.lit(0)).alias("n_dropped"))

@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import kept
+from sheaf.llm.common import fresh, kept
 
 ROWS, BUCKETS, EVIDENCE, STEPS, CLOSE = 4000, 1024, 20, 60, 1e-6
 
@@ -83,11 +83,15 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, domain_col: str, rows:
 
 
 def with_posteriors(docs: DataFrame, model: Classifier, text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
-    """``docs`` (or some columns of it) with ``n_words`` and ``posterior``, kept."""
-    found = docs.withColumn("_b", buckets(F.col(text_col), len(model.words[0])))
+    """``docs`` (or some columns of it) with ``n_words`` and ``posterior``, kept; columns of
+    these names are replaced."""
+    added = ("n_words", "posterior")
+    (found,) = fresh(docs, "b")
     # An array of one, exploded, keeps the words from being cut anew for each use.
-    once = found.withColumn("_b", F.explode(F.array("_b")))
-    return kept(once.select(*(docs.columns if columns is None else columns), F.size("_b").cast("long").alias("n_words"), model.posterior(F.col("_b")).alias("posterior")), "posteriors")
+    once = docs.withColumn(found, buckets(F.col(text_col), len(model.words[0]))).withColumn(found, F.explode(F.array(found)))
+    stay = [c for c in (docs.columns if columns is None else columns) if c.lower() not in added]
+    new = (F.size(found).cast("long"), model.posterior(F.col(found)))
+    return kept(once.select(*stay, *[c.alias(name) for c, name in zip(new, added, strict=True)]), "posteriors")
 
 
 def _rate(residuals: list[list[float]], least: float) -> Column:

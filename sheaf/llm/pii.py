@@ -15,7 +15,7 @@ entities of the corpus; of two that meet, and where one is an entity itself, a f
 attempt is made until none do.
 
 Cases: null and empty texts stay, as do texts without an entity; equal rows are changed
-alike. Other columns stay as they are.
+alike. Other columns stay as they are, whatever their names, but for ``n_entities``.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import kept
+from sheaf.llm.common import fresh, kept, without
 
 KEY = "corpus"
 # Given names by gender and script.
@@ -162,19 +162,23 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def replace(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY) -> DataFrame:
-    """``docs`` with surrogates in their texts, and ``n_entities``."""
+    """``docs`` with surrogates in their texts, and ``n_entities``, in place of a column of
+    that name."""
+    docs = without(docs, "n_entities", (id_col, text_col))
+    of, of_hash, made = fresh(docs, "id", "h", "new")
     found = F.coalesce(F.col(text_col).rlike(ANY), F.lit(False))
     values = F.regexp_extract_all(F.col(text_col), F.lit(ANY), F.lit(0))
-    hits = docs.where(found).select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h"), F.posexplode(values).alias("at", "value"))
+    hits = docs.where(found).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.posexplode(values).alias("at", "value"))
     hits = hits.distinct().withColumn("kind", kind(F.col("value")))
     hits = kept(hits.withColumn("canon", canonical(F.col("kind"), F.col("value"))), "entities")
     known = surrogates(hits.select("kind", "canon").where("kind IS NOT NULL").distinct(), key)
     new = F.coalesce(poured(F.col("kind"), F.col("value"), F.col("sur")), F.col("value"))
-    written = hits.join(known, ["kind", "canon"], "left").select("_id", "_h", F.struct("at", new.alias("new")).alias("n"))
-    per = written.groupBy("_id", "_h").agg(F.transform(F.array_sort(F.collect_list("n")), lambda n: n["new"]).alias("_new"))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_h"))
+    written = hits.join(known, ["kind", "canon"], "left").select("id", "h", F.struct("at", new.alias("new")).alias("n"))
+    per = written.groupBy(F.col("id").alias(of), F.col("h").alias(of_hash))
+    per = per.agg(F.transform(F.array_sort(F.collect_list("n")), lambda n: n["new"]).alias(made))
+    same = F.col(id_col).eqNullSafe(F.col(of)) & (F.xxhash64(text_col) == F.col(of_hash))
     joined = docs.where(found).join(per, same)
-    glued = F.zip_with(F.split(F.col(text_col), ANY, -1), "_new", lambda piece, n: F.concat(piece, F.coalesce(n, F.lit(""))))
+    glued = F.zip_with(F.split(F.col(text_col), ANY, -1), made, lambda piece, n: F.concat(piece, F.coalesce(n, F.lit(""))))
     columns = [F.array_join(glued, "").alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    changed = joined.select(*columns, F.size("_new").alias("n_entities"))
+    changed = joined.select(*columns, F.size(made).alias("n_entities"))
     return changed.unionByName(docs.where(~found).select(*docs.columns, F.lit(0).alias("n_entities")))

@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import kept
+from sheaf.llm.common import fresh, kept
 
 WIDTH, PERCENT = 5, 80
 # Shingles per word of a sketch, for the largest sets of a band.
@@ -442,14 +442,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     stay. Of rows with one id the one with the smallest hash of the text stays, of rows
     without id one of each set; of rows equal in that, the one with the smallest hash of
     all columns. Rows without id are not compared with others beyond equal sets."""
+    gone_id, group, text_hash, row, nth = fresh(docs, "gone", "set", "h", "row", "nth")
     which = linked_components(docs.select(id_col, text_col), id_col, text_col)
-    gone = which.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct()
-    left = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    row = F.xxhash64(*docs.columns)
+    gone = which.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias(gone_id)).distinct()
+    left = docs.join(gone, F.col(id_col) == F.col(gone_id), "left_anti")
     # Empty sets are no copies of one another: each row is its own.
     some = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     key = F.when(F.col(id_col).isNull(), _set_digest(F.col(text_col)))
-    order = W.partitionBy(id_col, "_set").orderBy("_h", "_row")
-    keyed = left.where(some).withColumns({"_set": key, "_h": F.xxhash64(text_col), "_row": row})
-    one = keyed.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").select(*docs.columns)
+    order = W.partitionBy(id_col, group).orderBy(text_hash, row)
+    keyed = left.where(some).withColumns({group: key, text_hash: F.xxhash64(text_col), row: F.xxhash64(*docs.columns)})
+    one = keyed.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).select(*docs.columns)
     return one.unionByName(left.where(~some))

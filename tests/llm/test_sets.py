@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sheaf.llm import ann, mixing, shingle_join, spotsigs, toxicity
+from sheaf.llm import ann, bpe, line_dedup, mixing, pii, shingle_join, spotsigs, toxicity
 
 
 def near_copies(rng, n):
@@ -265,3 +265,42 @@ def test_rates_reach_targets(spark):
     assert mixing.fit(table.limit(0), "doc_id", "text", "domain") is None
     with pytest.raises(ValueError):
         mixing.rates(known, model.domains, {"zz": 1.0})
+
+
+def test_any_extra_names_stay_as_they_are(spark):
+    names = ["_gone", "_set", "_row", "_h", "_nth", "_id", "_new", "_b", "_text", "_H_", "n_dropped", "n_entities", "n_words", "posterior"]
+    line = " ".join(f"w{i}" for i in range(60))
+    texts = [(1, f"{line}\nmail a.b@example.org"), (2, f"own words here\n{line}"), (2, "own words"), (3, None), (None, "own words"), (None, "")]
+    extra = [f"value {k}" for k in range(len(names))]
+    docs = spark.createDataFrame([(*t, *extra) for t in texts], ["doc_id", "text", *names])
+    model = mixing.Classifier(("a", "b"), (-0.7, -0.7), ((-1.0,) * 8, (-1.5,) * 8))
+    made = {
+        line_dedup.drop_repeated: ["n_dropped"], pii.replace: ["n_entities"], shingle_join.keep_one: [],
+        (lambda d: mixing.with_posteriors(d, model)): ["n_words", "posterior"],
+        (lambda d: bpe.encode(d, {bytes([i]): i for i in range(256)}, r"\S+|\s+", ids_col="_gone")): ["_gone"],
+    }
+    for operator, new in made.items():
+        out = operator(docs)
+        assert sorted(out.columns) == sorted(docs.columns)
+        rows = out.collect()
+        assert rows
+        for r in rows:
+            assert [r[c] for c in names if c not in new] == [v for c, v in zip(names, extra, strict=True) if c not in new]
+    assert {r.n_dropped for r in line_dedup.drop_repeated(docs).collect()} == {0, 1}
+    assert sum(r.n_entities for r in pii.replace(docs).collect()) == 1
+    with pytest.raises(ValueError):
+        pii.replace(docs, text_col="n_entities")
+
+
+def test_groups_of_keys_keep_every_pair(spark):
+    rng = np.random.default_rng(12)
+    sets = [set(map(int, rng.integers(-(1 << 62), 1 << 62, n))) for n in (1, 3, 17, 40, 200, 900)]
+    shared = set(map(int, rng.integers(-(1 << 62), 1 << 62, 60)))
+    sets = [s | {k for k in shared if rng.random() < 0.6} for s in sets]
+    live = spark.createDataFrame([(k, c) for c, s in enumerate(sets) for k in s], "key long, cls long")
+    smaller = {(r.key, r.cls): set(r.smaller) for r in shingle_join._with_smaller(live).collect()}
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        common = sets[a] & sets[b]
+        left = [k for k in common if not smaller[k, a] & smaller[k, b]]
+        assert min(common, default=None) in (left or [None]) and len(left) <= len(common)
+    assert sum(len(v) for v in smaller.values()) < 20 * len(smaller)
