@@ -47,7 +47,8 @@ def prompt_pieces(
     globs = list(globs)
     # Paths without texts: every part of a prompt but its files is made from these.
     explicit = F.col("explicit") if "explicit" in labelled.columns else F.lit(False)
-    slim = cut(labelled.select("root", "path", "state", "pruned_at", explicit.alias("explicit")))
+    nodes = [c for c in ("is_dir", "via") if c in labelled.columns]
+    slim = cut(labelled.select("root", "path", "state", "pruned_at", explicit.alias("explicit"), *nodes))
     walked = slim.where(~F.col("explicit"))
     text = F.col("content") if shown is None else shown
     if relative:

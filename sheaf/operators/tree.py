@@ -27,23 +27,27 @@ def tree_nodes(files: DataFrame, globs: Iterable[str] = (), show_excluded: bool
     """Files as all nodes ``(root, path, parent, name, depth, is_dir, excluded)``.
 
     Only globs decide here, not ignore rules or include lists. What lies below an
-    excluded directory is left out.
+    excluded directory is left out. Rows with ``is_dir``, if there is such a column, are
+    directories, empty ones perhaps; what ``via`` gives a link for is shown as that link,
+    which is a leaf.
     """
-    parts = F.split(F.col("path"), "/")
+    shown_path = F.coalesce("via", "path") if "via" in files.columns else F.col("path")
+    empty = F.col("is_dir") if "is_dir" in files.columns else F.lit(False)
+    parts = F.split(shown_path, "/")
     up_to = F.transform(parts, lambda _, i: F.array_join(F.slice(parts, 1, i + 1), "/"))
-    rows = files.select("root", "path", up_to.alias("up"))
+    rows = files.select("root", up_to.alias("up"), empty.alias("empty"))
     body = any_glob_regex(globs)
     if body is None:
         first = F.lit(0)
     else:
         first = F.array_position(F.transform("up", lambda p: p.rlike(whole(body))), True).cast("int")
-    rows = rows.select("root", F.size("up").alias("n"), "up", first.alias("first"))
+    rows = rows.select("root", F.size("up").alias("n"), "up", "empty", first.alias("first"))
     shown = F.when(F.col("first") > 0, F.slice("up", 1, F.col("first"))).otherwise(F.col("up"))
-    nodes = rows.select("root", "n", "first", F.posexplode(shown).alias("at", "path")).select(
+    nodes = rows.select("root", "n", "empty", "first", F.posexplode(shown).alias("at", "path")).select(
         "root",
         "path",
         (F.col("at") + 1).alias("depth"),
-        (F.col("at") + 1 < F.col("n")).alias("is_dir"),
+        ((F.col("at") + 1 < F.col("n")) | F.col("empty")).alias("is_dir"),
         (F.col("at") + 1 == F.col("first")).alias("excluded"),
     )
     # Directories come once per file below them; the first step of the grouping takes

@@ -37,14 +37,19 @@ def directory_files(
     include_priority: bool = False,
     follow_symlinks: bool = False,
 ) -> DataFrame:
-    """``(root, path, state, pruned_at, explicit, content)`` of all files below the roots.
+    """``(root, path, state, pruned_at, explicit, content, is_dir, via)`` of all files below
+    the roots.
 
     Decided by path first: only what is kept is read. Of that, binary files and PDFs
     become ``skipped``: shown in trees, but neither kept nor counted as excluded. Roots
-    that are files are kept whatever they are called or hold.
+    that are files are kept whatever they are called or hold. Directories, and links that
+    are not followed, are ``listed`` rows, which only trees show: ``is_dir`` tells those
+    that are no links. ``via`` is the link that a followed path leads through, where a
+    tree ends.
     """
     globs = list(globs)
     listed = list_tree(spark, roots, globs, follow_symlinks)
+    nodes = listed.where("via IS NULL AND NOT explicit").where(F.col("is_dir") | (F.col("is_symlink") & F.lit(not follow_symlinks)))
     if not follow_symlinks:
         listed = listed.where(~F.col("is_symlink"))
     # A directory that was not entered stands for what lies below it.
@@ -56,9 +61,9 @@ def directory_files(
     chosen = files.where("explicit").withColumns({"state": F.lit("kept"), "pruned_at": F.lit(None).cast("string")})
     labelled = labelled.unionByName(chosen)
     # Of binary files and PDFs no more is read than what shows that they are.
-    kept = read_files(labelled.where(F.col("state") == "kept"), lambda head, path: text_sniff(head) & ~pdf_detect(head, path))
+    kept = read_files(labelled.where(F.col("state") == "kept"), lambda head, path: text_sniff(head) & ~pdf_detect(head, path), ["via"])
     text = F.col("bytes").isNotNull()
-    nothing = F.lit(None).cast("string")
+    nothing, no_dir = F.lit(None).cast("string"), F.lit(False).alias("is_dir")
     read = kept.select(
         "root",
         "path",
@@ -66,9 +71,11 @@ def directory_files(
         nothing.alias("pruned_at"),
         "explicit",
         text_of(F.col("bytes")).alias("content"),
+        no_dir,
+        "via",
     )
     left = labelled.where(F.col("state") != "kept")
-    left = left.select("root", "path", "state", "pruned_at", "explicit", nothing.alias("content"))
+    left = left.select("root", "path", "state", "pruned_at", "explicit", nothing.alias("content"), no_dir, "via")
     shut = label_files(closed, globs).where(F.col("state") == "excluded")
     # One name below it makes the directory known to the tree and the counts.
     shut = shut.select(
@@ -78,8 +85,20 @@ def directory_files(
         F.col("path").alias("pruned_at"),
         "explicit",
         nothing.alias("content"),
+        no_dir,
+        "via",
     )
-    return read.unionByName(left).unionByName(shut)
+    entries = nodes.select(
+        "root",
+        "path",
+        F.lit("listed").alias("state"),
+        nothing.alias("pruned_at"),
+        "explicit",
+        nothing.alias("content"),
+        (F.col("is_dir") & ~F.col("is_symlink")).alias("is_dir"),
+        "via",
+    )
+    return read.unionByName(left).unionByName(shut).unionByName(entries)
 
 
 def directory_prompt(

@@ -24,7 +24,7 @@ from sheaf.functions.globs import glob_match
 from sheaf.functions.paths import file_ext
 from sheaf.session import cut
 
-_ENTRY = "root string, path string, is_dir boolean, is_symlink boolean, size bigint, explicit boolean, loop boolean"
+_ENTRY = "root string, path string, is_dir boolean, is_symlink boolean, size bigint, explicit boolean, loop boolean, via string"
 _ENTRY_ARROW = pa.schema(
     [
         ("root", pa.string()),
@@ -34,6 +34,7 @@ _ENTRY_ARROW = pa.schema(
         ("size", pa.int64()),
         ("explicit", pa.bool_()),
         ("loop", pa.bool_()),
+        ("via", pa.string()),
     ]
 )
 # What tells text from binary.
@@ -86,13 +87,13 @@ def _entries(root: str, folder: str) -> Iterator[tuple[str, bool, bool, int, boo
 def _list_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows: list[tuple] = []
     for batch in batches:
-        for root, folder in zip(batch["root"].to_pylist(), batch["path"].to_pylist()):
+        for root, folder, via in zip(batch["root"].to_pylist(), batch["path"].to_pylist(), batch["via"].to_pylist()):
             single = _single(root) if not folder else None
             if single:
-                rows.append((root, single[0], False, single[1], single[2], True, False))
+                rows.append((root, single[0], False, single[1], single[2], True, False, None))
                 continue
             for name, is_dir, is_link, size, loop in _entries(root, folder):
-                rows.append((root, f"{folder}/{name}" if folder else name, is_dir, is_link, size, False, loop))
+                rows.append((root, f"{folder}/{name}" if folder else name, is_dir, is_link, size, False, loop, via))
                 if len(rows) == _ROWS_PER_BATCH:
                     yield _batch(rows, _ENTRY_ARROW)
                     rows = []
@@ -107,16 +108,17 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 def list_tree(
     spark: SparkSession, roots: Iterable[str], prune: Iterable[str] = (), follow_symlinks: bool = False
 ) -> DataFrame:
-    """Entries ``(root, path, is_dir, is_symlink, size, explicit)`` below the roots.
+    """Entries ``(root, path, is_dir, is_symlink, size, explicit, via)`` below the roots.
 
-    Directories that match ``prune`` are listed but not entered. A root that is a file
+    ``via`` is the first link that a path leads through, null for most. Directories that
+    match ``prune`` are listed but not entered. A root that is a file
     is listed by its name and marked ``explicit``; a link among these is an error unless
     links are followed.
     """
     prune = list(prune)
     most = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    start = [(r.rstrip("/") or "/", "") for r in roots]
-    frontier = spark.createDataFrame(start, "root string, path string")
+    start = [(r.rstrip("/") or "/", "", None) for r in roots]
+    frontier = spark.createDataFrame(start, "root string, path string, via string")
     levels, n = [], len(start)
     while True:
         level = cut(frontier.repartition(max(1, min(n, most)), "root", "path").mapInArrow(_list_batches, _ENTRY))
@@ -128,7 +130,8 @@ def list_tree(
         enter = F.col("is_dir") & ~F.col("loop") & ~glob_match("path", prune)
         if not follow_symlinks:
             enter = enter & ~F.col("is_symlink")
-        frontier = level.where(enter).select("root", "path")
+        through = F.coalesce("via", F.when(F.col("is_symlink"), F.col("path")))
+        frontier = level.where(enter).select("root", "path", through.alias("via"))
         n = frontier.count()
         if n == 0:
             return reduce(DataFrame.unionByName, levels).drop("loop")
@@ -192,8 +195,11 @@ def read_tree(
     return read_files(keep(listed) if keep else listed)
 
 
-def read_files(listed: DataFrame, wanted: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """Add ``bytes`` to a table ``(root, path, is_symlink, size, explicit)``.
+def read_files(
+    listed: DataFrame, wanted: Callable[[Column, Column], Column] | None = None, also: Iterable[str] = ()
+) -> DataFrame:
+    """Add ``bytes`` to a table ``(root, path, is_symlink, size, explicit)``, of which the
+    text columns ``also`` stay too.
 
     A folder's files are listed by one task; the repartitioning spreads their reading,
     over as many tasks as the files' total size asks for. ``wanted`` tells by the first
@@ -202,8 +208,9 @@ def read_files(listed: DataFrame, wanted: Callable[[Column, Column], Column] | N
     total, n = listed.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     tasks = int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tasks = max(1, min(n, max(tasks, -(-total // _BYTES_PER_TASK))))
-    columns = ["root", "path", "is_symlink", "size", "explicit"]
-    schema = "root string, path string, is_symlink boolean, size bigint, explicit boolean"
+    also = list(also)
+    columns = ["root", "path", "is_symlink", "size", "explicit", *also]
+    schema = ", ".join(["root string, path string, is_symlink boolean, size bigint, explicit boolean", *(f"{c} string" for c in also)])
     spread = listed.select(*columns).repartition(tasks, "root", "path")
     if wanted is not None:
         headed = spread.mapInArrow(_head_batches, schema + ", head binary")

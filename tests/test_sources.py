@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sheaf.operators.crawl import crawl, visited_dedupe
 from sheaf.operators.pages import crawl_select, page_links, web_tree
+from sheaf.operators.tree import tree_render
 from sheaf.plans.prompts import directory_files, directory_prompt, web_prompt
 from sheaf.sources import patterns, sinks, tree
 from sheaf.sources.default_globs import default_globs
@@ -63,7 +64,7 @@ def test_trees_as_they_are_found(spark, tmp_path):
     os.symlink(root / "a", root / "c" / "over")
     os.symlink(root / "c", root / "a" / "across")
     os.symlink(root / "latin.txt", tmp_path / "link.txt")
-    files = {r.path: r for r in directory_files(spark, [str(root)], []).collect()}
+    files = {r.path: r for r in directory_files(spark, [str(root)], []).where("state <> 'listed'").collect()}
     assert set(files) == {"latin.txt", "a/x.txt", "a/b/big.dat"}
     assert files["latin.txt"].content == "caf\ufffd noir\n" and files["latin.txt"].state == "kept"
     assert files["a/b/big.dat"].state == "skipped" and files["a/b/big.dat"].content is None
@@ -75,6 +76,39 @@ def test_trees_as_they_are_found(spark, tmp_path):
     assert [r.content for r in tree.decode_text(tree.read_tree(spark, [str(tmp_path / "link.txt")], follow_symlinks=True)).collect()] == ["caf\ufffd noir\n"]
 
 
+DRAWN = """\
+(Files/directories marked with ❌ are excluded or not included here)
+
+r/
+├── a/
+│   ├── bare/
+│   │   └── inner/
+│   ├── gone/ ❌
+│   └── x.txt
+├── empty/
+├── over
+├── self
+└── to.txt"""
+
+
+@pytest.mark.parametrize("follow", [False, True])
+def test_trees_show_empty_directories_and_links(spark, tmp_path, follow):
+    root = tmp_path / "r"
+    for name in ("a/bare/inner", "a/gone/below", "empty"):
+        (root / name).mkdir(parents=True)
+    (root / "a" / "x.txt").write_text("text of x")
+    os.symlink(root / "a", root / "over")
+    os.symlink(root / "a" / "x.txt", root / "to.txt")
+    os.symlink(root, root / "self")
+    files = directory_files(spark, [str(root)], ["a/gone"], follow_symlinks=follow)
+    shown = tree_render(files, ["a/gone"]).first().tree
+    assert shown == DRAWN
+    kept = {r.path for r in files.where("state = 'kept'").collect()}
+    assert kept == ({"a/x.txt", "to.txt", "over/x.txt"} if follow else {"a/x.txt"})
+    prompt = directory_prompt(files, ["a/gone"]).first().prompt
+    assert DRAWN in prompt and prompt.count("text of x") == len(kept)
+
+
 def test_binary_files_are_not_read_to_the_end(monkeypatch):
     import pyarrow as pa
 
