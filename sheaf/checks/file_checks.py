@@ -28,6 +28,7 @@ from sheaf.session import shared_path
 from sheaf.sources import patterns, sinks, tree
 
 QUERIES, SQL = {}, {}
+TEXT_FOLDERS = 1024
 
 
 def check(sql: str | None = None):
@@ -60,12 +61,19 @@ def read_tree(spark, sf):
 )
 def read_tree_texts(spark, sf):
     """Documents that Spark wrote as files, one to a folder, listed and read as a tree."""
-    folder = shared_path(spark, "texts")
+    folder = re.sub(r"\Afile:(?://)?", "", shared_path(spark, "texts"))
     docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("value"))
-    docs.write.partitionBy("doc_id").option("lineSep", "\0end").text(folder)
-    found = tree.read_tree(spark, [re.sub(r"\Afile:(?://)?", "", folder)], keep=lambda rows: rows.where(F.col("path").rlike("^doc_id=[0-9]+/part-")))
-    doc_id = F.regexp_extract("path", "^doc_id=([0-9]+)/", 1).cast("long").alias("doc_id")
-    # What ends a line of the text writer is not the document's.
+    # Folders of folders, so that no task lists them all.
+    name = F.concat(
+        F.pmod(F.hash("doc_id"), F.lit(TEXT_FOLDERS)).cast("string"),
+        F.lit("/doc_id="), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")),
+        F.lit("/part-"), F.spark_partition_id().cast("string"),
+    )
+    rows = docs.sortWithinPartitions("doc_id").select(name.alias("path"), F.concat("value", F.lit("\0end")).cast("binary").alias("data"))
+    sinks.write_files(rows, folder)
+    found = tree.read_tree(spark, [folder], keep=lambda rows: rows.where(F.col("path").rlike("^[0-9]+/doc_id=[0-9]+/part-")))
+    doc_id = F.regexp_extract("path", "/doc_id=([0-9]+)/", 1).cast("long").alias("doc_id")
+    # What ends a row is not the document's.
     own = F.substring("bytes", F.lit(1), F.octet_length("bytes") - 4).alias("bytes")
     return found.select(doc_id, own).select(
         "doc_id", F.octet_length("bytes").cast("long").alias("size"), F.sha2("bytes", 256).alias("text_sha256"), sniff.text_sniff(F.col("bytes")).alias("is_text")

@@ -121,6 +121,16 @@ def test_binary_files_are_not_read_to_the_end(monkeypatch):
     assert asked == [("r/a", tree.HEAD_BYTES), ("r/b", tree.HEAD_BYTES), ("r/a", None)]
 
 
+def test_tasks_write_files(spark, tmp_path):
+    rows = spark.createDataFrame([("a/x", b"1"), ("a/x", b"2"), ("a/y", b""), ("b/c/z", None)], "path string, data binary").coalesce(1)
+    for at in (str(tmp_path / "local"), f"file://{tmp_path}/uri"):
+        assert sinks.write_files(rows, at) == 3
+        assert sinks.write_files(rows, at) == 3  # as a task that runs again
+        got = {r.path: bytes(r.bytes) for r in tree.read_tree(spark, [at]).collect()}
+        assert got == {"a/x": b"12", "a/y": b"", "b/c/z": b""}
+    assert sinks.write_files(rows.limit(0), str(tmp_path / "none")) == 0
+
+
 def test_directory_to_prompt(spark, folder):
     root, _ = folder
     globs = [*default_globs(), "**/.git/**"]
