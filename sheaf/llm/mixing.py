@@ -65,10 +65,17 @@ class Classifier:
         return F.get(F.transform(F.array(F.array(*scores)), softmax), F.lit(0))
 
 
-def fit(labelled: DataFrame, id_col: str, text_col: str, domain_col: str, rows: int = ROWS, n: int = BUCKETS) -> Classifier | None:
-    """A classifier of ``labelled`` (id, text, domain)."""
+def fit(
+    labelled: DataFrame, id_col: str, text_col: str, domain_col: str, rows: int = ROWS, n: int = BUCKETS, ids: DataFrame | None = None
+) -> Classifier | None:
+    """A classifier of ``labelled`` (id, text, domain), of the rows whose id is in ``ids``
+    if these are given. Ids alone are joined and sorted; texts meet the chosen ones, which
+    are few, where they are read."""
     known = labelled.where(F.col(domain_col).isNotNull())
-    chosen = known.select(id_col).where(F.col(id_col).isNotNull()).distinct().orderBy(F.xxhash64(id_col), id_col).limit(rows)
+    chosen = known.select(id_col).where(F.col(id_col).isNotNull())
+    if ids is not None:
+        chosen = chosen.join(ids.select(id_col), id_col, "left_semi")
+    chosen = chosen.distinct().orderBy(F.xxhash64(id_col), id_col).limit(rows)
     some = known.join(F.broadcast(chosen), id_col).select(F.col(domain_col).cast("string").alias("domain"), buckets(F.col(text_col), n).alias("b"))
     some = kept(some, "labelled")
     docs = {r.domain: r["count"] for r in some.groupBy("domain").count().collect()}

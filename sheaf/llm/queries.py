@@ -215,7 +215,7 @@ TARGETS = {"en": 0.4, "fr": 0.2, "de": 0.2, "es": 0.2}
 
 def domain_model(docs: DataFrame, spark: SparkSession, sf_dir: str) -> mixing.Classifier | None:
     labelled = read(spark, sf_dir, "labels").select("doc_id").where("doc_id IS NOT NULL").distinct()
-    return mixing.fit(docs.select("doc_id", "text", "lang").join(labelled, "doc_id", "left_semi"), "doc_id", "text", "lang")
+    return mixing.fit(docs.select("doc_id", "text", "lang"), "doc_id", "text", "lang", ids=labelled)
 
 
 @query

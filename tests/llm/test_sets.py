@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sheaf.llm import ann, bpe, line_dedup, mixing, pii, shingle_join, spotsigs, toxicity
+from sheaf.llm import ann, bpe, line_dedup, mixing, pii, queries, shingle_join, spotsigs, toxicity
 
 
 def near_copies(rng, n):
@@ -304,3 +304,14 @@ def test_groups_of_keys_keep_every_pair(spark):
         left = [k for k in common if not smaller[k, a] & smaller[k, b]]
         assert min(common, default=None) in (left or [None]) and len(left) <= len(common)
     assert sum(len(v) for v in smaller.values()) < 20 * len(smaller)
+
+
+def test_texts_are_not_shuffled_to_choose_labelled_rows(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, f"word{i % 3} and more", "en" if i % 2 else "fr") for i in range(40)], "doc_id long, text string, lang string")
+    spark.createDataFrame([(i,) for i in range(20)] + [(None,), (3,)], "doc_id long").write.parquet(str(tmp_path / "labels.parquet"))
+    plans, keep = [], mixing.kept
+    monkeypatch.setattr(mixing, "kept", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df, name))
+    model = queries.domain_model(docs, spark, str(tmp_path))
+    assert model.domains == ("en", "fr") and model.prior == (math.log(0.5),) * 2
+    below = plans[0].split("LeftSemi")[1].splitlines()[1]
+    assert re.search(r"Project \[doc_id#\d+L?\]", below), below
