@@ -46,7 +46,13 @@ PATTERNS = {
     "number": r"(?<!\d)\d(?:[ \-]?\d){8,18}(?!\d)",
     "name": rf"(?<!\p{{L}})(?:{_NAMES}) \p{{Lu}}\p{{Ll}}+(?!\p{{L}})",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+# Characters that a match can begin with, asked for before all else. Behind a letter of
+# A to Z only numbers begin.
+_BEGINS = {
+    "iban": "[A-Z]", "ip": r"\d", "ssn": r"\d", "phone": r"[\d+(]", "number": r"\d",
+    "name": f"[{''.join(sorted({n[0] for names in GIVEN.values() for n in names}))}]",
+}
+ANY = r"(?:(?<![A-Za-z])|(?=[\d+(]))(?:" + "|".join(f"(?={_BEGINS[k]})(?:{p})" if k in _BEGINS else f"(?:{p})" for k, p in PATTERNS.items()) + ")"
 # Between any two characters.
 EACH = r"(?!^)(?!$)"
 _DIGITS = ("phone", "number", "ssn")
