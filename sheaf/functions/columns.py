@@ -18,6 +18,12 @@ def up_to_last(text: Column, end: str) -> Column:
     return F.regexp_extract(text, rf"(?s)\A.*(?:{end})", 0)
 
 
+def up_to(text: Column, end: str) -> Column:
+    """The same for a plain string, found from behind without a pattern."""
+    behind = F.substring_index(text, end, -1)
+    return F.left(text, F.length(text) - F.length(behind))
+
+
 _MASK = "\ue000"
 
 

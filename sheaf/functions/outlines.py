@@ -242,8 +242,14 @@ def portable(pattern: str) -> str:
     return pattern.replace("*+", "*").replace("++", "+")
 
 
+# Comments up to their end, in loops that Java runs through without a look back.
+_COMMENTS = ((BLOCK_COMMENT, r"/\*(?:[^*]++|\*(?!/))*+\*/"), (r"<!--([\s\S]*?)-->", r"<!--(?:[^-]++|-(?!->))*+-->"))
+
+
 def java(pattern: str) -> str:
     r"""A pattern as Java has to read it: lines end at ``\n`` alone, and a vertical tab
     is no white space."""
+    for slow, fast in _COMMENTS:
+        pattern = pattern.replace(slow, fast)
     body = pattern.replace(r"[\s\S]", "\0").replace(r"\s", W).replace("\0", r"[\s\S]")
     return "(?d)" + body

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sheaf.functions import outlines as o
 from sheaf.functions.paths import language_id
-from sheaf.functions.columns import let, masked, up_to_last
+from sheaf.functions.columns import let, masked, up_to, up_to_last
 from sheaf.functions.text import trim_space
 
 _CHUNKS = "array<struct<kind:string,content:string>>"
@@ -17,14 +17,16 @@ LANGUAGES = (*o.BY_KIND, *o.LEXERS)
 
 
 # What a Java method can begin with inside a word, where a match that begins at the word
-# itself does not come first.
-_METHOD_START = r"(?:(?<!\w)|(?=(?:public|private|protected|static|final|abstract)\s|<))"
+# itself does not come first; and what shows that none begins at a word.
+_MODIFIERS = ["public", "private", "protected", "static", "final", "abstract"]
+_METHOD_START = rf"(?:(?<!\w)|(?=(?:{'|'.join(_MODIFIERS)})\s|<))"
+_NO_METHOD = r"(?!\s*+\(|(?:\[\])?\s++\w++\s*+\()"
 # Ends of patterns, none of which matches behind the last place that holds its end.
 _ENDS = (r"-->", r"\*/", r"\}", r"\{", ";", ">")
 
 
-def _found(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(o.java(pattern)), F.lit(0))
+def _found(text: Column, pattern: str, group: int = 0) -> Column:
+    return F.regexp_extract_all(text, F.lit(o.java(pattern)), F.lit(group))
 
 
 def _reach(text: Column, pattern: str) -> Column:
@@ -33,26 +35,43 @@ def _reach(text: Column, pattern: str) -> Column:
     end = next((e for e in _ENDS if pattern.endswith(e)), None)
     if end is None:
         return text
-    text = up_to_last(text, end)
+    text = up_to(text, end.replace("\\", ""))
     # Every opening parenthesis then has a closing one behind it.
     return up_to_last(text, r"\)[^{]*\{") if r"\([^)]*\)" in pattern and end == r"\{" else text
 
 
-def _all_of(text: Column, pattern: str, kind: str) -> Column:
+def _all_of(text: Column, pattern: str, kind: str, group: int = 0) -> Column:
     """Every match as a chunk of one kind."""
-    found = _found(text, pattern)
+    found = _found(text, pattern, group)
     return F.transform(found, lambda c: F.struct(F.lit(kind).alias("kind"), trim_space(c).alias("content")))
 
 
-def _first_letter(pattern: str) -> str:
-    """A pattern of optional words and a keyword, tried only at letters it can begin
-    with. The matches stay the same."""
-    letters, rest = set(), pattern
+def _whole_words(pattern: str) -> str:
+    """The pattern of Java methods, as group 1, tried at words and not at every character.
+
+    A match begins with a word, ``<``, or a modifier and white space, which is then the
+    end of a word. Words that end otherwise are passed over whole, those that
+    ``_NO_METHOD`` tells without a trial. ``\\G`` lets no search begin elsewhere.
+    """
+    ends = "|".join(_MODIFIERS)
+    last = "".join(sorted({word[-1] for word in _MODIFIERS}))
+    plain = rf"\w++(?:(?<![{last}])|(?<!{ends})|(?!\s)){_NO_METHOD}"
+    tried = rf"(?!{pattern})(?:\w+?(?=(?:{ends})\s)|\w++|<)"
+    return rf"\G(?:[^\w<]+|{plain}|{tried})*+({pattern})"
+
+
+def _first_letters(pattern: str) -> str:
+    """A pattern of optional words and a keyword, tried only where two letters are such
+    that it can begin there; one of tags, only at ``<``. The matches stay the same."""
+    if pattern.startswith("<") and "|<" in pattern:
+        return f"(?=<)(?:{pattern})"
+    words, rest = [], pattern
     while group := re.match(r"\(\?:((?:[a-z]+\\s\+\|?)+)\)[?*]", rest):
-        letters |= {word[0] for word in group[1].split("|")}
+        words += group[1].split("|")
         rest = rest[group.end() :]
-    if letters and rest[0].islower():
-        return f"(?=[{''.join(sorted(letters | {rest[0]}))}])" + pattern
+    if words and rest[:2].isalpha() and rest[:2].islower():
+        first, second = ("".join(sorted({word[i] for word in [*words, rest]})) for i in (0, 1))
+        return f"(?=[{first}][{second}])" + pattern
     return pattern
 
 
@@ -62,10 +81,10 @@ def _by_kind(text: Column, lang: str) -> Column:
         # What follows a word in these patterns is never part of one, so the words need
         # not give anything back.
         reach = _reach(text, pattern)
-        pattern = _first_letter(pattern.replace(r"\w+", r"\w++"))
-        if (lang, kind) == ("java", "method"):
-            pattern = _METHOD_START + pattern
-        parts.append(_all_of(reach, pattern, kind))
+        pattern = pattern.replace(r"\w+", r"\w++")
+        method = (lang, kind) == ("java", "method")
+        pattern = _whole_words(_METHOD_START + pattern) if method else _first_letters(pattern)
+        parts.append(_all_of(reach, pattern, kind, int(method)))
     return F.concat(*parts)
 
 

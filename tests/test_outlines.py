@@ -1,5 +1,6 @@
 """Outlines of sources of our own: what they must hold and what they must not."""
 
+import random
 import time
 
 import pytest
@@ -173,3 +174,22 @@ def test_hidden_openers_that_are_never_closed(spark):
     page = "<title>t</title><a href=x>" + "<!-- <script> <style> " * 20_000
     rows = spark.createDataFrame([(page,), (page + "</script>" + "<!--" * 20_000,)], "t string")
     assert [r.n for r in rows.select(F.size(html.hrefs(F.col("t"))).alias("n")).collect()] == [1, 1]
+
+
+def test_passing_over_words_leaves_matches_as_they_are(spark):
+    """Against the bare patterns; methods are looked for from word to word, comments and
+    ends of texts without trying every character."""
+    rng = random.Random(3)
+    forms = [*_FORMS, "class ", "class", "xpublic ", "public", "interface ", "enum ", "pub ", "fn ", "struct ", "trait ", "func ", "protocol ", "a(b)", " {", "f(a) {",
+             "<html>", "</html", "<head ", "<body>", "<!--", "-->", "-", "*", "/", ": T ", "static ", "foo[] bar (x)"]
+    rows = spark.createDataFrame([("".join(rng.choice(forms) for _ in range(rng.randint(1, 25))),) for _ in range(4000)], "t string")
+    for lang, kinds in patterns.BY_KIND.items():
+        found = []
+        for kind, pattern in kinds:
+            body = pattern.replace(r"[\s\S]", "\0").replace(r"\s", patterns.W).replace("\0", r"[\s\S]")
+            bare = F.regexp_extract_all("t", F.lit("(?d)" + body), F.lit(0))
+            found += [F.transform(bare, lambda m: F.concat(F.lit(f"{kind} "), trim_space(m)))]  # noqa: B023
+        mine = F.transform(outlining.chunks_of(F.col("t"), lang), lambda c: F.concat_ws(" ", c["kind"], c["content"]))
+        assert rows.where(F.concat(*found) != mine).collect() == []
+        assert rows.select(F.sum(F.size(mine))).first()[0] > 100
+    assert outlining._whole_words("x").startswith(r"\G") and "++" in patterns.java(patterns.BLOCK_COMMENT)
