@@ -18,9 +18,9 @@ from sheaf.plans.ordered import running_totals
 from sheaf.plans.skew import MAX_BROADCAST, lookup_join
 
 # Pre-tokens whose counts a task remembers, and the longest of them in characters.
-REMEMBER, REMEMBERED_CHARS = 500_000, 64
+REMEMBER, REMEMBERED_CHARS = 100_000, 64
 # Pre-tokens of a batch that are looked at together.
-SLICE = 1 << 20
+SLICE = 1 << 17
 
 
 def pretokens(df: DataFrame, text: str, encoding: str) -> DataFrame:

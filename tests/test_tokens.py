@@ -120,3 +120,9 @@ def test_batch_and_fit(spark, ranks):
     assert fixed.first().tokens == int(raw * 1.18)
     fits = {r.model: r.fits for r in tokens.context_fit(fixed, {"a": int(raw * 1.18), "b": int(raw * 1.18) - 1}).collect()}
     assert fits == {"a": True, "b": False}
+
+
+def test_what_a_task_remembers_is_small():
+    """Whatever the corpus: text, count and slot of each pre-token remembered."""
+    assert tokens.REMEMBER * (tokens.REMEMBERED_CHARS + 150) < 32 << 20
+    assert tokens.SLICE * 100 < 32 << 20
