@@ -29,9 +29,9 @@ from pyspark.sql import types as T
 from sheaf.llm.common import fresh
 
 # Parts of texts, pieces and pairs that a worker remembers; the longest in characters.
-PARTS, MEMO, MEMO_CHARS = 3 << 18, 1 << 19, 48
+PARTS, MEMO, MEMO_CHARS = 1 << 17, 1 << 17, 48
 # Tokens after which a task passes on what it has.
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -245,3 +245,8 @@ def test_guards_find_the_same_entities(spark):
     got = rows.select(*found).collect()
     assert all(r.bare == r.mine for r in got) and sum(map(len, (r.mine for r in got))) > 3000
     assert pii.ANY.startswith(r"(?:(?<![A-Za-z])|")
+
+
+def test_what_a_worker_remembers_is_small():
+    """Parts, pieces and pairs, about 250 bytes each."""
+    assert (bpe.PARTS + 2 * bpe.MEMO) * 250 < 128 << 20
