@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from array import array
 from collections.abc import Iterator
 
@@ -28,10 +27,12 @@ from pyspark.sql import types as T
 
 from sheaf.llm.common import fresh
 
-# Parts of texts, pieces and pairs that a worker remembers; the longest in characters.
-PARTS, MEMO, MEMO_CHARS = 1 << 17, 1 << 17, 48
-# Tokens after which a task passes on what it has.
-FLUSH = 1 << 18
+# Pieces of texts and pairs that a worker remembers; the longest piece in characters.
+PARTS, MEMO, MEMO_CHARS = 1 << 18, 1 << 17, 48
+# Places for pairs, 9 bytes each.
+PLACES = 1 << 19
+# Characters after which a task passes on what it has; new pieces encoded together.
+FLUSH, TOGETHER = 1 << 18, 1 << 13
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -64,6 +65,8 @@ class Pieces:
         self.ordered = True
         self._parts: dict[int, tuple[int, int] | None] = {}
         self._fits: dict[int, bool] = {}
+        self._lengths = {r: len(t) for t, r in ranks.items()}
+        self._latest = np.full(PLACES, -1 << 62, np.int64), np.zeros(PLACES, bool)
 
     def merged(self, piece: bytes) -> list[bytes]:
         """By merges, lowest rank first: for a token or a pair of them, not for texts."""
@@ -94,15 +97,19 @@ class Pieces:
 
     def fits(self, a: int, b: int) -> bool:
         """Whether ``a`` and ``b`` stay apart: no merge over their border comes before
-        those that make them. Merges are undone from the last one, along the border."""
+        those that make them. Merges are undone from the last one, along the border.
+        Before the first token ``a`` is -1."""
         key = a << 32 | b
         known = self._fits.get(key)
         if known is None:
             if len(self._fits) >= MEMO:
                 self._fits.clear()
-            known = self._fits[key] = self.whole(b) and self._apart(a, b)
+            known = self._fits[key] = self._fit(a, b)
         return known
 
+    def _fit(self, a: int, b: int) -> bool:
+        return self.whole(b) and (a < 0 or self._apart(a, b))
+
     def _apart(self, a: int, b: int) -> bool:
         first, before = (a, b), 1 << 60
         while True:
@@ -159,43 +166,149 @@ class Pieces:
             end -= len(self.bytes[last[end]])
         return out[::-1]
 
+    def _steps(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``trie`` as a hash table with open places, and ``token``, to look up many at once."""
+        if not hasattr(self, "_table"):
+            keys, nodes = (np.fromiter(x, np.int64, len(self.trie)) for x in (self.trie.keys(), self.trie.values()))
+            size = 1 << max(4, (4 * len(keys)).bit_length())
+            found, to = np.full(size, -1, np.int64), np.zeros(size, np.int32)
+            left, at = np.arange(len(keys)), _spread(keys, size)
+            while len(left):
+                free = left[found[at[left]] == -1]
+                found[at[free]], to[at[free]] = keys[free], nodes[free]
+                left = left[found[at[left]] != keys[left]]
+                at[left] = (at[left] + 1) % size
+            self._table = found, to, np.array(self.token, np.int32)
+        return self._table
+
+    def _next(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """``trie`` of many nodes and bytes, -1 for none."""
+        found, to, _ = self._steps()
+        key = node.astype(np.int64) << 8 | byte
+        at, out, left = _spread(key, len(found)), np.full(len(key), -1, np.int32), np.arange(len(key))
+        while len(left):
+            there = found[at]
+            hit = there == key[left]
+            out[left[hit]] = to[at[hit]]
+            more = ~hit & (there >= 0)
+            left, at = left[more], (at[more] + 1) % len(found)
+        return out
+
+    def _all_fit(self, keys: np.ndarray) -> np.ndarray:
+        """``fits`` of many pairs, the latest of each place of a table at hand."""
+        pairs, fit = self._latest
+        at = _spread(keys, len(pairs))
+        for i in np.flatnonzero(pairs[at] != keys).tolist():
+            key, place = int(keys[i]), at[i]
+            if pairs[place] != key:
+                fit[place], pairs[place] = self._fit(key >> 32, key & 0xFFFFFFFF), key
+        out = fit[at]
+        for i in np.flatnonzero(pairs[at] != keys).tolist():  # two pairs of one place
+            out[i] = self._fit(int(keys[i]) >> 32, int(keys[i]) & 0xFFFFFFFF)
+        return out
+
+    def all_ids(self, pieces: list[bytes]) -> list[bytes]:
+        """``ids`` of many pieces, as bytes, whose prefixes get their last tokens together: those of
+        one byte, then those of two and so on."""
+        if not pieces:
+            return []
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        begin = np.concatenate([[0], np.cumsum(size + 1)])  # of a piece's prefixes, the empty one first
+        data = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
+        stop = np.repeat(begin[1:] - 1, size + 1)
+        last = np.full(len(data), -2, np.int64)
+        last[begin[:-1]] = -1
+        # All tokens at all places.
+        start = np.flatnonzero(np.arange(len(data)) < stop)
+        end, node, tokens = start, np.zeros(len(start), np.int32), self._steps()[2]
+        edges = [(start[:0], end[:0], start[:0])]
+        while len(start):
+            node = self._next(node, data[end])
+            alive = node >= 0
+            start, end, node = start[alive], end[alive] + 1, node[alive]
+            is_token = tokens[node] >= 0
+            edges.append((start[is_token], end[is_token], tokens[node[is_token]].astype(np.int64)))
+            on = end < stop[start]
+            start, end, node = start[on], end[on], node[on]
+        start, end, token = map(np.concatenate, zip(*edges, strict=True))
+        length = end - np.repeat(begin[:-1], size + 1)[end]
+        order = np.argsort(length, kind="stable")
+        start, end, token = start[order], end[order], token[order]
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(length))]).tolist()
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            fit = self._all_fit(last[start[a:b]] << 32 | token[a:b])
+            last[end[a:b][fit]] = token[a:b][fit]
+        if (last == -2).any():
+            raise ValueError(f"no token for byte {data[np.flatnonzero(last == -2)[0] - 1]}")
+        lasts, lengths, out = last.tolist(), self._lengths, []
+        for piece, i, n in zip(pieces, begin.tolist(), size.tolist(), strict=False):
+            if (whole := self.ranks.get(piece)) is not None:
+                out.append(array("i", (whole,)).tobytes())
+                continue
+            ids = []
+            while n:
+                t = lasts[i + n]
+                ids.append(t)
+                n -= lengths[t]
+            ids.reverse()
+            out.append(array("i", ids).tobytes())
+        return out
+
+
+def _spread(keys: np.ndarray, size: int) -> np.ndarray:
+    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - size.bit_length() + 1)).astype(np.int64)
+
 
 class Remembered(dict):
-    """What ``make`` gives, ids as bytes; forgets all when it is full."""
+    """What ``make`` gives, ids as bytes, ``most`` at once: when half of them are new, those
+    that were not asked for since the last time are forgotten."""
 
     def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.before = make, most, {}
 
     def __missing__(self, key: str) -> bytes:
-        made = self.make(key)
+        made = self.before.get(key) or self.make(key)
         if len(key) <= MEMO_CHARS:
-            if len(self) >= self.most:
-                self.clear()
-            self[key] = made
+            self.keep(key, made)
         return made
 
+    def keep(self, key: str, made: bytes) -> None:
+        self.before.pop(key, None)
+        if len(self) >= self.most // 2:
+            self.before = dict(self)
+            self.clear()
+        self[key] = made
+
 
 class Encoder:
-    """Texts to ids. A blank behind a character that is none starts a piece, whatever
-    follows, so texts are cut there first and the parts remembered."""
+    """Texts to ids: cut into pieces, whose ids are remembered."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.pieces = Pieces(ranks)
         self.split = regex.compile(pattern).findall
         self.match = regex.compile(pattern).match
-        self.piece = Remembered(lambda p: array("i", self.pieces.ids(p.encode())).tobytes(), MEMO)
-        self.part = Remembered(lambda p: self._split(" " + p), PARTS)
-        self.blanks = re.compile(r"\s ").search
-
-    def _split(self, text: str) -> bytes:
-        return b"".join(map(self.piece.__getitem__, self.split(text)))
+        self.piece = Remembered(lambda p: array("i", self.pieces.ids(p.encode())).tobytes(), PARTS)
 
     def encode(self, text: str) -> np.ndarray:
-        if text.startswith(" ") or self.blanks(text):
-            return np.frombuffer(self._split(text), np.int32)
-        first, *parts = text.split(" ")
-        return np.frombuffer(self._split(first) + b"".join(map(self.part.__getitem__, parts)), np.int32)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. New pieces of all of them are encoded together, long ones
+        one by one."""
+        cut = [self.split(t) for t in texts]
+        there = set().union(*cut)
+        known = {p: ids for p in there if (ids := self.piece.get(p) or self.piece.before.get(p))}
+        new = [p for p in there if p not in known and len(p) <= MEMO_CHARS]
+        for i in range(0, len(new), TOGETHER):
+            some = new[i : i + TOGETHER]
+            known.update(zip(some, self.pieces.all_ids([p.encode() for p in some]), strict=True))
+        for p in there:
+            if p not in known:
+                known[p] = self.piece[p]
+            elif p not in self.piece:
+                self.piece.keep(p, known[p])
+        return [np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.int32) for pieces in cut]
 
     def _ids(self, piece: str) -> list[int]:
         return np.frombuffer(self.piece[piece], np.int32).tolist()
@@ -282,9 +395,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
             size = np.diff(np.concatenate([[0], np.cumsum([len(x.as_py()) for x in whole_batch.column(at)])]))
             for batch in _slices(whole_batch, size, FLUSH):
                 ids, ends = [], [0]
-                for text in batch.column(at).to_pylist():
-                    ids.append(encoder.encode(text))
-                    ends.append(ends[-1] + len(ids[-1]))
+                for found in encoder.encode_all(batch.column(at).to_pylist()):
+                    ids.append(found)
+                    ends.append(ends[-1] + len(found))
                 flat = pa.array(np.concatenate(ids) if ids else np.array([], np.int32))
                 column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
                 yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, ids_col])
